@@ -390,7 +390,7 @@ def summary_line(repositories, entities, edges, ownership) -> DataFrame:
         "node_key",
     )
     objects = owned.groupBy("repo").agg(
-        F.count(F.when(F.col("label") == "KafkaTopic", True)).alias("topics"),
+        F.count_distinct(F.when(F.col("label") == "KafkaTopic", F.col("name"))).alias("topics"),
         F.count_distinct(F.when(F.col("label") != "KafkaTopic", F.struct("label", "name"))).alias("sql_objects"),
     )
     starts = entry_points(entities).groupBy("repo").agg(F.count(F.lit(1)).alias("starts"))

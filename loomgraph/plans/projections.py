@@ -5,24 +5,34 @@ history, files) is derived here from the driver's parquet tables, so that each
 operator runs over inputs whose size grows with them.  ``oracle_ctes`` states
 the same projections in SQL for the side-by-side check.
 
-The edge table is a union of branches with a literal ``type`` each: a filter on
-``type`` lets Catalyst drop the branches that are not asked for, together with
-their scans and shuffles.
+The graph is indexed once and queried many times, so each table is written on
+first use to the application's checkpoint folder (shared by the cluster, hence
+safe when executors are lost) and read from there: entities partitioned by
+label, edges by type.  Only the edge types a query asks for are built.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.functions.columns import lit_map
+from loomgraph.session import work_folder
 
 NOW = "2024-01-31 00:00:00"
 
+# Tables written by this application: (application, input folder, table) -> path.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+_LOCKS: dict[tuple[str, str, str], Lock] = {}
+_GUARD = Lock()
+
 
 def _s(name: str) -> Column:
     return F.col(name).cast("string")
@@ -42,6 +52,20 @@ class GraphTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _stored(self, name: str, build, fields: dict, partition: str | None = None) -> DataFrame:
+        """The table ``name``, written by ``build`` on first use in this application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        with _GUARD:
+            lock = _LOCKS.setdefault(key, Lock())
+        with lock:
+            if key not in _WRITTEN:
+                path = f"{work_folder(self.spark)}/{name.replace('/', '_')}"
+                writer = build().write.mode("overwrite")
+                (writer.partitionBy(partition) if partition else writer).parquet(path)
+                _WRITTEN[key] = path
+        schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
+        return self.spark.read.schema(schema).parquet(_WRITTEN[key])
+
     # --- building blocks ---
 
     def nation_of(self, df: DataFrame, key: str) -> DataFrame:
@@ -70,6 +94,9 @@ class GraphTables:
     # --- entities ---
 
     def entities(self) -> DataFrame:
+        return self._stored("entities", self.derive_entities, schemas.ENTITY_FIELDS, "label")
+
+    def derive_entities(self) -> DataFrame:
         supplier, customer = self.suppliers(), self.customers()
         part, orders, nation = self.table("part"), self.orders(), self.table("nation")
         low = F.lower
@@ -230,15 +257,27 @@ class GraphTables:
             "EXPOSES_ROUTE": self._exposes_route,
             "CONTAINS": self._contains,
         }
-        wanted = types or tuple(builders)
-        rows = [
-            builders[t]().withColumn("type", F.lit(t)) for t in wanted if t in builders
-        ]
-        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-        union = union.withColumn("weight", F.lit(1.0)).withColumn(
-            "confidence_score", lit_map(rules.CONFIDENCE_SCORES)[F.coalesce("confidence", F.lit(""))]
-        )
-        return schemas.conform(union, schemas.EDGE_FIELDS)
+        wanted = [t for t in (types or tuple(builders)) if t in builders]
+
+        def stored(kind: str) -> DataFrame:
+            def derive() -> DataFrame:
+                rows = builders[kind]().withColumns(
+                    {
+                        "type": F.lit(kind),
+                        "weight": F.lit(1.0),
+                        "confidence_score": lit_map(rules.CONFIDENCE_SCORES)[
+                            F.coalesce("confidence", F.lit(""))
+                        ],
+                    }
+                )
+                return schemas.conform(rows, schemas.EDGE_FIELDS)
+
+            return self._stored(f"edges/{kind}", derive, schemas.EDGE_FIELDS)
+
+        # Independent jobs: submit the missing ones together.
+        with ThreadPoolExecutor(max_workers=6) as pool:
+            parts = list(pool.map(stored, wanted))
+        return reduce(DataFrame.unionByName, parts)
 
     @staticmethod
     def _edge(src, dst, confidence="EXTRACTED", repo="repo", context=None):
@@ -420,6 +459,9 @@ class GraphTables:
     # --- ownership and repositories ---
 
     def ownership(self) -> DataFrame:
+        return self._stored("ownership", self.derive_ownership, schemas.OWNERSHIP_FIELDS)
+
+    def derive_ownership(self) -> DataFrame:
         entities = self.entities()
         own = entities.where(F.col("repo").isNotNull()).select("repo", "node_key")
         touched = (
