@@ -167,12 +167,12 @@ CTES: dict[str, str] = {
                CASE WHEN k % 7 = 0 THEN []::VARCHAR[]
                     WHEN k % 11 = 0 THEN ['NATION_' || (k % 25), 'NATION_' || ((k + 1) % 25)]
                     ELSE ['NATION_' || (k % 25)] END AS repos,
-               ts AS at
+               ts AS "at"
         FROM ev""",
-    "access": "SELECT actor, unnest(repos) AS repo, at FROM samples",
+    "access": 'SELECT actor, unnest(repos) AS repo, "at" FROM samples',
     "stats": """
-        SELECT CAST(at AS DATE) AS day, actor, endpoint, repo, CAST(count(*) AS BIGINT) AS n
-        FROM (SELECT actor, endpoint, unnest(CASE WHEN len(repos) = 0 THEN [''] ELSE repos END) AS repo, at
+        SELECT CAST("at" AS DATE) AS day, actor, endpoint, repo, CAST(count(*) AS BIGINT) AS n
+        FROM (SELECT actor, endpoint, unnest(CASE WHEN len(repos) = 0 THEN [''] ELSE repos END) AS repo, "at"
               FROM samples) GROUP BY ALL""",
     "manifest": """
         SELECT n_name AS name, 'https://git.example.com/org/' || n_name || '.git' AS url,

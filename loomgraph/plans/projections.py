@@ -521,6 +521,17 @@ class GraphTables:
             "at",
         )
 
+    def rate_requests(self) -> DataFrame:
+        """Requests with a unique id, for the rate decisions."""
+        ids = self._event_keys()
+        k = F.col("k")
+        return ids.select(
+            F.col("event_id").alias("request_id"),
+            F.when(F.col("user_id") % 10 != 0, _cat("user", _s("user_id"))).alias("actor"),
+            F.when(k % 13 == 0, "/health").otherwise(_cat("/", F.col("event_type"))).alias("path"),
+            "at",
+        )
+
     def push_events(self) -> DataFrame:
         k = F.col("k")
         name = self._nation_name(k % 25)
