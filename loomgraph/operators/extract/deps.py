@@ -22,6 +22,7 @@ from loomgraph.operators.extract.common import (
     hub_nodes,
     select_files,
 )
+from loomgraph.session import cut_lineage
 
 EXTRACTOR = "deps"
 _GO_REQUIRE = r"^\s*(?:require\s+)?([A-Za-z0-9][^\s()]*[./][^\s()]*)\s+(v[^\s]+)(\s*//\s*indirect)?"
@@ -76,7 +77,7 @@ def internal_targets(deps: DataFrame, org_prefixes: list[str]) -> DataFrame:
 
 
 def extract(deps: DataFrame, org_prefixes: list[str] = ()) -> Fragments:
-    rows = deps.withColumn("ord", F.concat_ws("\u0000", "manifest", "name", "scope"))
+    rows = cut_lineage(deps).withColumn("ord", F.concat_ws("\u0000", "manifest", "name", "scope"))
     package_id = F.concat_ws("::", F.lit("pkg"), "ecosystem", "name")
     packages = rows.select(
         "repo", "ord", package_id.alias("id"), F.col("name").alias("label"), F.lit("package").alias("type"),

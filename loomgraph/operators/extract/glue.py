@@ -22,6 +22,7 @@ from loomgraph.operators.extract.common import (
     warn,
 )
 from loomgraph.operators.extract.yamltext import yaml_to_json
+from loomgraph.session import cut_lineage
 
 EXTRACTOR = "glue"
 
@@ -151,7 +152,9 @@ def jobs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Declared jobs with the tables of their script, scripts nobody declares, warnings (C17)."""
     templates, warnings = cloudformation_jobs(files)
     declared = terraform_jobs(files).unionByName(templates).withColumn("base", script_base(F.col("script")))
-    scripts = script_jobs(files).withColumn("base", script_base(F.col("script")))
+    # Both sides are used several times; the files are read once for each.
+    declared = cut_lineage(declared)
+    scripts = cut_lineage(script_jobs(files).withColumn("base", script_base(F.col("script"))))
     # Of several jobs declaring one script name the last takes its tables.
     takers = declared.where("script <> ''").groupBy("repo", "base").agg(
         F.max(F.struct("walk", "pos", "name")).alias("taker")
@@ -179,7 +182,7 @@ def jobs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extract(files: DataFrame) -> Fragments:
     """Job, table and schedule nodes with their edges."""
     found, warnings = jobs(files)
-    rows = found.withColumn("ord", order_key(F.col("walk"), F.col("pos"))).withColumn(
+    rows = cut_lineage(found).withColumn("ord", order_key(F.col("walk"), F.col("pos"))).withColumn(
         "id", F.concat_ws("::", F.lit("glue::job"), "repo", "name")
     )
     job_nodes = rows.select(

@@ -301,10 +301,9 @@ def _argument(df: DataFrame, values: DataFrame, column: str, out: str) -> DataFr
     ).drop("name", "_value")
 
 
-def identifier_routes(lines: DataFrame, wrapped: DataFrame) -> tuple[DataFrame, DataFrame]:
+def identifier_routes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upper-case-verb registrations with their group prefix, and warnings for the unresolved."""
-    texts = lines.unionByName(wrapped)
-    groups = texts.where(F.col("text").rlike(pattern(GO_GROUP))).groupBy(
+    groups = lines.where(F.col("text").rlike(pattern(GO_GROUP))).groupBy(
         "repo", "path", F.regexp_extract("text", pattern(GO_GROUP), 1).alias("var")
     ).agg(
         F.max_by(
@@ -315,7 +314,7 @@ def identifier_routes(lines: DataFrame, wrapped: DataFrame) -> tuple[DataFrame,
             "line",
         ).alias("g")
     ).select("repo", "path", "var", "g.recv", "g.arg")
-    calls = texts.where(F.col("text").rlike(pattern(GO_ROUTE))).select(
+    calls = lines.where(F.col("text").rlike(pattern(GO_ROUTE))).select(
         "repo", "path", "walk", "line",
         F.posexplode(matches(F.col("text"), pattern(GO_ROUTE), 1, 2, 3, 4)).alias("n", "m"),
     ).select(
@@ -457,11 +456,21 @@ def code_routes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     code = code_files(files)
     # Only files with a bare mapping annotation need the windows of the prefix rule.
     prefixed = F.col("ext").isin(*JVM) & F.col("code").contains("@RequestMapping")
+    wrapped = wrapped_calls(code.where(F.col("ext").isin(*GO)))
     lines = to_lines(code.where(~prefixed))
-    wrapped = wrapped_calls(code)
-    literal = literal_routes(lines.unionByName(wrapped).withColumnRenamed("path", "file")).select(
+    # The few lines that matter are written once; literals, constants, groups and
+    # registrations are then read from them.
+    kept = cut_lineage(lines.where(_matters()).unionByName(wrapped))
+    literal = literal_routes(kept.withColumnRenamed("path", "file")).select(
         "repo", F.col("file").alias("path"), "walk", "line", "method", F.col("path").alias("route"), "handler"
     )
-    named, warnings = identifier_routes(to_lines(code.where(F.col("ext").isin(*GO))), wrapped)
+    named, warnings = identifier_routes(kept.where(F.col("ext").isin(*GO)))
     spring = spring_routes(to_lines(code.where(prefixed)))
     return literal.unionByName(spring).unionByName(named), warnings
+
+
+def _matters() -> Column:
+    text = F.col("text")
+    declares = text.rlike(GO_CONST) | text.rlike(GO_LOCAL)
+    registers = text.rlike(pattern(GO_ROUTE)) | text.rlike(pattern(GO_GROUP))
+    return text.rlike(pattern(_ANY_ROUTE)) | (F.col("ext").isin(*GO) & (declares | registers))

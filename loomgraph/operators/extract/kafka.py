@@ -19,6 +19,7 @@ from loomgraph.operators.extract.common import (
     rule_rows,
     select_files,
 )
+from loomgraph.session import cut_lineage
 
 EXTRACTOR = "kafka"
 
@@ -184,7 +185,8 @@ def topic_roles(files: DataFrame) -> DataFrame:
 
 def extract(files: DataFrame) -> Fragments:
     """Topic nodes and the hub's produce / consume / reference edges."""
-    topics = topic_roles(files)
+    # Written once: nodes, hubs and edges all come from these rows.
+    topics = cut_lineage(topic_roles(files))
     nodes = topics.select(
         "repo", "ord", F.concat(F.lit("topic::"), "topic").alias("id"), F.col("topic").alias("label"),
         F.lit("kafka_topic").alias("type"),

@@ -27,6 +27,7 @@ from loomgraph.operators.extract.common import (
     select_files,
 )
 from loomgraph.operators.extract.dialect import owner
+from loomgraph.session import cut_lineage
 
 EXTRACTOR = "postgres"
 DEFAULT_SCHEMA = "public"
@@ -330,9 +331,10 @@ def _once(edges: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame, default_dialect: str = "mssql") -> Fragments:
-    found = objects(files, default_dialect)
+    # Statements are cut once; references, nodes and edges come from the written rows.
+    found = cut_lineage(objects(files, default_dialect))
     made = found.where("kind <> 'alter'")
-    refs = references(found)
+    refs = cut_lineage(references(found))
     nodes = S.object_nodes(made).unionByName(S.target_nodes(refs), allowMissingColumns=True)
     # An altered table is declared only when it gained a foreign key.
     altered = refs.where("context = 'foreign key'").select(

@@ -21,6 +21,7 @@ from loomgraph.operators.extract.common import (
 )
 from loomgraph.operators.extract.http import EXTRACTOR, code_routes, join_prefix
 from loomgraph.operators.extract.yamltext import yaml_to_json
+from loomgraph.session import cut_lineage
 
 # --- Fixed values: specification files and operation keys ---
 SPEC_EXTENSIONS = (".json", ".yaml", ".yml")
@@ -149,7 +150,8 @@ def routes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract(files: DataFrame) -> Fragments:
     rows, warnings = routes(files)
-    rows = rows.withColumn("ord", order_key(F.col("walk"), F.col("line"))).withColumn(
+    # Written once: nodes, hubs and edges all come from these rows.
+    rows = cut_lineage(rows).withColumn("ord", order_key(F.col("walk"), F.col("line"))).withColumn(
         "id", F.concat_ws("::", F.lit("route"), "repo", "method", "path", "file")
     )
     nodes = rows.select(

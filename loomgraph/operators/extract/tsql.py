@@ -21,6 +21,7 @@ from loomgraph.operators.extract.common import (
     select_files,
 )
 from loomgraph.operators.extract.dialect import owner
+from loomgraph.session import cut_lineage
 
 EXTRACTOR = "mssql"
 DEFAULT_SCHEMA = "dbo"
@@ -178,8 +179,9 @@ def references(found: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame, default_dialect: str = "mssql") -> Fragments:
-    found = objects(files, default_dialect)
-    refs = references(found)
+    # Statements are cut once; references, nodes and edges come from the written rows.
+    found = cut_lineage(objects(files, default_dialect))
+    refs = cut_lineage(references(found))
     nodes = S.object_nodes(found).unionByName(S.target_nodes(refs), allowMissingColumns=True)
     edges = S.schema_edges(found).unionByName(S.reference_edges(refs), allowMissingColumns=True)
     return Fragments(emit_nodes(nodes, EXTRACTOR), emit_edges(edges, EXTRACTOR))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.functions.columns import blank
+from loomgraph.session import cut_lineage
 
 _STAMPS = ("last_commit", "last_run")
 
@@ -206,7 +207,7 @@ def orphans(graph: Graph) -> DataFrame:
 
 def reap_orphans(graph: Graph) -> Graph:
     """Remove orphaned shared nodes."""
-    return _detach(graph, orphans(graph))
+    return _detach(graph, cut_lineage(orphans(graph)))
 
 
 def sweep(graph: Graph, runs: DataFrame) -> Graph:
@@ -218,9 +219,13 @@ def sweep(graph: Graph, runs: DataFrame) -> Graph:
         edges.where("NOT stale").select(*schemas.EDGE_FIELDS),
         ownership.where("NOT stale").select(*schemas.OWNERSHIP_FIELDS),
     )
-    swept = _detach(kept, entities.where("stale"))
-    removed = sweep_counts(graph, runs).where("n > 0")
-    return swept if removed.isEmpty() else reap_orphans(swept)
+    # The removed keys are few next to the graph; written once, they feed every anti-join.
+    gone = cut_lineage(entities.where("stale").select("node_key"))
+    swept = _detach(kept, gone)
+    untouched = (
+        gone.isEmpty() and edges.where("stale").isEmpty() and ownership.where("stale").isEmpty()
+    )
+    return swept if untouched else reap_orphans(swept)
 
 
 def owned_counts(graph: Graph) -> DataFrame:

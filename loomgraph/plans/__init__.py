@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("lookup_queries", "overview_queries", "usage_queries")
+_MODULES = ("lookup_queries", "overview_queries", "usage_queries", "extract_queries", "graph_queries")
 
 
 def load_registry():

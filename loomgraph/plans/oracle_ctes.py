@@ -198,7 +198,7 @@ CTES: dict[str, str] = {
         FROM orders""",
 }
 
-_WORD = re.compile(r"[a-z_]+")
+_WORD = re.compile(r"[a-z_][a-z_0-9]*")
 
 
 def with_graph(sql: str, extra: dict[str, str] | None = None) -> str:

@@ -13,6 +13,7 @@ label, edges by type.  Only the edge types a query asks for are built.
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from threading import Lock
@@ -594,3 +595,194 @@ class GraphTables:
             F.when(status == "failed", _cat("boom ", _s("o_orderkey"))).alias("error"),
             (F.col("o_orderkey") % 23 == 0).alias("canceled"),
         )
+
+    # --- source files ---
+
+    def files(self) -> DataFrame:
+        """Documents as source files: the whole text wrapped in the code of one template each."""
+        doc = self.table("documents")
+        n = F.col("doc_id")
+        text = F.regexp_replace(F.regexp_replace("text", r"\*/", "* /"), r"/\*", "/ *")
+        block = _cat("/*", text, "*/\n")
+        hashed = _cat("# ", F.regexp_replace(text, "\n", "\n# "), "\n")
+        values = {
+            "block": block,
+            "hashed": hashed,
+            "json": F.to_json(F.struct(F.col("text").alias("description"))),
+            "n": n.cast("string"),
+            "n1": (n + 1).cast("string"),
+            **{f"m{m}": (n % m).cast("string") for m in (3, 4, 5, 6, 7, 8, 9, 10, 15, 20, 30, 40, 50, 60)},
+        }
+        path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for kind, (path_template, template) in enumerate(FILE_TEMPLATES):
+            mine = n % len(FILE_TEMPLATES) == kind
+            path = F.when(mine, _fill(path_template, {**values, "source": F.col("source")})).otherwise(path)
+            content = F.when(mine, _fill(template, values)).otherwise(content)
+        repo = self._nation_name(F.floor(n / len(FILE_TEMPLATES)) % 25)
+        return doc.select(repo.alias("repo"), path.alias("path"), content.alias("content"))
+
+    # --- raw graph files ---
+
+    def raw_nodes(self) -> DataFrame:
+        """Orders, customers and packages as nodes of a parsed graph file."""
+        k = F.col("o_orderkey")
+        name = _s("o_orderkey")
+        shape = k % 8
+        label = (
+            F.when(shape == 0, _cat("svc_", name, ".go"))
+            .when(shape == 1, _cat("Run", name, "()"))
+            .when(shape == 2, _cat("Type", name))
+            .when(shape == 3, _cat("lower", name))
+            .when(shape == 4, _cat("Has Space", name))
+            .when(shape == 5, _cat("Écran", name))
+            .when(shape == 6, _cat("doc", name))
+            .otherwise(_cat("Paren(", name))
+        )
+        place = k % 5
+        source = (
+            F.when(place == 0, _cat("src/a", (k % 50).cast("string"), ".go"))
+            .when(place == 1, "lib/X.PY")
+            .when(place == 2, "docs/x.md")
+            .when(place == 3, "")
+            .otherwise("lib/x.sh")
+        )
+        kind = F.when(k % 16 == 10, "bash_function").when(k % 16 == 11, "file")
+        orders = self.orders().select(
+            "repo", k.alias("ord"), _cat("n", name).alias("id"), label.alias("label"), label.alias("norm_label"),
+            F.lit(None).cast("string").alias("origin"), source.alias("source_file"),
+            _cat("L", (k % 90).cast("string")).alias("source_location"),
+            F.when(k % 16 == 9, "http_route").alias("type"), (k % 12).cast("int").alias("community"),
+            F.lit(None).cast("string").alias("ecosystem"),
+            schemas.metadata_struct(
+                kind=kind, language=F.when(k % 32 == 12, "cobol"), version=F.when(k % 64 == 1, _cat("v", name))
+            ).alias("metadata"),
+        )
+        c = F.col("c_custkey")
+        customers = self.customers().select(
+            "repo", (c + 100_000_000_000).alias("ord"), _cat("c", _s("c_custkey")).alias("id"),
+            F.col("c_name").alias("label"), F.col("c_name").alias("norm_label"),
+            F.lit(None).cast("string").alias("origin"), F.lit("c.py").alias("source_file"),
+            F.lit("L1").alias("source_location"), F.lit(None).cast("string").alias("type"),
+            F.lit(None).cast("int").alias("community"), F.lit(None).cast("string").alias("ecosystem"),
+            schemas.metadata_struct().alias("metadata"),
+        )
+        hub = self.table("nation").select(
+            F.col("n_name").alias("repo"), F.lit(200_000_000_000).alias("ord"),
+            _cat("repo::", F.col("n_name")).alias("id"), F.col("n_name").alias("label"),
+            F.col("n_name").alias("norm_label"), F.lit("platform").alias("origin"),
+            F.lit("package").alias("type"), schemas.metadata_struct(is_repository=F.lit(True)).alias("metadata"),
+        )
+        packages = self.edges("DEPENDS_ON").where(F.col("src").startswith("platform::repo::")).select(
+            "repo", F.lit(300_000_000_000).alias("ord"), F.substring("dst", 11, 1000).alias("id"),
+            F.substring("dst", 11, 1000).alias("label"), F.substring("dst", 11, 1000).alias("norm_label"),
+            F.lit("platform").alias("origin"), F.lit("package").alias("type"), F.lit("npm").alias("ecosystem"),
+            schemas.metadata_struct().alias("metadata"),
+        )
+        rows = orders.unionByName(customers).unionByName(hub, allowMissingColumns=True).unionByName(
+            packages, allowMissingColumns=True
+        )
+        return schemas.conform(rows, schemas.NODE_FIELDS, keep=("repo", "ord"))
+
+    def raw_links(self) -> DataFrame:
+        """Orders to their customers, hubs to packages, and some that cannot be resolved."""
+        k = F.col("o_orderkey")
+        verb = F.element_at(
+            F.array(*[F.lit(v) for v in ("calls", "contains", "references", "method", "bogus", "depends_on")]),
+            (k % 6 + 1).cast("int"),
+        )
+        orders = self.orders().select(
+            "repo", k.alias("ord"), _cat("n", _s("o_orderkey")).alias("source"),
+            F.when(k % 9 == 0, "nowhere").otherwise(_cat("c", _s("o_custkey"))).alias("target"),
+            verb.alias("relation"),
+            F.when(k % 4 == 0, "INFERRED").when(k % 4 == 1, "AMBIGUOUS").alias("confidence"),
+            F.when(k % 10 == 0, 0.9).alias("confidence_score"),
+            F.when(k % 7 == 0, 2.5).alias("weight"),
+            F.when(k % 3 == 0, F.repeat(F.lit("é"), 70)).otherwise("call").alias("context"),
+        )
+        packages = self.edges("DEPENDS_ON").where(F.col("src").startswith("platform::repo::")).select(
+            "repo", F.lit(300_000_000_000).alias("ord"), _cat("repo::", F.col("repo")).alias("source"),
+            F.substring("dst", 11, 1000).alias("target"), F.lit("depends_on").alias("relation"),
+            F.lit("EXTRACTED").alias("confidence"), "context",
+        )
+        rows = orders.unionByName(packages, allowMissingColumns=True)
+        return schemas.conform(rows, schemas.LINK_FIELDS, keep=("repo", "ord"))
+
+
+# Path and content of each kind of file; {n} is the document id, {m7} its remainder by 7.
+FILE_TEMPLATES = (
+    (
+        "src/{source}/{n}.go",
+        'package p{n}\nconst Base{n} = "/v{m3}"\nfunc register(r Router) {\n  g := r.Group("/api")\n'
+        '  g.POST(Base{n}, h.Create)\n  r.Get("/chi/{n}", h.Get)\n  w := kafka.Writer{\n'
+        '    Topic: "orders.{m50}",\n  }\n  // r.GET("/dead/{n}", h)\n  r.GET(Missing{n}, h)\n}\n'
+        '{block}func tail() { r.DELETE("/tail/{n}", h.Del) }\n',
+    ),
+    (
+        "src/{source}/{n}.py",
+        '@app.route("/py/{n}", methods=["PUT"])\ndef f(): pass\nproducer.produce("py.{m40}", b"")\n'
+        'consumer = KafkaConsumer("orders.{m50}")\n{hashed}',
+    ),
+    (
+        "src/{source}/{n}.js",
+        'app.get("/js/{n}", h)\n// app.get("/dead/{n}")\n'
+        'await producer.send({ topic: "js.{m30}", messages })\n{block}',
+    ),
+    (
+        "src/{source}/C{n}.java",
+        '@RequestMapping("/api/j{n}")\npublic class C{n} {\n  @GetMapping("/list")\n  List l() {}\n'
+        '  @RequestMapping(value = "/old", method = RequestMethod.PUT)\n  void o() {}\n'
+        '  @KafkaListener(topics = "java.{m20}")\n  void k() {}\n}\n{block}',
+    ),
+    (
+        "db/{n}_ms.sql",
+        "{block}SET NOCOUNT ON\nGO\n"
+        "CREATE TABLE [dbo].[t{n}] (id int, FOREIGN KEY (id) REFERENCES dbo.base{m10}(id))\nGO\n"
+        "CREATE PROCEDURE dbo.p{n} AS\n  SELECT * FROM t{n} JOIN sales.s{m7} ON 1=1\n"
+        "  DELETE FROM gone{m5}\n  EXEC dbo.q{m6}\nGO\n",
+    ),
+    (
+        "db/{n}_pg.sql",
+        "{block}CREATE TABLE app.t{n} (id serial, c int REFERENCES base{m10}(id));\n"
+        "CREATE MATERIALIZED VIEW app.mv{n} AS WITH a AS (SELECT 1 FROM src{m8}) SELECT * FROM a;\n"
+        "CREATE FUNCTION app.f{n}() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN\n  -- INSERT INTO hidden\n"
+        "  INSERT INTO audit{m4} SELECT * FROM app.t{n}; END; $$;\n"
+        "CREATE TRIGGER tg{n} BEFORE UPDATE ON app.t{n} FOR EACH ROW EXECUTE FUNCTION app.f{n}();\n"
+        "ALTER TABLE ONLY app.t{n} ADD CONSTRAINT fk FOREIGN KEY (c) REFERENCES base{m10}(id);\n",
+    ),
+    (
+        "config/{n}/kafka.yml",
+        "{hashed}app:\n  producer:\n    topic: out.{m15}\n  consumer:\n    topics: [in.{m15}, TBD]\n"
+        "  x-topic: out.{m15}\n  y-topic: lone.{m9}\n",
+    ),
+    (
+        "api/{n}/swagger.json",
+        '{"swagger":"2.0","basePath":"/base","info":{json},"paths":{"/s{n}/{id}":'
+        '{"get":{"tags":["t"],"operationId":"op{n}"},"parameters":[]}}}',
+    ),
+    (
+        "infra/{n}.tf",
+        '{hashed}resource "aws_glue_job" "job" {\n  name = "job{n}"\n'
+        '  script_location = "s3://b/etl_{n1}.py"\n}\nresource "aws_glue_trigger" "t" {\n'
+        '  schedule = "cron({m10})"\n  actions { job_name = "job{n}" }\n}\n',
+    ),
+    (
+        "jobs/etl_{n}.py",
+        '{hashed}job = Job(glueContext)\n'
+        'x = glueContext.create_dynamic_frame.from_catalog(database="db", table_name="src{m10}")\n'
+        'glueContext.write_dynamic_frame.from_catalog(frame=x, database="db", table_name="dst{m10}")\n',
+    ),
+    ("src/{source}/{n}.rb", 'get "/rb/{n}"\n{hashed}'),
+    ("svc{n}/requirements.txt", "pkg{m60}==1.{m5}\norg-lib{m9}>=2\n{hashed}"),
+)
+
+
+def _fill(template: str, values: dict[str, Column]) -> Column:
+    """A template with its ``{name}`` parts replaced by columns."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    parts = []
+    for i, piece in enumerate(pieces):
+        if i % 2 == 0:
+            parts.append(F.lit(piece))
+        else:
+            parts.append(values[piece] if piece in values else F.lit("{" + piece + "}"))
+    return F.concat(*parts)
