@@ -11,7 +11,12 @@ from loomgraph import schemas
 from loomgraph.functions import columns as C
 from loomgraph.functions import rules
 from loomgraph.operators import build, upkeep
+from loomgraph.operators.reports import confidence_report
+from loomgraph.plans.index_run import import_run
 from loomgraph.plans.registry import query
+from loomgraph.session import work_folder
+from loomgraph.sources import graph_files
+from loomgraph.sources.store import GraphStore, write_report
 
 _EXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.EXTENSION_LANGUAGES.items())
 _TYPES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TYPE_LABELS.items())
@@ -383,7 +388,7 @@ def d2_upsert_edges(t):
     "d3_sweep_nodes",
     """
     SELECT node_key, repo, CASE WHEN fresh THEN 'r2' ELSE 'r1' END AS last_run FROM ent2s
-    WHERE NOT (repo IN (SELECT repo FROM two) AND NOT fresh)
+    WHERE NOT (coalesce(repo, '') IN (SELECT repo FROM two) AND NOT fresh)
     """,
     _RUN2,
 )
@@ -465,3 +470,49 @@ def d7_delete_repositories(t):
     graph = upkeep.Graph(t.entities(), t.edges(), t.ownership())
     kept, _ = upkeep.delete_repositories(graph, t.repositories(), ["NATION_2", "NATION_5"])
     return kept.entities.select("node_key", "repo")
+
+
+# --- files and stores (A1, A2, A5, A9) -----------------------------------------
+
+
+@_g(
+    "a1_a2_graph_records",
+    "SELECT repo, id, label, elabel, node_key FROM (SELECT repo, id, label, elabel, node_key FROM lbl)",
+)
+def a1_a2_graph_records(t):
+    path = f"{work_folder(t.spark)}/records"
+    graph_files.write_graph_records(t.raw_nodes(), t.raw_links(), path)
+    nodes, _ = graph_files.load_graph_records(t.spark, path)
+    meta = F.col("metadata")
+    kind = C.infer_label(F.col("type"), meta["kind"], F.col("source_file"), F.col("label"))
+    return build.keyed_nodes(nodes).select("repo", "id", "label", kind.alias("elabel"), "node_key")
+
+
+@_g(
+    "a5_store_import",
+    """
+    SELECT node_key, repo, CASE WHEN fresh THEN 'r2' ELSE 'r1' END AS last_run FROM ent2s
+    WHERE NOT (coalesce(repo, '') IN (SELECT repo FROM two) AND NOT fresh)
+    """,
+    _RUN2,
+)
+def a5_store_import(t):
+    first = stored_first_run(t)
+    store = GraphStore(t.spark, f"{work_folder(t.spark)}/graph")
+    store.commit(first, t.table("nation").select(F.col("n_name").alias("part")))
+    nodes, links, runs = _second_import(t)
+    import_run(store, nodes, links, runs)
+    return store.read().entities.select("node_key", "repo", "last_run")
+
+
+@_g(
+    "a9_report_files",
+    """
+    SELECT type, total, extracted FROM (SELECT type, count(*) AS total, count(*) FILTER (WHERE confidence = 'EXTRACTED') AS extracted
+      FROM edges GROUP BY type UNION ALL SELECT '(all)', count(*), count(*) FILTER (WHERE confidence = 'EXTRACTED') FROM edges)
+    """,
+)
+def a9_report_files(t):
+    path = f"{work_folder(t.spark)}/report"
+    write_report(confidence_report(t.edges()), path)
+    return t.spark.read.schema("type string, total long, extracted long").json(path)
