@@ -8,6 +8,7 @@ the JVM and nothing is shuffled until hits meet other files.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,8 +23,15 @@ _MARK = "\u0001"
 _ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+# A boundary before a word character, and one after a word character, need one look only.
+_OPENING = re.compile(r"\\b(?=[A-Za-z]|\(\?:[A-Za-z]|\\w|\(\[A-Za-z)")
+_CLOSING = re.compile(r"(?:(?<=[^\\][A-Za-z])|(?<=[A-Za-z]\)))\\b")
+
+
 def pattern(text: str) -> str:
     """A pattern with word boundaries that see ASCII words only, on every JVM."""
+    text = _OPENING.sub(lambda _: r"(?<!\w)", text)
+    text = _CLOSING.sub(lambda _: r"(?!\w)", text)
     return text.replace(r"\b", _ASCII_BOUNDARY)
 
 

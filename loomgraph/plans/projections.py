@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.functions.columns import lit_map
-from loomgraph.session import work_folder
+from loomgraph.session import spread, work_folder
 
 NOW = "2024-01-31 00:00:00"
 
@@ -619,7 +619,9 @@ class GraphTables:
             path = F.when(mine, _fill(path_template, {**values, "source": F.col("source")})).otherwise(path)
             content = F.when(mine, _fill(template, values)).otherwise(content)
         repo = self._nation_name(F.floor(n / len(FILE_TEMPLATES)) % 25)
-        return doc.select(repo.alias("repo"), path.alias("path"), content.alias("content"))
+        return spread(
+            doc.select(repo.alias("repo"), path.alias("path"), content.alias("content")), "path"
+        )
 
     # --- raw graph files ---
 

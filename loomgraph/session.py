@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -30,6 +31,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows up to which a table of keys is sent to every executor: some tens of megabytes.
+BROADCAST_ROWS = 300_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast when its counted size allows, else as it is (shuffle join)."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for row-wise heavy work when the input has fewer splits than cores.
+
+    Large inputs have splits enough and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_folder(spark: SparkSession) -> str:
     """Folder for tables this application writes and reads again."""
     ensure_checkpoint_dir(spark)
