@@ -179,12 +179,9 @@ def default_weight(weight: Column) -> Column:
 
 
 def content_hash(columns: dict[str, Column]) -> Column:
-    """Short hash over named values; arrays are rendered as JSON, nulls as empty."""
-    parts = [
-        F.concat(F.lit(name + "="), F.coalesce(value.cast("string"), F.lit("")))
-        for name, value in sorted(columns.items())
-    ]
-    return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 16)
+    """Short hash over named values, whatever their order; JSON renders lists and nulls."""
+    row = F.struct(*[value.alias(name) for name, value in sorted(columns.items())])
+    return F.substring(F.sha2(F.to_json(row), 256), 1, 16)
 
 
 def cap_context(context: Column) -> Column:

@@ -192,11 +192,7 @@ def to_entities(nodes: DataFrame) -> DataFrame:
         *[meta[m].alias(m) for m in schemas.PROMOTED_METADATA],
     )
     hashed = [c for c in entities.columns if c not in ("import_repo", "ord", "node_key")]
-    values = {
-        c: F.to_json(F.col(c)) if isinstance(schemas.ENTITY_FIELDS[c], T.ArrayType) else F.col(c)
-        for c in hashed
-    }
-    return entities.withColumn("content_hash", C.content_hash(values))
+    return entities.withColumn("content_hash", C.content_hash({c: F.col(c) for c in hashed}))
 
 
 # --- links to edges --------------------------------------------------------

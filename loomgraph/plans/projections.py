@@ -599,6 +599,9 @@ class GraphTables:
     # --- source files ---
 
     def files(self) -> DataFrame:
+        return self._stored("files", self.derive_files, FILE_FIELDS)
+
+    def derive_files(self) -> DataFrame:
         """Documents as source files: the whole text wrapped in the code of one template each."""
         doc = self.table("documents")
         n = F.col("doc_id")
@@ -626,6 +629,9 @@ class GraphTables:
     # --- raw graph files ---
 
     def raw_nodes(self) -> DataFrame:
+        return self._stored("raw_nodes", self.derive_raw_nodes, RAW_FIELDS | schemas.NODE_FIELDS)
+
+    def derive_raw_nodes(self) -> DataFrame:
         """Orders, customers and packages as nodes of a parsed graph file."""
         k = F.col("o_orderkey")
         name = _s("o_orderkey")
@@ -650,7 +656,7 @@ class GraphTables:
         )
         kind = F.when(k % 16 == 10, "bash_function").when(k % 16 == 11, "file")
         orders = self.orders().select(
-            "repo", k.alias("ord"), _cat("n", name).alias("id"), label.alias("label"), label.alias("norm_label"),
+            "repo", k.cast("long").alias("ord"), _cat("n", name).alias("id"), label.alias("label"), label.alias("norm_label"),
             F.lit(None).cast("string").alias("origin"), source.alias("source_file"),
             _cat("L", (k % 90).cast("string")).alias("source_location"),
             F.when(k % 16 == 9, "http_route").alias("type"), (k % 12).cast("int").alias("community"),
@@ -686,6 +692,9 @@ class GraphTables:
         return schemas.conform(rows, schemas.NODE_FIELDS, keep=("repo", "ord"))
 
     def raw_links(self) -> DataFrame:
+        return self._stored("raw_links", self.derive_raw_links, RAW_FIELDS | schemas.LINK_FIELDS)
+
+    def derive_raw_links(self) -> DataFrame:
         """Orders to their customers, hubs to packages, and some that cannot be resolved."""
         k = F.col("o_orderkey")
         verb = F.element_at(
@@ -710,6 +719,9 @@ class GraphTables:
         return schemas.conform(rows, schemas.LINK_FIELDS, keep=("repo", "ord"))
 
 
+FILE_FIELDS = {"repo": T.StringType(), "path": T.StringType(), "content": T.StringType()}
+RAW_FIELDS = {"repo": T.StringType(), "ord": T.LongType()}
+
 # Path and content of each kind of file; {n} is the document id, {m7} its remainder by 7.
 FILE_TEMPLATES = (
     (
