@@ -159,14 +159,26 @@ def jobs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     takers = declared.where("script <> ''").groupBy("repo", "base").agg(
         F.max(F.struct("walk", "pos", "name")).alias("taker")
     )
-    per_script = scripts.join(takers, ["repo", "base"])
-    tables = per_script.groupBy("repo", "base").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("walk", "sources"))), lambda s: s["sources"])).alias("s"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("walk", "dests"))), lambda s: s["dests"])).alias("d"),
-        F.first("taker").alias("taker"),
-    ).select(
-        "repo", F.col("taker.walk").alias("walk"), F.col("taker.pos").alias("pos"), F.col("taker.name").alias("name"),
-        F.array_distinct("s").alias("sources"), F.array_distinct("d").alias("dests"),
+    folding = scripts.join(takers, ["repo", "base"], "left_semi")
+
+    def folded(column: str) -> DataFrame:
+        """Distinct tables of all scripts of a name, in walk order."""
+        return (
+            folding.select("repo", "base", "walk", F.posexplode(column).alias("at", "table"))
+            .groupBy("repo", "base", "table")
+            .agg(F.min(F.struct("walk", "at")).alias("first"))
+            .groupBy("repo", "base")
+            .agg(F.array_sort(F.collect_list(F.struct("first", "table"))).alias("found"))
+            .select("repo", "base", F.col("found.table").alias(column))
+        )
+
+    tables = (
+        takers.join(folded("sources"), ["repo", "base"], "left")
+        .join(folded("dests"), ["repo", "base"], "left")
+        .select(
+            "repo", F.col("taker.walk").alias("walk"), F.col("taker.pos").alias("pos"),
+            F.col("taker.name").alias("name"), "sources", "dests",
+        )
     )
     none = F.array().cast(_LIST)
     known = declared.join(tables, ["repo", "walk", "pos", "name"], "left").select(

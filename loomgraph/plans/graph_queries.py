@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from loomgraph.operators import build, upkeep
 from loomgraph.operators.reports import confidence_report
 from loomgraph.plans.index_run import import_run
 from loomgraph.plans.registry import query
-from loomgraph.session import work_folder
+from loomgraph.session import cut_lineage, work_folder
 from loomgraph.sources import graph_files
 from loomgraph.sources.store import GraphStore, write_report
 
@@ -267,7 +267,7 @@ def b14_import_summary(t):
 def _first_run(t) -> upkeep.Graph:
     nodes = t.raw_nodes()
     runs = nodes.select("repo").distinct().select("repo", F.lit("c1").alias("commit"), F.lit("r1").alias("run"))
-    entities = build.to_entities(nodes)
+    entities = cut_lineage(build.to_entities(nodes))
     edges = build.to_edges(build.resolve_links(t.raw_links(), nodes))
     spark = t.spark
 
@@ -288,8 +288,9 @@ def _stored_graph(t, name: str, make) -> upkeep.Graph:
         "edges": schemas.EDGE_FIELDS,
         "ownership": schemas.OWNERSHIP_FIELDS,
     }
+    once = cache(make)
     return upkeep.Graph(
-        **{p: t._stored(f"{name}_{p}", lambda p=p: getattr(make(), p), f) for p, f in parts.items()}
+        **{p: t._stored(f"{name}_{p}", lambda p=p: getattr(once(), p), f) for p, f in parts.items()}
     )
 
 
@@ -318,7 +319,7 @@ def _second_run(t):
 
     def make() -> upkeep.Graph:
         first = stored_first_run(t)
-        entities = build.to_entities(nodes)
+        entities = cut_lineage(build.to_entities(nodes))
         edges = build.to_edges(build.resolve_links(links, nodes))
         return upkeep.Graph(
             upkeep.upsert_nodes(first.entities, entities, runs),

@@ -171,9 +171,33 @@ def e7_relevance_search(t):
     return search.relevance_search(t.entities(), "widget nation_3")
 
 
-@query("e8_search")
+_TIERS = """
+    toks AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', name, norm_name, coalesce(path, ''))),
+                                          '[\\p{L}\\p{N}_.]+') AS tk FROM entities),
+    cnt AS (SELECT *, len(tk) AS dl, len(list_filter(tk, lambda x: x = 'runserver1')) AS f1 FROM toks),
+    st AS (SELECT count(*) AS n, avg(dl) AS al, count(*) FILTER (WHERE f1 > 0) AS d1 FROM cnt),
+    tier1 AS (
+        SELECT cnt.*, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / al)), 6) AS score
+        FROM cnt, st WHERE f1 > 0 ORDER BY score DESC, node_key LIMIT 100),
+    tier2 AS (
+        SELECT *, CASE WHEN name_lower = 'runserver1' THEN 0 WHEN name_lower LIKE 'runserver1%' THEN 1 ELSE 4 END AS rank
+        FROM entities WHERE contains(name_lower, 'runserver1') ORDER BY rank, length(name), name, node_key LIMIT 100)
+"""
+
+
+@query(
+    "e8_search",
+    f"""RECURSIVE {_TIERS}
+    SELECT node_key, node_id, name, 'Entity|' || label AS labels, repo, path, line, CAST(tier AS BIGINT) AS tier FROM (
+      SELECT node_key, node_id, name, label, repo, path, line, 0 AS tier, -score AS k1, 0 AS k2 FROM tier1
+      UNION ALL
+      SELECT node_key, node_id, name, label, repo, path, line, 1, rank, length(name) FROM tier2
+      WHERE node_key NOT IN (SELECT node_key FROM tier1))
+    ORDER BY tier, k1, k2, name, node_key LIMIT 100
+    """,
+)
 def e8_search(t):
-    return search.search(t.entities(), "NATION_3")
+    return search.search(t.entities(), "RunServer1")
 
 
 @query(
