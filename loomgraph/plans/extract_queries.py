@@ -180,12 +180,12 @@ def c5_tsql_objects(t):
     return tsql.objects(_extractable(t)).select("repo", "kind", "schema", "name", "line")
 
 
-_EDGE = ("repo", "source", "relation", "target", "confidence", F.col("source_location").alias("loc"))
+_EDGE = ("repo", "source", "relation", "target", "confidence", "source_location AS loc")
 
 
 @_c("c6_tsql_edges", "SELECT * FROM msedges")
 def c6_tsql_edges(t):
-    return tsql.extract(_extractable(t)).edges.select(*_EDGE)
+    return tsql.extract(_extractable(t)).edges.selectExpr(*_EDGE)
 
 
 @_c(
@@ -205,7 +205,7 @@ def c7_postgres_objects(t):
 
 @_c("c8_postgres_edges", "SELECT * FROM pgedges")
 def c8_postgres_edges(t):
-    return postgres.extract(_extractable(t)).edges.select(*_EDGE)
+    return postgres.extract(_extractable(t)).edges.selectExpr(*_EDGE)
 
 
 @_c(

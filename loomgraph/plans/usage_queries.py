@@ -11,7 +11,10 @@ from loomgraph.plans.registry import query
 from loomgraph.session import work_folder
 from loomgraph.streaming import push_streams, usage_streams
 
-TODAY = F.lit("2024-01-30").cast("date")
+
+def today():
+    return F.lit("2024-01-30").cast("date")
+
 
 _REQ = """
     CASE WHEN user_id % 10 <> 0 THEN 'user' || user_id END AS actor,
@@ -69,7 +72,7 @@ for _field in ("actor", "repo", "endpoint"):
         """,
     )
     def h5_rank(t, field=_field):  # noqa: B023
-        return usage.rank_by(usage.daily_counts(t.usage_samples()), field, TODAY, 14, 20)
+        return usage.rank_by(usage.daily_counts(t.usage_samples()), field, today(), 14, 20)
 
 
 @query(
@@ -77,7 +80,7 @@ for _field in ("actor", "repo", "endpoint"):
     "SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(n) AS BIGINT) AS n FROM stats WHERE day >= DATE '2024-01-30' - 29 GROUP BY 1",
 )
 def h6_traffic(t):
-    return usage.traffic(usage.daily_counts(t.usage_samples()), TODAY)
+    return usage.traffic(usage.daily_counts(t.usage_samples()), today())
 
 
 @query(
@@ -85,7 +88,7 @@ def h6_traffic(t):
     "SELECT CAST(sum(n) AS BIGINT) AS n FROM stats WHERE day >= DATE '2024-01-30' - 6 AND repo = 'NATION_3'",
 )
 def h7_total_requests(t):
-    return usage.total_requests(usage.daily_counts(t.usage_samples()), TODAY, 7, repo="NATION_3")
+    return usage.total_requests(usage.daily_counts(t.usage_samples()), today(), 7, repo="NATION_3")
 
 
 @query(
@@ -96,7 +99,7 @@ def h7_total_requests(t):
     """,
 )
 def h8_actor_activity(t):
-    return usage.actor_activity(usage.daily_counts(t.usage_samples()), "user7", TODAY)
+    return usage.actor_activity(usage.daily_counts(t.usage_samples()), "user7", today())
 
 
 @query(
@@ -107,7 +110,7 @@ def h8_actor_activity(t):
     """,
 )
 def h8_repo_activity(t):
-    return usage.repo_activity(usage.daily_counts(t.usage_samples()), "NATION_8", TODAY)
+    return usage.repo_activity(usage.daily_counts(t.usage_samples()), "NATION_8", today())
 
 
 @query(
@@ -152,7 +155,7 @@ def h10_repo_details(t):
     """,
 )
 def h10_actor_details(t):
-    return usage.actor_details(usage.daily_counts(t.usage_samples()), TODAY)
+    return usage.actor_details(usage.daily_counts(t.usage_samples()), today())
 
 
 _RATE_SQL = """

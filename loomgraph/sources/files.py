@@ -25,5 +25,5 @@ def load_files(spark: SparkSession, root: str, max_bytes: int = rules.SPEC_MAX_B
     return found.select(
         F.split_part(inside, F.lit("/"), F.lit(1)).alias("repo"),
         F.regexp_replace(inside, "^[^/]*/", "").alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )

@@ -32,3 +32,16 @@ def test_query_matches_oracle(spark, name):
 
     assert sorted(df.columns) == order
     assert norm(df.collect(), df.columns) == norm(cur.fetchall(), names)
+
+
+def test_queries_can_be_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    queries, oracles = map(int, out.stdout.split())
+    assert queries >= oracles > 100
