@@ -34,13 +34,14 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.components import components
 from loomgraph.llm.rows import packed, unpacked
-from loomgraph.llm.wordhash import SPACES, Splitter, grams, mixed, shingles
+from loomgraph.llm.wordhash import SPACES, Splitter, grams, mixed, shingle_sets
 from loomgraph.session import cut_lineage, work_folder
 
 SIGNATURE_WORDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 PARITY_BITS = 512
 BLOCK = 1024
-HOT_BITS = 20
+SHORT_LIST = 64
+HOT_BITS = 22
 NEED_BITS = 24
 
 
@@ -56,32 +57,38 @@ def _parity(ordered: np.ndarray) -> bytes:
 
 
 def _counted(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """(token, n): in how many texts the shingles of the counted range occur, by 32 bits of their hash."""
+    """(token, n): how often the shingles of the counted range occur, by 32 bits of their hash."""
 
     def run(batches):
         splitter = Splitter(SPACES)
         for batch in batches:
             for t in splitter.tokens(batch.column(0)):
-                found = []
-                for i in range(len(t)):
-                    own = t.hashes[t.bounds[i] : t.bounds[i + 1]]
-                    if len(own):
-                        h = grams(own, min(k, len(own)))
-                        found.append(np.unique(h[h >> np.uint64(64 - bits) == 0].astype(np.uint32)))
-                if found:
-                    token, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), pa.array(n.astype(np.int32))], ["token", "n"])
+                h = grams(t.hashes, k)
+                inside = np.zeros(len(t.hashes) + 1, dtype=bool)
+                inside[: len(h)] = h >> np.uint64(64 - bits) == 0
+                for back in range(1, k):
+                    inside[np.maximum(t.bounds - back, 0)] = False
+                token, n = np.unique(h[inside[: len(h)]].astype(np.uint32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32)), pa.array(n.astype(np.int32))], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token int, n int")
 
 
-def frequent_bits(docs: DataFrame, k: int, hot: int, bits: int) -> np.ndarray:
-    """Which of 2**HOT_BITS shingle buckets hold a shingle that more than ``hot`` texts have.
+def frequent_bits(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """Which of 2**HOT_BITS shingle buckets hold a frequent shingle: one that occurs more than h times.
 
-    Counts cover all texts.  The buckets are a fixed megabyte at most whatever the
-    input; a bucket shared by chance only moves a shingle in the order.
+    Counts cover all texts.  h is the smallest power of two under which at most a
+    quarter of the buckets are taken: 1 on small inputs, more on large ones.  The
+    table has a fixed size, and a bucket taken by chance only moves a shingle in
+    the order, so results are the same for every h.
     """
-    often = _counted(docs, k, bits).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    counts = _counted(docs, k, bits).groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = cut_lineage(counts.select("token", F.floor(F.log2(F.col("n") - 1)).cast("int").alias("level")))
+    levels = dict(counts.groupBy("level").count().collect())
+    h = max(levels, default=0)
+    while h and sum(n for level, n in levels.items() if level >= h - 1) <= 1 << (HOT_BITS - 2):
+        h -= 1
+    often = counts.where(F.col("level") >= h)
     buckets = often.select(F.col("token").bitwiseAND((1 << HOT_BITS) - 1).alias("bucket")).distinct().toArrow()
     table = np.zeros(1 << HOT_BITS, dtype=bool)
     table[buckets.column("bucket").to_numpy()] = True
@@ -99,8 +106,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, bits: int)
         for batch in batches:
             n, sig, parity, prefix_sig, prefix = [], [], [], [], []
             for t in splitter.tokens(batch.column(1)):
-                for i in range(len(t)):
-                    s = shingles(t.hashes[t.bounds[i] : t.bounds[i + 1]], k)
+                for s in shingle_sets(t, k):
                     n.append(len(s))
                     if not len(s):
                         sig.append(None), parity.append(None), prefix_sig.append(None), prefix.append(None)
@@ -132,51 +138,108 @@ def _members(classes: DataFrame) -> DataFrame:
     return wanted.join(classes.select("prefix_sig", "n", "sig", "parity"), ["prefix_sig", "n"]).drop("prefix_sig")
 
 
-class _Block:
-    """Members of one posting list (or of two of its blocks) and the filters between them."""
+class _Lists:
+    """Rows of several posting lists, one after the other, and the filters between members of a list."""
 
     def __init__(self, table: pa.Table, percent: int):
+        table = table.combine_chunks()
         self.percent = percent
+        self.keys = np.stack([table.column(c).to_numpy() for c in ("token", "b1", "b2")])
         self.n = table.column("n").to_numpy().astype(np.int64)
         self.rest = self.n - table.column("pos").to_numpy()
         self.side = table.column("side").to_numpy()
-        self.split = self.side.min() != self.side.max()
-        self.sigs = table.column("sig").to_pylist()
-        self.bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(len(self.sigs), -1)
-
-    def passing(self, v: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` that may link with ``v``: size, position, then parity."""
-        if self.split:
-            others = others[self.side[others] != self.side[v]]
-        total = self.n[others] + self.n[v]
+        self.split = self.keys[1] != self.keys[2]
+        self.sigs, self.parity, self.labels = (_fixed(table.column(c)) for c in ("sig", "parity", "label"))
+
+    def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) may link: block, size, position, then parity."""
+        total = self.n[i] + self.n[j]
         overlap = -(-self.percent * total // (100 + self.percent))
-        ok = np.minimum(self.rest[others], self.rest[v]) >= overlap
-        ok &= 100 * np.minimum(self.n[others], self.n[v]) >= self.percent * np.maximum(self.n[others], self.n[v])
-        others, slack = others[ok], (total - 2 * overlap)[ok]
-        return others[np.bitwise_count(self.bits[others] ^ self.bits[v]).sum(axis=1) <= slack]
-
-    def forest(self) -> Iterator[tuple[int, int]]:
-        """A spanning forest of the passing pairs, breadth first from the first member."""
-        left = np.arange(len(self.n))
-        while len(left):
+        ok = np.minimum(self.rest[i], self.rest[j]) >= overlap
+        ok &= 100 * np.minimum(self.n[i], self.n[j]) >= self.percent * np.maximum(self.n[i], self.n[j])
+        ok &= ~self.split[i] | (self.side[i] != self.side[j])
+        at = np.flatnonzero(ok)
+        odd = np.bitwise_count(self.parity[i[at]] ^ self.parity[j[at]]).sum(axis=1, dtype=np.int64)
+        ok[at] = odd <= (total - 2 * overlap)[at]
+        return ok
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.labels[i] != self.labels[j]).any(axis=1)
+
+    def short(self, starts: np.ndarray, sizes: np.ndarray, all_between: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of short lists, all lists at once: a spanning forest of each, or all between labels."""
+        rows = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(s, s + m) for s, m in zip(starts, sizes)]])
+        rank = rows - np.repeat(starts, sizes)
+        j = np.repeat(rows, rank)
+        i = np.repeat(rows - rank, rank) + np.arange(len(j)) - np.repeat(np.cumsum(rank) - rank, rank)
+        if all_between:
+            keep = self.apart(i, j)
+            i, j = i[keep], j[keep]
+        keep = self.passing(i, j)
+        i, j = i[keep], j[keep]
+        return (i, j) if all_between else _spanning(i, j)
+
+    def long(self, start: int, size: int, all_between: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long list, row by row: breadth first from its first member."""
+        left, found = np.arange(start, start + size), []
+        if all_between:
+            for v in range(start, start + size):
+                others = np.arange(v + 1, start + size)
+                others = others[self.apart(np.full(len(others), v), others)]
+                others = others[self.passing(np.full(len(others), v), others)]
+                found.append((np.full(len(others), v), others))
+        while len(left) and not all_between:
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 v = queue.pop(0)
-                new = self.passing(v, left)
-                yield from ((v, u) for u in new)
+                ok = self.passing(np.full(len(left), v), left)
+                new, left = left[ok], left[~ok]
+                found.append((np.full(len(new), v), new))
                 queue.extend(new)
-                left = np.setdiff1d(left, new, assume_unique=True)
-
-    def between(self, labels: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Every passing pair whose members have different labels."""
-        for v in range(len(self.n) - 1):
-            others = np.arange(v + 1, len(self.n))
-            yield from ((v, u) for u in self.passing(v, others[labels[others] != labels[v]]))
+        return tuple(np.concatenate([np.zeros(0, dtype=np.int64), *[f[s] for f in found]]) for s in (0, 1))
+
+    def pairs(self, all_between: bool) -> pa.RecordBatch:
+        cuts = np.concatenate([[0], np.flatnonzero((self.keys[:, 1:] != self.keys[:, :-1]).any(axis=0)) + 1, [len(self.n)]])
+        starts, sizes = cuts[:-1], np.diff(cuts)
+        small = (sizes > 1) & (sizes <= SHORT_LIST)
+        found = [self.short(starts[small], sizes[small], all_between)]
+        found += [self.long(s, m, all_between) for s, m in zip(starts.tolist(), sizes.tolist()) if m > SHORT_LIST]
+        i, j = (np.concatenate([f[s] for f in found]) for s in (0, 1))
+        a, b = self.sigs[i], self.sigs[j]
+        swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+        a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        both = (np.unique(np.hstack([a, b]), axis=0) if len(a) else np.zeros((0, 4))).astype(">u8")
+        return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in both[:, c : c + 2]], pa.binary()) for c in (0, 2)], ["a", "b"])
+
+
+def _fixed(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of byte strings of one length as rows of big-endian words."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=">u8").reshape(len(values), -1)
+
+
+def _spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of which no two ends are joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    for at, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[q] = p
+            keep.append(at)
+    return i[keep], j[keep]
 
 
 def _pairs(members: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame:
     """Distinct candidate pairs (a, b) of signatures, a < b: a forest per block, or all between labels."""
-    first_round = labels is None
+    first_round, keys = labels is None, ["token", "b1", "b2"]
     if not first_round:
         members = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     else:
@@ -190,38 +253,20 @@ def _pairs(members: DataFrame, percent: int, labels: DataFrame | None) -> DataFr
         "side", "n", "pos", "sig", "parity", F.coalesce("label", "sig").alias("label"),
     )
 
-    def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(parts)
-        if table.num_rows < 2:
-            return None
-        block = _Block(table, percent)
-        if first_round:
-            found = list(block.forest())
-        else:
-            names = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-            found = list(block.between(names))
-        ends = [sorted((block.sigs[v], block.sigs[u])) for v, u in found if block.sigs[v] != block.sigs[u]]
-        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.binary()) for i in (0, 1)], ["a", "b"])
-
     def run(batches):
-        held, key = [], None
+        held = None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if held and tuple(keys[:, lo]) != key:
-                    out, held = emit(held), []
-                    if out is not None and out.num_rows:
-                        yield out
-                key = tuple(keys[:, lo])
-                held.append(batch.slice(lo, hi - lo))
-        out = emit(held) if held else None
-        if out is not None and out.num_rows:
-            yield out
-
-    keys = ["token", "b1", "b2"]
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last = [table.column(c)[-1].as_py() for c in keys]
+            same = np.logical_and.reduce([table.column(c).to_numpy() == v for c, v in zip(keys, last)])
+            cut = int(np.argmax(same))
+            held = table.slice(cut)
+            if cut:
+                yield _Lists(table.slice(0, cut), percent).pairs(not first_round)
+        if held is not None:
+            yield _Lists(held, percent).pairs(not first_round)
+
     ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "sig")
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -239,8 +284,7 @@ def _sets(docs: DataFrame, k: int, needed: DataFrame) -> DataFrame:
         for batch in batches:
             sigs, items, size = [], [], 0
             for t in splitter.tokens(batch.column(0)):
-                for i in range(len(t)):
-                    s = shingles(t.hashes[t.bounds[i] : t.bounds[i + 1]], k)
+                for s in shingle_sets(t, k):
                     sig = _signature(s) if len(s) else None
                     if sig and wanted[int.from_bytes(sig[:3], "big")]:
                         sigs.append(sig)
@@ -272,18 +316,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int, hot: int = 200) -> DataFrame:
+def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int) -> DataFrame:
     """(at, n, sig, label) for every row of ``docs``: size and name of its set, and its component.
 
     ``at`` is carried along; ``sig`` and ``label`` are null for an empty set.
-    ``hot`` only moves shingles that more texts have to the end of the order;
-    results are the same for every value.
     """
     spark = docs.sparkSession
     folder = work_folder(spark)
     bits = 2 if percent >= 85 else 1
     docs = docs.select(at.alias("at"), text.alias("text"))
-    table = frequent_bits(docs, k, hot, bits)
+    table = frequent_bits(docs, k, bits)
     _prefixes(docs, k, percent, table, bits).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     whole = F.first(F.struct("n", "parity", "prefix_sig", "prefix")).alias("c")

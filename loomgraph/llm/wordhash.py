@@ -126,8 +126,19 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(total + np.uint64(k))
 
 
-def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct ``k``-word shingles of one text; fewer words are one shingle, none is none."""
-    if not len(hashes):
-        return hashes
-    return np.unique(grams(hashes, min(k, len(hashes))))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values once each, sorted."""
+    ordered = np.sort(values)
+    keep = np.ones(len(ordered), dtype=bool)
+    keep[1:] = ordered[1:] != ordered[:-1]
+    return ordered[keep]
+
+
+def shingle_sets(t: Tokens, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct ``k``-word shingles of each text; fewer words are one shingle, none is none."""
+    runs = grams(t.hashes, k)
+    for lo, hi in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist()):
+        if hi - lo >= k:
+            yield distinct(runs[lo : hi - k + 1])
+        else:
+            yield grams(t.hashes[lo:hi], hi - lo) if hi > lo else runs[:0]
