@@ -41,7 +41,7 @@ SIGNATURE_WORDS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.ui
 PARITY_BITS = 512
 BLOCK = 1024
 SHORT_LIST = 64
-HOT_BITS = 22
+HOT_BITS = 24
 NEED_BITS = 24
 
 
@@ -332,12 +332,18 @@ def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int)
     rows.where("n > 0").groupBy("sig").agg(whole).select("sig", "c.*").write.parquet(f"{folder}/classes")
     _members(spark.read.parquet(f"{folder}/classes")).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
-    _sets(docs, k, members.select("sig").distinct()).write.parquet(f"{folder}/sets")
-    sets = spark.read.parquet(f"{folder}/sets")
 
-    links = cut_lineage(_verified(_pairs(members, percent, None), sets, percent))
-    labels = components(links)
-    more = cut_lineage(_verified(_pairs(members, percent, labels), sets, percent))
+    def links(labels: DataFrame | None) -> DataFrame:
+        pairs = cut_lineage(_pairs(members, percent, labels))
+        if pairs.isEmpty():
+            return pairs
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        path = f"{folder}/sets{0 if labels is None else 1}"
+        _sets(docs, k, ends).write.parquet(path)
+        return cut_lineage(_verified(pairs, spark.read.parquet(path), percent))
+
+    labels = components(links(None))
+    more = links(labels)
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     labels = labels.select(F.col("node").alias("sig"), "label")

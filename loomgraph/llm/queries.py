@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from loomgraph.llm import oracles
+from loomgraph.llm.decontaminate import marked
 from loomgraph.llm.jaccard_join import jaccard_classes
-from loomgraph.llm.registry import llm_query
+from loomgraph.llm.mixing import WEIGHTS, document_levels, mixed, word_count
+from loomgraph.llm.quality_rules import judged
+from loomgraph.llm.registry import QUERIES, llm_query
+from loomgraph.llm.sharding import COLUMNS, sharded
 
 
-@llm_query("op8_jaccard_join")
+@llm_query("op2_mixing")
+def op2(table):
+    """Half of all tokens by domain, language and source weights, up to two epochs of a source."""
+    rows = mixed(table("documents"), document_levels(), word_count(), ["doc_id", "text"], WEIGHTS, 0.5, 2, 17, ["doc_id"])
+    return rows.select("row.doc_id", "result.*")
+
+
+@llm_query("op3_decontamination", oracles.DECONTAMINATION)
+def op3(table):
+    """Documents that stand in benchmark items, by shared windows of 13 words."""
+    fields = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return marked(table("documents"), table("benchmark"), keep=["doc_id"]).select("row.doc_id", *[f"result.{f}" for f in fields])
+
+
+@llm_query("op4_sharding", oracles.SHARDING)
+def op4(table):
+    """Shards of up to 32 MiB by hash prefix."""
+    placed = sharded(table("documents"), keep=["doc_id"]).select("row.doc_id", *COLUMNS)
+    return placed.withColumn("shard_bits", placed.shard_bits.cast("long"))
+
+
+@llm_query("op7_quality_rules", oracles.QUALITY)
+def op7(table):
+    """Counts and verdict of the threshold table."""
+    return judged(table("documents"), keep=["doc_id"]).select("row.doc_id", "result.*")
+
+
+@llm_query("op8_jaccard_join", oracles.JACCARD)
 def op8(table):
     """Components of documents that share 90 % of their three-word shingles."""
     return jaccard_classes(table("documents"), k=3, percent=90)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
