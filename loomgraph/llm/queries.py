@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from loomgraph.llm import oracles
+from loomgraph.llm import language, line_chunks, oracles, secrets, sentence_spans, toxicity
 from loomgraph.llm.decontaminate import marked
 from loomgraph.llm.jaccard_join import jaccard_classes
 from loomgraph.llm.mixing import WEIGHTS, document_levels, mixed, word_count
@@ -12,6 +15,20 @@ from loomgraph.llm.registry import QUERIES, llm_query
 from loomgraph.llm.sharding import COLUMNS, sharded
 
 
+def _fold(modulus: int, held: int, doc_id: str = "doc_id") -> Column:
+    """Whether a row is held out of learning, by the CRC-32 of its id; a null id is in no fold."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == held, F.lit(False))
+
+
+@llm_query("op1_toxicity")
+def op1(table):
+    """Toxicity of every document; three quarters of the labels are learned from."""
+    docs, labels = table("documents"), table("labels")
+    model = toxicity.fit(docs, labels.where(~_fold(4, 2)))
+    rows = toxicity.scored(docs, model, keep=["doc_id"]).select("row.doc_id", "result.score")
+    return rows.select("doc_id", _fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @llm_query("op2_mixing")
 def op2(table):
     """Half of all tokens by domain, language and source weights, up to two epochs of a source."""
@@ -33,6 +50,21 @@ def op4(table):
     return placed.withColumn("shard_bits", placed.shard_bits.cast("long"))
 
 
+@llm_query("op5_substring_dedup")
+def op5(table):
+    """Documents without sentences of spans that stand earlier in the corpus."""
+    rows = sentence_spans.deduplicated(table("documents"), keep=["doc_id"])
+    return rows.select("row.doc_id", F.col("result.n_pieces").alias("n_sentences"), "result.n_removed", "result.text")
+
+
+@llm_query("op6_secret_scan")
+def op6(table):
+    """Secrets in every document: base patterns and what the Markov models add."""
+    docs = table("documents")
+    rows = secrets.scanned(docs, secrets.train(docs), keep=["doc_id"])
+    return rows.select("row.doc_id", *[f"result.{f}" for f in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+
+
 @llm_query("op7_quality_rules", oracles.QUALITY)
 def op7(table):
     """Counts and verdict of the threshold table."""
@@ -45,4 +77,20 @@ def op8(table):
     return jaccard_classes(table("documents"), k=3, percent=90)
 
 
+@llm_query("op9_language")
+def op9(table):
+    """Language of every document; two thirds of the labels are learned from."""
+    docs = table("documents")
+    learned = language.samples(docs.where(~_fold(3, 1)))
+    rows = language.identified(docs, learned, keep=["doc_id"])
+    return rows.select("row.doc_id", _fold(3, 1, "row.doc_id").alias("held_out"), "result.*")
+
+
+@llm_query("op10_line_dedup")
+def op10(table):
+    """Documents without chunks of lines that stand earlier in the corpus."""
+    rows = line_chunks.deduplicated(table("documents"), keep=["doc_id"])
+    return rows.select("row.doc_id", F.col("result.n_pieces").alias("n_lines"), "result.n_removed", "result.text")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
