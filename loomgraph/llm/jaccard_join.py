@@ -13,6 +13,7 @@ distinct word shingles.  The steps, all exact:
    filtered by size and position, their members by the parity of 512 bits
    (set differences bound it from above, so no link is lost).  Only a spanning
    forest of the passing pairs leaves the task, never all pairs of a group.
+   Parity over more bits then sorts out pairs of long sets.
 4. The forest is verified on the full sets.  A second round over the lists
    emits every passing pair whose ends are still in different components, and
    verifies these too; after it no unverified pair between components is left,
@@ -51,11 +52,17 @@ def _signature(ordered: np.ndarray) -> bytes:
     return np.array(parts, dtype=">u8").tobytes()
 
 
-def _parity(ordered: np.ndarray) -> bytes:
-    odd = np.bincount((ordered >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+def _parity(ordered: np.ndarray, bits: int = PARITY_BITS) -> bytes:
+    """Whether each of ``bits`` buckets of a set's shingles holds an odd number of them."""
+    odd = np.bincount((ordered >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _wide_bits(n: int) -> int:
+    """Bits enough that the parity of two unlike sets of ``n`` shingles differs widely."""
+    return 1 << max(PARITY_BITS.bit_length() - 1, (n - 1).bit_length())
+
+
 def _counted(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """(token, n): how often the shingles of the counted range occur, by 32 bits of their hash."""
 
@@ -104,12 +111,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, bits: int)
         splitter = Splitter(SPACES)
         table = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            n, sig, parity, prefix_sig, prefix = [], [], [], [], []
+            n, sig, parity, wide, prefix_sig, prefix = [], [], [], [], [], []
             for t in splitter.tokens(batch.column(1)):
                 for s in shingle_sets(t, k):
                     n.append(len(s))
                     if not len(s):
-                        sig.append(None), parity.append(None), prefix_sig.append(None), prefix.append(None)
+                        sig.append(None), parity.append(None), wide.append(None), prefix_sig.append(None), prefix.append(None)
                         continue
                     keep = len(s) - -(-percent * len(s) // 100) + 1
                     counted = int(np.searchsorted(s, np.uint64(1) << low))
@@ -117,25 +124,27 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, bits: int)
                     order = np.concatenate([s[:counted][~late], s[:counted][late], s[counted:]])[:keep]
                     sig.append(_signature(s))
                     parity.append(_parity(s))
+                    wide.append(_parity(s, _wide_bits(len(s))) if len(s) > PARITY_BITS else parity[-1])
                     prefix_sig.append(_signature(order))
                     prefix.append(order.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), *[pa.array(x, pa.binary()) for x in (sig, parity, prefix_sig)], pa.array(prefix, pa.list_(pa.int64()))],
-                ["at", "n", "sig", "parity", "prefix_sig", "prefix"],
+                [batch.column(0), pa.array(n, pa.int32()), *[pa.array(x, pa.binary()) for x in (sig, parity, wide, prefix_sig)], pa.array(prefix, pa.list_(pa.int64()))],
+                ["at", "n", "sig", "parity", "wide", "prefix_sig", "prefix"],
             )
 
-    rest = docs.sparkSession.createDataFrame([], "n int, sig binary, parity binary, prefix_sig binary, prefix array<long>").schema
+    rest = docs.sparkSession.createDataFrame([], "n int, sig binary, parity binary, wide binary, prefix_sig binary, prefix array<long>").schema
     return docs.mapInArrow(run, T.StructType([docs.schema["at"], *rest.fields]))
 
 
 def _members(classes: DataFrame) -> DataFrame:
     """Posting lists worth comparing: (token, k, n, pos, sig, parity), k members under the token."""
     groups = classes.groupBy("prefix_sig", "n").agg(F.count(F.lit(1)).alias("m"), F.first("prefix").alias("prefix"))
-    postings = groups.select("prefix_sig", "n", "m", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.sum("m").alias("k"), F.count(F.lit(1)).alias("g"), F.min("pos").alias("first"))
-    lists = lists.where("g > 1 or (k > 1 and first = 0)").select("token", "k")
-    wanted = postings.select("token", "prefix_sig", "n", "pos").join(lists, "token")
-    return wanted.join(classes.select("prefix_sig", "n", "sig", "parity"), ["prefix_sig", "n"]).drop("prefix_sig")
+    # A short name of the group is enough here: groups that share one by chance only attach more members.
+    name = F.xxhash64("prefix_sig").alias("name")
+    postings = groups.select(name, "n", "m", F.posexplode("prefix").alias("pos", "token"))
+    lists = postings.groupBy("token").agg(F.sum("m").alias("k")).where("k > 1")
+    wanted = postings.select("token", "name", "n", "pos").join(lists, "token")
+    return wanted.join(classes.select(name, "n", "sig", "parity"), ["name", "n"]).drop("name")
 
 
 class _Lists:
@@ -271,6 +280,26 @@ def _pairs(members: DataFrame, percent: int, labels: DataFrame | None) -> DataFr
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their wide parity, which tells long sets apart without fetching them."""
+    one = classes.select(F.col("sig").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("w1"))
+    two = classes.select(F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("w2"))
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+            slack = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+            keep = []
+            for x, y, most in zip(batch.column(4), batch.column(5), slack.tolist()):
+                x, y = sorted((np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y)), key=len)
+                folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                keep.append(int(np.bitwise_count(folded ^ x).sum(dtype=np.int64)) <= most)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "w1", "w2")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
 def _sets(docs: DataFrame, k: int, needed: DataFrame) -> DataFrame:
     """(sig, items) for the needed signatures.  A fixed bit table spares most other texts the way."""
     bucket = F.conv(F.hex(F.substring("sig", 1, 3)), 16, 10).cast("int").alias("bucket")
@@ -328,13 +357,14 @@ def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int)
     table = frequent_bits(docs, k, bits)
     _prefixes(docs, k, percent, table, bits).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    whole = F.first(F.struct("n", "parity", "prefix_sig", "prefix")).alias("c")
+    whole = F.first(F.struct("n", "parity", "wide", "prefix_sig", "prefix")).alias("c")
     rows.where("n > 0").groupBy("sig").agg(whole).select("sig", "c.*").write.parquet(f"{folder}/classes")
     _members(spark.read.parquet(f"{folder}/classes")).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
+    classes = spark.read.parquet(f"{folder}/classes")
 
     def links(labels: DataFrame | None) -> DataFrame:
-        pairs = cut_lineage(_pairs(members, percent, labels))
+        pairs = cut_lineage(_close(_pairs(members, percent, labels), classes, percent))
         if pairs.isEmpty():
             return pairs
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
