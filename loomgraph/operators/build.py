@@ -120,36 +120,48 @@ def repositories_to_import(nodes: DataFrame, broken: DataFrame, allow_partial: b
     return repos if allow_partial else repos.join(broken.select("repo").distinct(), "repo", "left_anti")
 
 
+def _position(rows: DataFrame, tier: int, extractor: Column) -> Column:
+    """Place of a row in a merged graph: the graph first, then extractors by name; numbers sort as numbers."""
+    number = isinstance(rows.schema["ord"].dataType, T.NumericType)
+    return F.struct(
+        F.lit(tier).alias("tier"),
+        extractor.alias("extractor"),
+        (F.col("ord").cast("long") if number else F.lit(None).cast("long")).alias("number"),
+        (F.lit(None).cast("string") if number else F.col("ord").cast("string")).alias("key"),
+    )
+
+
 def merge_nodes(graph_nodes: DataFrame, frag_nodes: DataFrame) -> DataFrame:
     """Graph nodes with fragments filling their gaps, new ids appended.
 
     The graph comes first, then fragments by extractor name and order; metadata
-    counts as one field.
+    counts as one field.  Graph rows of one id all stay, and fragments fill the
+    last of them.  ``ord`` becomes the struct of ``_position``.
     """
-    fields = ["repo", *schemas.NODE_FIELDS]
-    base = graph_nodes.select(
-        *fields, F.struct(F.lit(0).alias("tier"), F.lit("").alias("extractor"), F.col("ord").cast("string").alias("o")).alias("pos"),
-        F.col("ord").cast("string").alias("ord"),
-    )
-    frags = frag_nodes.select(
-        *fields,
-        F.struct(F.lit(1).alias("tier"), F.col("extractor").alias("extractor"), F.col("ord").cast("string").alias("o")).alias("pos"),
-        F.col("ord").cast("string").alias("ord"),
+    fields = [f for f in schemas.NODE_FIELDS if f != "id"]
+    base = graph_nodes.select("repo", *schemas.NODE_FIELDS, _position(graph_nodes, 0, F.lit("")).alias("ord"))
+    rows = frag_nodes.select("repo", *schemas.NODE_FIELDS, _position(frag_nodes, 1, F.col("extractor")).alias("ord"))
+    fills = rows.groupBy("repo", "id").agg(
+        F.min("ord").alias("ord"),
+        *[_first(F.col(f), schemas.NODE_FIELDS[f], F.col("ord")).alias(f) for f in fields],
     )
-    rows = base.unionByName(frags)
-    pos = F.col("pos")
-    merged = rows.groupBy("repo", "id").agg(
-        F.min("pos").alias("pos"),
-        *[_first(F.col(f), t, pos).alias(f) for f, t in schemas.NODE_FIELDS.items() if f != "id"],
-    )
-    return merged.select("repo", F.to_json("pos").alias("ord"), *schemas.NODE_FIELDS)
+    last = base.groupBy("repo", "id").agg(F.max("ord").alias("last"))
+    gaps = last.join(fills.select("repo", "id", *[F.col(f).alias(f"f_{f}") for f in fields]), ["repo", "id"], "left")
+
+    def filled(f: str) -> Column:
+        keep = _meaningful(F.col(f), schemas.NODE_FIELDS[f]) | (F.col("ord") != F.col("last"))
+        return F.when(F.coalesce(keep, F.lit(False)), F.col(f)).otherwise(F.coalesce(F.col(f"f_{f}"), F.col(f))).alias(f)
+
+    kept = base.join(gaps, ["repo", "id"]).select("repo", "ord", "id", *[filled(f) for f in fields])
+    new = fills.join(last, ["repo", "id"], "left_anti").select("repo", "ord", "id", *fields)
+    return kept.unionByName(new).select("repo", "ord", *schemas.NODE_FIELDS)
 
 
 def merge_links(graph_links: DataFrame, frag_edges: DataFrame) -> DataFrame:
-    """Graph links followed by fragment edges, duplicates kept."""
+    """Graph links followed by fragment edges, duplicates kept (B5); ``ord`` as in ``merge_nodes``."""
     fields = ["repo", *schemas.LINK_FIELDS]
-    return graph_links.select(*fields, F.lit(0).alias("tier"), F.col("ord").cast("string").alias("ord")).unionByName(
-        frag_edges.select(*fields, F.lit(1).alias("tier"), F.col("ord").cast("string").alias("ord"))
+    return graph_links.select(*fields, _position(graph_links, 0, F.lit("")).alias("ord")).unionByName(
+        frag_edges.select(*fields, _position(frag_edges, 1, F.col("extractor")).alias("ord"))
     )
 
 

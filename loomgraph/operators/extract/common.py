@@ -154,8 +154,8 @@ def segments(text: Column, starts: str) -> Column:
 
 
 def order_key(walk: Column, *numbers: Column) -> Column:
-    """Sort key: walk order of the file, then positions inside it."""
-    parts = [F.lpad(n.cast("string"), 9, "0") for n in numbers]
+    """Sort key: walk order of the file, then positions inside it, at the full width of a long."""
+    parts = [F.lpad(n.cast("long").cast("string"), 19, "0") for n in numbers]
     return F.concat_ws("\u0000", walk, *parts)
 
 

@@ -160,7 +160,7 @@ def config_topics(files: DataFrame) -> DataFrame:
     return (
         hits.select("repo", "path", "walk", role.alias("role"), "h.line", F.posexplode(listed).alias("i", "raw"))
         .select(
-            "repo", "path", "walk", (F.col("line") * 1000 + F.least("i", F.lit(999))).alias("pos"), "role",
+            "repo", "path", "walk", (F.col("line").cast("long") * (1 << 31) + F.col("i")).alias("pos"), "role",
             topic.alias("topic"), "line",
         )
         .where(F.col("topic").rlike(TOPIC_RE) & ~F.lower("topic").isin(*NOT_TOPICS))

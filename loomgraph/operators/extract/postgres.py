@@ -305,12 +305,12 @@ def references(found: DataFrame) -> DataFrame:
         )
         .select(
             "repo", "path",
-            F.concat("ord", F.lit("\u0000"), F.lpad((F.col("r") + 1).cast("string"), 9, "0")).alias("ord"),
+            F.concat("ord", F.lit("\u0000"), F.lpad((F.col("r") + 1).cast("string"), 19, "0")).alias("ord"),
             "source", "ref.*", F.lit(None).cast("string").alias("source_location"),
         )
     )
     fired = found.where("kind = 'sql_trigger'").select(
-        "repo", "path", F.concat("ord", F.lit("\u0000"), F.lpad(F.lit("0"), 9, "0")).alias("ord"), "source",
+        "repo", "path", F.concat("ord", F.lit("\u0000"), F.lpad(F.lit("0"), 19, "0")).alias("ord"), "source",
         F.lit("triggers_on").alias("relation"), F.lit("EXTRACTED").alias("confidence"),
         F.lit(None).cast("string").alias("context"), F.lit("sql_table").alias("t_kind"),
         F.col("on_schema").alias("t_schema"), F.col("on_table").alias("t_name"),

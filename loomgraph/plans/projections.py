@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.functions.columns import lit_map
-from loomgraph.session import spread, work_folder
+from loomgraph.session import input_stamp, spread, work_folder
 
 NOW = "2024-01-31 00:00:00"
 
-# Tables written by this application: (application, input folder, table) -> path.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-_LOCKS: dict[tuple[str, str, str], Lock] = {}
+# Tables written by this application: (application, input folder, state of its files, table) -> path.
+_WRITTEN: dict[tuple[str, str, str, str], str] = {}
+_LOCKS: dict[tuple[str, str, str, str], Lock] = {}
 _GUARD = Lock()
 
 
@@ -55,7 +55,7 @@ class GraphTables:
 
     def _stored(self, name: str, build, fields: dict, partition: str | None = None) -> DataFrame:
         """The table ``name``, written by ``build`` on first use in this application."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, input_stamp(self.spark, self.sf_dir), name)
         with _GUARD:
             lock = _LOCKS.setdefault(key, Lock())
         with lock:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +17,15 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set a temporary one only when unset (tests)."""
+    """Use the checkpoint folder that the session names; one process may fall back on its warehouse folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
+        if not configured:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+        context.setCheckpointDir(configured)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -49,6 +52,44 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def input_stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files under ``path``: another value once the input changes."""
+    fs, place = _files(spark, path)
+    found, parts = fs.listFiles(place, True), []
+    while found.hasNext():
+        f = found.next()
+        parts.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(sorted(parts))))
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it is there already; whether it was created."""
+    fs, place = _files(spark, path)
+    fs.mkdirs(place.getParent())
+    if fs.exists(place):
+        return False
+    try:
+        stream = fs.create(place, False)
+    except Exception as error:  # Hadoop's own error when another writer was first
+        if "Exists" in str(error) or "exists" in str(error):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    fs, place = _files(spark, path)
+    return fs.delete(place, True)
+
+
 def work_folder(spark: SparkSession) -> str:
     """Folder for tables this application writes and reads again."""
     ensure_checkpoint_dir(spark)
