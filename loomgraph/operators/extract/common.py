@@ -62,9 +62,12 @@ TEST_FILE_RE = (
 
 
 def select_files(
-    files: DataFrame, max_bytes: int, extensions=None, skip_dirs=rules.SKIP_DIRS, skip_tests: bool = False
+    files: DataFrame, max_bytes: int | None, extensions=None, skip_dirs=rules.SKIP_DIRS, skip_tests: bool = False
 ) -> DataFrame:
-    """Files an extractor reads, with ``ext``, ``name`` and the walk-order key (A3)."""
+    """Files an extractor reads, with ``ext``, ``name`` and the walk-order key (A3).
+
+    ``max_bytes`` leaves out longer files; None, which every extractor passes, reads all.
+    """
     dirs = F.split(F.col("path"), "/")
     dirs = F.slice(dirs, 1, F.size(dirs) - 1)
     name = F.lower(base_name(F.col("path")))
@@ -73,9 +76,9 @@ def select_files(
         rows = rows.where(F.col("ext").isin(*extensions))
     if skip_tests:
         rows = rows.where(~F.col("name").rlike(TEST_FILE_RE))
-    return rows.where(
-        (F.octet_length("content") <= max_bytes) & ~F.arrays_overlap(dirs, lit_array(skip_dirs))
-    ).withColumn("walk", walk_key(F.col("path")))
+    if max_bytes is not None:
+        rows = rows.where(F.octet_length("content") <= max_bytes)
+    return rows.where(~F.arrays_overlap(dirs, lit_array(skip_dirs))).withColumn("walk", walk_key(F.col("path")))
 
 
 # --- matches -----------------------------------------------------------------

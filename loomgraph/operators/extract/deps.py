@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import schemas
-from loomgraph.functions import rules
 from loomgraph.operators.extract.common import (
     Fragments,
     emit_edges,
@@ -32,7 +31,7 @@ _NPM = "dependencies map<string,string>, devDependencies map<string,string>"
 
 def manifest_deps(files: DataFrame) -> DataFrame:
     """Dependencies declared in manifest files."""
-    rows = select_files(files, rules.SPEC_MAX_BYTES)
+    rows = select_files(files, None)
     lines = rows.where(F.col("name").isin("go.mod") | F.col("name").rlike(r"^requirements.*\.txt$")).select(
         "repo", "path", "name", F.explode(F.split("content", "\n")).alias("text")
     )
@@ -69,7 +68,7 @@ def internal_targets(deps: DataFrame, org_prefixes: list[str]) -> DataFrame:
     rest = F.lit(None).cast("string")
     for prefix in reversed(ordered):
         rest = F.when(
-            F.col("name").startswith(prefix), F.substring(F.col("name"), len(prefix) + 1, 1_000_000)
+            F.col("name").startswith(prefix), F.col("name").substr(F.lit(len(prefix) + 1), F.length("name"))
         ).otherwise(rest)
     return deps.withColumn("target_repo", F.split_part(rest, F.lit("/"), F.lit(1))).where(
         F.col("target_repo").isNotNull() & (F.col("target_repo") != "") & (F.col("target_repo") != F.col("repo"))

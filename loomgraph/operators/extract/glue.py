@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import schemas
-from loomgraph.functions import rules
 from loomgraph.functions.columns import base_name, or_empty
 from loomgraph.operators.extract.common import (
     Fragments,
@@ -66,7 +65,7 @@ def _has_any(text: Column, marks) -> Column:
 
 
 def _files(files: DataFrame, extensions) -> DataFrame:
-    return select_files(files, rules.GLUE_MAX_BYTES, extensions)
+    return select_files(files, None, extensions)
 
 
 def terraform_jobs(files: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions import rules
 from loomgraph.operators.extract.common import (
     Fragments,
     emit_edges,
@@ -101,7 +100,7 @@ def code_topics(files: DataFrame) -> DataFrame:
 
     hits = F.flatten(F.transform(mine, apply))
     extensions = [e for language in LANGUAGES for e in language[0]]
-    rows = select_files(files, rules.KAFKA_MAX_BYTES, extensions)
+    rows = select_files(files, None, extensions)
     return (
         rows.select("repo", "path", "walk", F.posexplode(hits).alias("pos", "hit"))
         .select("repo", "path", "walk", "pos", "hit.role", _clean(F.col("hit.topic")).alias("topic"), "hit.line")
@@ -144,7 +143,7 @@ def _yaml_hits(text: Column) -> Column:
 
 def config_topics(files: DataFrame) -> DataFrame:
     """Topic names in Kafka-related YAML with their role."""
-    rows = select_files(files, rules.KAFKA_MAX_BYTES, CONFIG_EXTENSIONS).where(
+    rows = select_files(files, None, CONFIG_EXTENSIONS).where(
         F.lower("path").contains("kafka") | F.lower("content").contains("kafka")
     )
     rows = rows.where(F.lower("content").contains("topic"))

@@ -65,7 +65,7 @@ def strip_comments(text: Column, ext: Column) -> Column:
 def code_files(files: DataFrame) -> DataFrame:
     """Source files of the HTTP extractor with their comment-free code."""
     rows = select_files(
-        files, rules.HTTP_MAX_BYTES, HTTP_EXTENSIONS, rules.SKIP_DIRS + rules.HTTP_SKIP_DIRS, skip_tests=True
+        files, None, HTTP_EXTENSIONS, rules.SKIP_DIRS + rules.HTTP_SKIP_DIRS, skip_tests=True
     )
     code = strip_comments(F.col("content"), F.col("ext"))
     return rows.select("repo", "path", "walk", "ext", F.regexp_replace(code, r"\r(?=\n|\z)", "").alias("code"))

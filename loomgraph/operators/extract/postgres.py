@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions import rules
 from loomgraph.operators.extract import sqlcommon as S
 from loomgraph.operators.extract.common import (
     Fragments,
@@ -198,7 +197,7 @@ def _headers() -> Column:
 
 def objects(files: DataFrame, default_dialect: str = "mssql") -> DataFrame:
     """Statements with their body up to their own semicolon."""
-    rows = select_files(files, rules.SQL_MAX_BYTES, (".sql",)).where(
+    rows = select_files(files, None, (".sql",)).where(
         owner(F.col("content"), default_dialect) == EXTRACTOR
     )
     masked = rows.select("repo", "path", "walk", mask(F.col("content")).alias("masked"))

@@ -80,8 +80,17 @@ def languages(entities) -> DataFrame:
     )
 
 
+def community_counts(entities) -> DataFrame:
+    """Communities of each repository, all of them."""
+    rows = entities.where(F.col("repo").isNotNull() & F.col("community").isNotNull())
+    return rows.groupBy("repo").agg(F.count_distinct("community").alias("communities"))
+
+
 def communities(entities) -> DataFrame:
-    """Largest communities with sample members, main directory and label."""
+    """Largest communities with sample members, main directory and label.
+
+    Sizes and main directories count every member; only the listing is short.
+    """
     keys = ["repo", "community"]
     members = entities.where(F.col("repo").isNotNull() & F.col("community").isNotNull()).select(
         *keys, "node_key", "name", or_empty(F.col("path")).alias("path")
@@ -90,9 +99,9 @@ def communities(entities) -> DataFrame:
     largest = top_per(
         sizes, ["repo"], [F.desc("size"), "community"], rules.OVERVIEW_COMMUNITIES, "position"
     )
-    sample = top_per(members, keys, ["node_key"], rules.OVERVIEW_COMMUNITY_PATHS)
+    sample = top_per(members, keys, ["node_key"], rules.OVERVIEW_COMMUNITY_NAMES)
     dirs = (
-        sample.where(F.col("path") != "")
+        members.where(F.col("path") != "")
         .groupBy(*keys, directory(F.col("path")).alias("dir"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*keys)
@@ -100,7 +109,7 @@ def communities(entities) -> DataFrame:
     )
     # At most eight names per group are collected.
     names = (
-        sample.where((F.col("rank") <= rules.OVERVIEW_COMMUNITY_NAMES) & (or_empty(F.col("name")) != ""))
+        sample.where(or_empty(F.col("name")) != "")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("ranked"))
         .select(*keys, F.col("ranked.name").alias("sample_members"))
@@ -133,16 +142,20 @@ def _kind_rank(kind: Column) -> Column:
     return F.when(kind == "executable_main", 0).when(kind == "server", 1).otherwise(2)
 
 
-def entry_points(entities) -> DataFrame:
-    """Functions that look like program, server or bootstrap starts."""
+def _starts(entities) -> DataFrame:
+    """Functions that look like program, server or bootstrap starts."""
     low = F.col("name_lower")
     starts = low.startswith("serve") | low.startswith("start") | low.startswith("bootstrap") | low.startswith("run(")
     shaped = (low == "main()") | contains_any(low, ("newserver", "listenandserve", "runserver")) | starts
-    hits = entities.where(F.col("repo").isNotNull() & (F.col("label") == "Function") & shaped).select(
+    return entities.where(F.col("repo").isNotNull() & (F.col("label") == "Function") & shaped).select(
         "repo", "node_key", "name", or_empty(F.col("path")).alias("path"),
         or_empty(F.col("line")).alias("line"), entity_labels(F.col("label")).alias("labels"),
     )
-    first = top_per(hits, ["repo"], ["path", "name", "node_key"], rules.OVERVIEW_ENTRY_POINTS, "by_path")
+
+
+def entry_points(entities) -> DataFrame:
+    """The first functions that look like program, server or bootstrap starts."""
+    first = top_per(_starts(entities), ["repo"], ["path", "name", "node_key"], rules.OVERVIEW_ENTRY_POINTS, "by_path")
     first = first.withColumn("kind", entry_point_kind(F.col("name")))
     ordered = Window.partitionBy("repo").orderBy(_kind_rank(F.col("kind")), "by_path")
     return first.select(
@@ -254,15 +267,14 @@ def route_prefix(path: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_extract(trimmed, "^([^/]*(?:/[^/]*)?)", 1))
 
 
-def _listed_routes(entities) -> DataFrame:
-    routes = all_routes(entities).where(F.col("raw_repo").isNotNull())
-    return top_per(routes, ["repo"], ["path", "node_key"], rules.ROUTE_LIMIT)
+def _routes(entities) -> DataFrame:
+    return all_routes(entities).where(F.col("raw_repo").isNotNull())
 
 
 def route_methods(entities) -> DataFrame:
-    """Method distribution of the listed routes."""
+    """Method distribution of all routes."""
     return (
-        _listed_routes(entities)
+        _routes(entities)
         .where(F.col("method") != "")
         .groupBy("repo", F.col("method").alias("name"))
         .agg(F.count(F.lit(1)).alias("count"))
@@ -270,9 +282,9 @@ def route_methods(entities) -> DataFrame:
 
 
 def route_groups(entities) -> DataFrame:
-    """Listed routes grouped by their first two path segments."""
+    """All routes grouped by their first two path segments."""
     groups = (
-        _listed_routes(entities)
+        _routes(entities)
         .groupBy("repo", route_prefix(F.col("path")).alias("prefix"))
         .agg(
             F.count(F.lit(1)).alias("count"),
@@ -285,22 +297,19 @@ def route_groups(entities) -> DataFrame:
     )
 
 
-def _listed_dependencies(entities, edges) -> DataFrame:
-    rows = dependency_rows(entities, edges).withColumn("repo", F.substring("hub_id", 7, 1_000_000))
-    return top_per(
-        rows, ["repo"], ["ecosystem", "target_name", "target_key", "cross", "scope"], rules.DEPENDENCY_LIMIT
-    )
+def _dependencies(entities, edges) -> DataFrame:
+    return dependency_rows(entities, edges).withColumn("repo", F.expr("substring(hub_id, 7)"))
 
 
 def internal_dependencies(entities, edges) -> DataFrame:
     """Cross-repository dependency names."""
-    rows = _listed_dependencies(entities, edges).where("cross")
+    rows = _dependencies(entities, edges).where("cross")
     return rows.groupBy("repo").agg(distinct_list(F.col("target_name")).alias("internal_repos"))
 
 
 def external_dependencies(entities, edges) -> DataFrame:
     """The first external packages of each repository."""
-    rows = _listed_dependencies(entities, edges).where("NOT cross").drop("rank")
+    rows = _dependencies(entities, edges).where("NOT cross")
     return top_per(
         rows, ["repo"], ["ecosystem", "target_name", "target_key", "scope"], rules.OVERVIEW_EXTERNAL_DEPS, "position"
     ).select("repo", "position", F.col("target_name").alias("name"), "ecosystem", "version", "scope", "confidence")
@@ -309,7 +318,7 @@ def external_dependencies(entities, edges) -> DataFrame:
 def dependency_ecosystems(entities, edges) -> DataFrame:
     """External dependencies per ecosystem."""
     return (
-        _listed_dependencies(entities, edges)
+        _dependencies(entities, edges)
         .where("NOT cross AND ecosystem <> ''")
         .groupBy("repo", F.col("ecosystem").alias("name"))
         .agg(F.count(F.lit(1)).alias("count"))
@@ -375,7 +384,7 @@ def reading_order(entities, edges, ownership) -> DataFrame:
 def summary_line(repositories, entities, edges, ownership) -> DataFrame:
     """One text line per repository that has nodes."""
     base = counts(repositories, edges, ownership).where("nodes > 0")
-    n_communities = communities(entities).groupBy("repo").agg(F.count(F.lit(1)).alias("communities"))
+    n_communities = community_counts(entities)
     kinds = top_per(
         label_counts(entities, ownership), ["repo"], [F.desc("count"), "name"], 2
     ).groupBy("repo").agg(
@@ -383,7 +392,7 @@ def summary_line(repositories, entities, edges, ownership) -> DataFrame:
             F.collect_list(F.struct("rank", F.concat(F.col("count").cast("string"), F.lit(" "), "name").alias("text")))
         ).alias("kinds")
     )
-    routes = _listed_routes(entities).groupBy("repo").agg(F.count(F.lit(1)).alias("routes"))
+    routes = _routes(entities).groupBy("repo").agg(F.count(F.lit(1)).alias("routes"))
     owned = ownership.select("repo", "node_key").join(
         entities.where(F.col("label").isin("KafkaTopic", "SqlTable", "SqlProcedure", "SqlView", "SqlFunction"))
         .select("node_key", "label", "name"),
@@ -393,7 +402,7 @@ def summary_line(repositories, entities, edges, ownership) -> DataFrame:
         F.count_distinct(F.when(F.col("label") == "KafkaTopic", F.col("name"))).alias("topics"),
         F.count_distinct(F.when(F.col("label") != "KafkaTopic", F.struct("label", "name"))).alias("sql_objects"),
     )
-    starts = entry_points(entities).groupBy("repo").agg(F.count(F.lit(1)).alias("starts"))
+    starts = _starts(entities).groupBy("repo").agg(F.count(F.lit(1)).alias("starts"))
     rows = base
     for part in (n_communities, kinds, routes, objects, starts):
         rows = rows.join(part, "repo", "left")

@@ -20,11 +20,11 @@ PATH_SCOPED = ("overview", "dependencies")
 def _query_values(query: Column, key: str) -> Column:
     """Decoded values of one query parameter."""
     pairs = F.filter(F.split(or_empty(query), "&"), lambda p: p.startswith(key + "="))
-    return F.transform(pairs, lambda p: F.try_url_decode(F.substring(p, len(key) + 2, 1_000_000)))
+    return F.transform(pairs, lambda p: F.try_url_decode(p.substr(F.lit(len(key) + 2), F.length(p))))
 
 
-def to_samples(requests: DataFrame) -> DataFrame:
-    """Successful, attributable requests as usage samples (H1)."""
+def to_samples(requests: DataFrame, most_repos: int | None = None) -> DataFrame:
+    """Successful, attributable requests as usage samples (H1); ``most_repos`` keeps the first of a request only."""
     trimmed = F.btrim(F.col("path"), F.lit("/"))
     endpoint = F.split_part(trimmed, F.lit("/"), F.lit(1))
     subject = F.split_part(trimmed, F.lit("/"), F.lit(2))
@@ -32,7 +32,8 @@ def to_samples(requests: DataFrame) -> DataFrame:
     names = F.transform(
         F.flatten(F.transform(listed, lambda v: F.split(or_empty(v), ","))), lambda n: F.trim(n)
     )
-    asked = F.slice(F.filter(names, lambda n: n != ""), 1, rules.MAX_REPOS_PER_SAMPLE)
+    asked = F.filter(names, lambda n: n != "")
+    asked = asked if most_repos is None else F.slice(asked, 1, most_repos)
     scoped = endpoint.isin(*PATH_SCOPED) & (subject != "")
     return (
         requests.where((F.col("status") < 400) & (trimmed != ""))

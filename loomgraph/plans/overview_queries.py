@@ -74,7 +74,7 @@ _COMM = f"""
     sz AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size DESC, community) AS position
            FROM (SELECT repo, community, count(*) AS size FROM m GROUP BY 1, 2)),
     dd AS (SELECT repo, community, dir, row_number() OVER (PARTITION BY repo, community ORDER BY count(*) DESC, dir) AS r
-           FROM (SELECT repo, community, {_DIR} AS dir FROM m WHERE rn <= 50 AND path <> '') GROUP BY 1, 2, 3),
+           FROM (SELECT repo, community, {_DIR} AS dir FROM m WHERE path <> '') GROUP BY 1, 2, 3),
     nm AS (SELECT repo, community, string_agg(name, '|' ORDER BY rn) AS names, min_by(name, rn) AS first_name
            FROM m WHERE rn <= 8 AND name <> '' GROUP BY 1, 2),
     comm AS (SELECT sz.repo, position, sz.community AS id,
@@ -187,9 +187,8 @@ def g10_sql_summary(t):
 
 
 _LISTED = """
-    rts AS (SELECT * FROM (SELECT repo, split_part(name, ' ', 1) AS method, substr(name, strpos(name, ' ') + 1) AS rpath,
-               row_number() OVER (PARTITION BY repo ORDER BY substr(name, strpos(name, ' ') + 1), node_key) AS rn
-            FROM entities WHERE label = 'HttpRoute') WHERE rn <= 500),
+    rts AS (SELECT repo, split_part(name, ' ', 1) AS method, substr(name, strpos(name, ' ') + 1) AS rpath
+            FROM entities WHERE label = 'HttpRoute'),
     rgroups AS (SELECT repo, prefix, count(*) AS "count", string_agg(DISTINCT method, '|' ORDER BY method) AS methods,
                row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, prefix) AS position
             FROM (SELECT *, '/' || regexp_extract(regexp_replace(rpath, '^/', ''), '^([^/]*(?:/[^/]*)?)', 1) AS prefix FROM rts)
@@ -208,14 +207,13 @@ def g11_route_groups(t):
 
 
 _DEPS = """
-    dps AS (SELECT * FROM (
-      SELECT substr(h.node_id, 7) AS repo, p.name, p.node_key AS pk, coalesce(p.ecosystem, '') AS ecosystem,
+    dps AS (SELECT substr(h.node_id, 7) AS repo, p.name, p.node_key AS pk, coalesce(p.ecosystem, '') AS ecosystem,
              coalesce(p.version, '') AS version, coalesce(d.context, '') AS scope, d.type = 'DEPENDS_ON_REPO' AS crs,
              coalesce(d.confidence, '') AS confidence,
              row_number() OVER (PARTITION BY h.node_id ORDER BY coalesce(p.ecosystem, ''), p.name, p.node_key,
                                 d.type = 'DEPENDS_ON_REPO', coalesce(d.context, '')) AS rn
       FROM edges d JOIN entities h ON d.src = h.node_key JOIN entities p ON d.dst = p.node_key
-      WHERE h.node_id LIKE 'repo::%' AND d.type IN ('DEPENDS_ON', 'DEPENDS_ON_REPO')) WHERE rn <= 1000)
+      WHERE h.node_id LIKE 'repo::%' AND d.type IN ('DEPENDS_ON', 'DEPENDS_ON_REPO'))
 """
 
 
@@ -288,12 +286,12 @@ def g13_reading_order(t):
     own AS (SELECT DISTINCT o.repo, label, name FROM ownership o JOIN entities e ON o.node_key = e.node_key
             WHERE label IN ('KafkaTopic', 'SqlTable', 'SqlProcedure', 'SqlView', 'SqlFunction'))
     SELECT repo, repo || ': ' || nodes || ' nodes, ' || rels || ' relationships, '
-        || (SELECT count(*) FROM comm WHERE comm.repo = cts.repo) || ' communities'
+        || (SELECT count(*) FROM sz WHERE sz.repo = cts.repo) || ' communities'
         || (SELECT ', ' || kinds FROM lbl WHERE lbl.repo = cts.repo)
         || (SELECT CASE WHEN count(*) > 0 THEN ', ' || count(*) || ' HTTP routes' ELSE '' END FROM rts WHERE rts.repo = cts.repo)
         || (SELECT CASE WHEN count(*) > 0 THEN ', ' || count(*) || ' Kafka topics' ELSE '' END FROM own WHERE own.repo = cts.repo AND label = 'KafkaTopic')
         || (SELECT CASE WHEN count(*) > 0 THEN ', ' || count(*) || ' SQL objects' ELSE '' END FROM own WHERE own.repo = cts.repo AND label <> 'KafkaTopic')
-        || (SELECT CASE WHEN count(*) > 0 THEN ', ' || count(*) || ' entry points' ELSE '' END FROM ep WHERE ep.repo = cts.repo)
+        || (SELECT CASE WHEN count(*) > 0 THEN ', ' || count(*) || ' entry points' ELSE '' END FROM ep0 WHERE ep0.repo = cts.repo)
         || '.' AS summary
     FROM cts WHERE nodes > 0
     """,

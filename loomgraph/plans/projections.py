@@ -197,7 +197,7 @@ class GraphTables:
         )
         jobs = self.glue_jobs().select(
             "node_key",
-            F.substring("node_key", 11, 1000).alias("node_id"),
+            F.expr("substring(node_key, 11)").alias("node_id"),
             _cat("job_", _s("slot")).alias("name"),
             _cat("infra/job_", _s("slot"), ".tf").alias("path"),
             F.lit("L3").alias("line"),
@@ -681,8 +681,8 @@ class GraphTables:
             F.lit("package").alias("type"), schemas.metadata_struct(is_repository=F.lit(True)).alias("metadata"),
         )
         packages = self.edges("DEPENDS_ON").where(F.col("src").startswith("platform::repo::")).select(
-            "repo", F.lit(300_000_000_000).alias("ord"), F.substring("dst", 11, 1000).alias("id"),
-            F.substring("dst", 11, 1000).alias("label"), F.substring("dst", 11, 1000).alias("norm_label"),
+            "repo", F.lit(300_000_000_000).alias("ord"), F.expr("substring(dst, 11)").alias("id"),
+            F.expr("substring(dst, 11)").alias("label"), F.expr("substring(dst, 11)").alias("norm_label"),
             F.lit("platform").alias("origin"), F.lit("package").alias("type"), F.lit("npm").alias("ecosystem"),
             schemas.metadata_struct().alias("metadata"),
         )
@@ -712,7 +712,7 @@ class GraphTables:
         )
         packages = self.edges("DEPENDS_ON").where(F.col("src").startswith("platform::repo::")).select(
             "repo", F.lit(300_000_000_000).alias("ord"), _cat("repo::", F.col("repo")).alias("source"),
-            F.substring("dst", 11, 1000).alias("target"), F.lit("depends_on").alias("relation"),
+            F.expr("substring(dst, 11)").alias("target"), F.lit("depends_on").alias("relation"),
             F.lit("EXTRACTED").alias("confidence"), "context",
         )
         rows = orders.unionByName(packages, allowMissingColumns=True)
