@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.operators import build
 from loomgraph.operators.extract import deps, glue, kafka, lexing, postgres, routes, tsql
-from loomgraph.operators.extract.common import select_files
+from loomgraph.operators.extract.common import Fragments, select_files
 from loomgraph.operators.extract.dialect import POSTGRES_MARKERS, TSQL_MARKERS, dialect, owner, score
+from loomgraph.plans.index_run import index_files
 from loomgraph.plans.registry import query
+from loomgraph.session import work_folder
+from loomgraph.sources.store import GraphStore
 
 _DOCS = {
     "docs": """
@@ -374,3 +378,66 @@ def c20_run_summary(t):
     none = broken.select("repo", "extractor", F.lit("").alias("message")).where(F.lit(False))
     summary = build.run_summary(all_.nodes, all_.edges, none, broken)
     return summary.select("repo", "extractor", "edges", "warnings", "failed")
+
+
+# --- the whole run, from files to the store -----------------------------------
+
+
+def _indexed(t, allow_partial: bool, extractors: dict | None = None):
+    """Status of an index run over all files into an empty store, and the topics and jobs that it owns."""
+    files = _extractable(t)
+    runs = files.select("repo").distinct().select("repo", F.lit("c1").alias("commit"), F.lit("r1").alias("run"))
+    store = GraphStore(t.spark, f"{work_folder(t.spark)}/indexed")
+    none = {kind: t.spark.createDataFrame([], "repo string, ord long, " + ", ".join(f"`{n}` {d.simpleString()}" for n, d in fields.items()))
+            for kind, fields in (("nodes", schemas.NODE_FIELDS), ("links", schemas.LINK_FIELDS))}
+    status = index_files(store, none["nodes"], none["links"], files, runs, allow_partial, ["org-"], extractors)
+    graph = store.read()
+    owned = graph.ownership.join(graph.entities.select("node_key", "label"), "node_key").groupBy("repo").agg(
+        F.count(F.when(F.col("label") == "KafkaTopic", True)).alias("topics"),
+        F.count(F.when(F.col("label") == "GlueJob", True)).alias("jobs"),
+    )
+    zero = F.lit(0)
+    return status.join(owned, "repo", "left").select(
+        "repo", "status", F.coalesce("topics", zero).alias("topics"), F.coalesce("jobs", zero).alias("jobs")
+    )
+
+
+_OWNED = f"""
+    SELECT r.repo, coalesce(topics, 0) AS topics, coalesce(jobs, 0) AS jobs FROM (SELECT DISTINCT repo FROM paths) r
+    LEFT JOIN (SELECT repo, count(DISTINCT topic) AS topics FROM troles GROUP BY repo) k ON k.repo = r.repo
+    LEFT JOIN (SELECT repo, count(DISTINCT name) AS jobs FROM (SELECT repo, name FROM glues UNION ALL SELECT repo, name FROM ({_ALONE}))
+               GROUP BY repo) g ON g.repo = r.repo"""
+
+
+@_c("index_run_from_files", f"SELECT repo, 'success' AS status, topics, jobs FROM ({_OWNED})")
+def index_run_from_files(t):
+    return _indexed(t, False)
+
+
+_LIMPING = ("NATION_1", "NATION_4", "NATION_9")
+
+
+def _limping(files):
+    """Kafka extraction that loses a topic's name in some repositories."""
+    found = kafka.extract(files)
+    lost = F.col("repo").isin(*_LIMPING)
+    nodes = found.nodes.withColumn("label", F.when(~lost, F.col("label")))
+    return Fragments(nodes, found.edges, found.warnings)
+
+
+@_c(
+    "index_run_fails_closed",
+    f"""SELECT repo, CASE WHEN repo IN {_LIMPING} THEN 'failed' ELSE 'success' END AS status,
+        CASE WHEN repo IN {_LIMPING} THEN 0 ELSE topics END AS topics, CASE WHEN repo IN {_LIMPING} THEN 0 ELSE jobs END AS jobs
+    FROM ({_OWNED}) WHERE repo NOT IN {_LIMPING} OR repo IN (SELECT repo FROM troles)""",
+)
+def index_run_fails_closed(t):
+    return _indexed(t, False, {"kafka": _limping, "glue": glue.extract})
+
+
+@_c(
+    "index_run_allow_partial",
+    f"SELECT repo, 'success' AS status, CASE WHEN repo IN {_LIMPING} THEN 0 ELSE topics END AS topics, jobs FROM ({_OWNED})",
+)
+def index_run_allow_partial(t):
+    return _indexed(t, True, {"kafka": _limping, "glue": glue.extract})
