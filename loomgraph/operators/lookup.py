@@ -1,8 +1,10 @@
 """Lookups: symbols, calls, dependencies, routes, topics, SQL objects, Glue jobs.
 
-Selective filters are applied to the entity table first, so the edge join has a
-small side that Spark can broadcast by its own size check.  Every ordering ends
-in a unique key, so limits are deterministic, and sorts nulls last.
+Selective filters are applied to the entity table first.  Matched rows are counted
+and sent to the edges where few; the far ends of the edges found are again a
+counted list of keys that picks entities where they lie, so a point lookup scans
+the tables but shuffles neither.  Every ordering ends in a unique key, so limits
+are deterministic, and sorts nulls last.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from loomgraph.functions.columns import (
     share,
     symbol_spellings_col,
 )
+from loomgraph.session import cut_lineage, sized
 
 
 def symbol_forms(symbols: DataFrame, column: str = "symbol") -> DataFrame:
@@ -69,6 +72,19 @@ def _side(entities: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return entities.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Matched rows, written once and sent to every executor where few."""
+    kept = cut_lineage(rows)
+    return sized(kept, kept.count())
+
+
+def _ends(entities: DataFrame, keys: DataFrame) -> DataFrame:
+    """The entities of a list of keys (one column), picked without moving the others."""
+    wanted = cut_lineage(keys.toDF("node_key").distinct())
+    n = wanted.count()
+    return sized(entities.join(sized(wanted, n), "node_key", "left_semi"), n)
+
+
 def _call_edges(entities, edges, symbol, repos, anchor: str) -> DataFrame:
     other = "callee" if anchor == "caller" else "caller"
     ends = {"caller": "src", "callee": "dst"}
@@ -82,8 +98,9 @@ def _call_edges(entities, edges, symbol, repos, anchor: str) -> DataFrame:
         ),
         anchor, *columns,
     )
-    rows = calls.join(matched, calls[ends[anchor]] == matched[f"{anchor}_node_key"])
-    far = _side(entities, other, *columns)
+    matched = _counted(matched)
+    rows = cut_lineage(calls.join(matched, calls[ends[anchor]] == matched[f"{anchor}_node_key"]))
+    far = _side(_ends(entities, rows.select(ends[other])), other, *columns)
     rows = rows.join(far, rows[ends[other]] == far[f"{other}_node_key"])
     return (
         rows.orderBy(
@@ -116,15 +133,17 @@ def find_callees(entities, edges, symbol: str, repos=()) -> DataFrame:
 _DEPENDS = ("DEPENDS_ON", "DEPENDS_ON_REPO")
 
 
-def dependency_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every hub → package / hub → hub dependency, with both ends' attributes."""
-    hubs = entities.where(F.col("node_id").startswith("repo::")).select(
+def _hubs(entities: DataFrame) -> DataFrame:
+    return entities.where(F.col("node_id").startswith("repo::")).select(
         F.col("node_key").alias("hub_key"),
         F.col("node_id").alias("hub_id"),
         F.col("name").alias("hub_name"),
         F.col("label").alias("hub_label"),
     )
-    targets = entities.select(
+
+
+def _targets(entities: DataFrame) -> DataFrame:
+    return entities.select(
         F.col("node_key").alias("target_key"),
         F.col("name").alias("target_name"),
         F.col("name_lower").alias("target_name_lower"),
@@ -132,12 +151,20 @@ def dependency_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
         or_empty(F.col("ecosystem")).alias("ecosystem"),
         or_empty(F.col("version")).alias("version"),
     )
-    links = edges.where(F.col("type").isin(*_DEPENDS)).select(
+
+
+def _dependency_links(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("type").isin(*_DEPENDS)).select(
         "src", "dst",
         or_empty(F.col("context")).alias("scope"),
         (F.col("type") == "DEPENDS_ON_REPO").alias("cross"),
         or_empty(F.col("confidence")).alias("confidence"),
     )
+
+
+def dependency_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every hub → package / hub → hub dependency, with both ends' attributes."""
+    links, hubs, targets = _dependency_links(edges), _hubs(entities), _targets(entities)
     return links.join(hubs, links.src == hubs.hub_key).join(
         targets, links.dst == targets.target_key
     )
@@ -145,7 +172,11 @@ def dependency_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 def find_dependencies(entities, edges, repo: str, scope: str = "") -> DataFrame:
     """What a repository depends on."""
-    rows = dependency_rows(entities, edges).where(F.col("hub_id") == "repo::" + repo)
+    hub = _counted(_hubs(entities).where(F.col("hub_id") == "repo::" + repo))
+    links = _dependency_links(edges)
+    links = cut_lineage(links.join(hub, links.src == hub.hub_key))
+    targets = _targets(_ends(entities, links.select("dst")))
+    rows = links.join(targets, links.dst == targets.target_key)
     if scope:
         rows = rows.where(F.col("scope") == scope)
     if not repo:
@@ -165,9 +196,11 @@ def find_dependencies(entities, edges, repo: str, scope: str = "") -> DataFrame:
 def find_dependents(entities, edges, dependency: str) -> DataFrame:
     """Repositories that depend on a package or repository name."""
     name = dependency.strip().lower()
-    rows = dependency_rows(entities, edges).where(
-        (F.col("target_name_lower") == name) & F.lit(bool(dependency))
-    )
+    target = _counted(_targets(entities).where((F.col("target_name_lower") == name) & F.lit(bool(dependency))))
+    links = _dependency_links(edges)
+    links = cut_lineage(links.join(target, links.dst == target.target_key))
+    hubs = _hubs(_ends(entities, links.select("src")))
+    rows = links.join(hubs, links.src == hubs.hub_key)
     return (
         rows.orderBy("hub_name", "target_key", "cross", "scope")
         .limit(rules.DEPENDENCY_LIMIT)

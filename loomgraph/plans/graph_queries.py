@@ -261,6 +261,31 @@ def b14_import_summary(t):
     return build.import_summary(nodes, build.resolve_links(t.raw_links(), nodes))
 
 
+@_g("b11_changed_hashes", "SELECT count(*) AS rows, count(*) AS changed FROM keyed")
+def b11_changed_hashes(t):
+    """A changed property changes the content hash of every node."""
+    def hashes(nodes, name):
+        return build.to_entities(nodes).select("import_repo", "node_key", F.col("content_hash").alias(name))
+
+    moved = t.raw_nodes().withColumn("community", F.coalesce("community", F.lit(0)) + 1)
+    both = hashes(t.raw_nodes(), "old").join(hashes(moved, "new"), ["import_repo", "node_key"])
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("old") != F.col("new"), True)).alias("changed"))
+
+
+@_g(
+    "b14_hyperedges",
+    """
+    SELECT n.repo, nodes_total, coalesce(h, 0) AS skipped_hyperedges FROM (SELECT repo, count(*) AS nodes_total FROM lbl GROUP BY repo) n
+    LEFT JOIN (SELECT repo, count(*) AS h FROM ords WHERE o_orderkey % 97 = 0 GROUP BY repo) x ON x.repo = n.repo
+    """,
+)
+def b14_hyperedges(t):
+    nodes = t.raw_nodes()
+    hyper = t.orders().where("o_orderkey % 97 = 0").select("repo")
+    summary = build.import_summary(nodes, build.resolve_links(t.raw_links(), nodes), hyper)
+    return summary.select("repo", "nodes_total", "skipped_hyperedges")
+
+
 # --- maintenance: a second run over some repositories, with fewer and changed nodes ---
 
 
@@ -447,6 +472,33 @@ def d5_residue_after_sweep(t):
     return upkeep.residue(upkeep.sweep(graph, runs), runs)
 
 
+@_g(
+    "d5_residue_before_sweep",
+    """
+    SELECT two.repo, coalesce(n, 0) AS residue_nodes, coalesce(e, 0) + coalesce(o, 0) AS residue_rels FROM two
+    LEFT JOIN (SELECT repo, count(*) AS n FROM ent2s WHERE NOT fresh GROUP BY repo) a ON a.repo = two.repo
+    LEFT JOIN (SELECT repo, count(*) AS e FROM edg1s WHERE NOT fresh GROUP BY repo) b ON b.repo = two.repo
+    LEFT JOIN (SELECT repo, count(*) AS o FROM keyed WHERE ord < 100000000000 AND ord % 10 = 0 GROUP BY repo) c ON c.repo = two.repo
+    """,
+    _RUN2,
+)
+def d5_residue_before_sweep(t):
+    return upkeep.residue(*_second_run(t))
+
+
+@_g(
+    "d6_true_mismatches",
+    """
+    SELECT repo, count(*) FILTER (WHERE NOT (ord < 100000000000 AND ord % 10 = 0)) AS nodes_total, count(*) AS nodes_in_graph,
+           bool_or(ord < 100000000000 AND ord % 10 = 0) AS mismatch FROM keyed GROUP BY repo
+    """,
+)
+def d6_true_mismatches(t):
+    fewer = t.raw_nodes().where("NOT (ord < 100000000000 AND ord % 10 = 0)")
+    totals = fewer.groupBy("repo").agg(F.count(F.lit(1)).alias("nodes_total"))
+    return upkeep.mismatches(totals, stored_first_run(t))
+
+
 @_g(
     "d6_mismatches",
     "SELECT repo, count(*) AS nodes_total, count(*) AS nodes_in_graph, false AS mismatch FROM keyed GROUP BY repo",

@@ -45,3 +45,19 @@ def test_queries_can_be_listed_without_a_session():
     assert out.returncode == 0, out.stderr
     queries, oracles = map(int, out.stdout.split())
     assert queries >= oracles > 100
+
+
+def test_library_works_without_the_training_data_folders(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = str(tmp_path / "repo")
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    n, trained = out.stdout.split()
+    assert int(n) > 130 and trained == "False"
