@@ -116,24 +116,24 @@ def _verdict(rules: tuple[Rule, ...], get: Callable[[str], Column]) -> Column:
 def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``row`` (the struct of ``keep``, all columns by default) and ``result``: counts, base verdict, failed rules, verdict."""
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    counted = docs.select(packed(docs, keep), _measures(value).alias("m"))
+    parts = {"n_words": "w", "n_repeat_words": "w", "n_stop_words": "w", "n_lines": "l", "n_dup_lines": "l"}
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
-    def get(name: str) -> Column:
-        part = {"n_words": "w", "n_repeat_words": "w", "n_stop_words": "w", "n_lines": "l", "n_dup_lines": "l"}.get(name)
-        return F.col(f"m.{part}.{name}" if part else f"m.{name}")
+    def result(m: Column) -> Column:
+        def get(name: str) -> Column:
+            return m[parts[name]][name] if name in parts else m[name]
 
-    base = (get("n_words") < 50) | (100 * get("n_repeat_words") > 50 * get("n_words"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
-    failed = _verdict(rules, get)
-    return counted.select(
-        "row",
-        F.struct(
+        base = (get("n_words") < 50) | (100 * get("n_repeat_words") > 50 * get("n_words"))
+        failed = _verdict(rules, get)
+        return F.struct(
             *[get(n).alias(n) for n in names],
             base.alias("base_failed"),
             F.array_join(failed, ",").alias("failed_rules"),
             (~base & (F.size(failed) == 0)).alias("kept"),
-        ).alias("result"),
-    )
+        )
+
+    # One expression, so that a filter on the verdict counts a text once, not once for each count it uses.
+    return docs.select(packed(docs, keep), _let(_measures(value), result).alias("result"))
 
 
 def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
