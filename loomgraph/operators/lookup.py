@@ -418,7 +418,8 @@ def api_surface(entities: DataFrame) -> DataFrame:
 
 
 def undocumented_routes(entities, **filters) -> DataFrame:
-    return find_routes(entities, **filters).where(~F.col("documented"))
+    """Routes that no specification documents; the list's limit counts only these."""
+    return find_routes(entities.where(~F.coalesce("documented", F.lit(False))), **filters)
 
 
 __all__ = [n for n in dir() if n.startswith(("find_", "freshness", "api_", "symbol_", "undoc"))] + [

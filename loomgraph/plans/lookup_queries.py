@@ -268,6 +268,11 @@ def e11_find_routes(t):
     return lookup.find_routes(t.entities(), "post", "/V1/f/", ["NATION_5", "NATION_6"])
 
 
+@query("e11_undocumented_routes", f"SELECT * FROM ({_ROUTES}) WHERE NOT documented ORDER BY repo, path, node_key LIMIT 500")
+def e11_undocumented_routes(t):
+    return lookup.undocumented_routes(t.entities())
+
+
 @query(
     "e12_find_kafka_topic",
     """

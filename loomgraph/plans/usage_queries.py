@@ -211,6 +211,25 @@ def h2_daily_counts_stream(t):
     return usage.fold_counts(t.spark.read.parquet(f"{base}/stat"))
 
 
+@query(
+    "a6_access_sink_stream",
+    """
+    SELECT actor, repo, count(*) AS touches FROM access
+    WHERE strftime("at", '%Y-%m-%d-%H') >= (SELECT strftime(max("at") - INTERVAL 48 HOURS, '%Y-%m-%d-%H') FROM access)
+    GROUP BY actor, repo
+    """,
+)
+def a6_access_sink_stream(t):
+    samples = t.usage_samples()
+    base = work_folder(t.spark)
+    _drain(usage_streams.access_sink(_replay(t, samples, "samples"), f"{base}/access", f"{base}/ckpt"))
+    touched = usage.access_log(samples).agg(F.max("at").alias("at"))
+    cutoff = touched.select(F.date_format(F.col("at") - F.expr("INTERVAL 48 HOURS"), "yyyy-MM-dd-HH")).first()[0]
+    usage_streams.drop_old_hours(t.spark, f"{base}/access", cutoff)
+    kept = t.spark.read.schema("actor string, repo string, at timestamp, batch_id long, hour string").parquet(f"{base}/access")
+    return kept.groupBy("actor", "repo").agg(F.count(F.lit(1)).alias("touches"))
+
+
 @query(
     "h9_sliding_anomalies_stream",
     """
@@ -283,6 +302,15 @@ def h13_pending_repositories_stream(t):
     return t.spark.read.parquet(f"{base}/pending").select("repo").distinct()
 
 
+@query("h13_distinct_pushes_stream", f"SELECT DISTINCT repo FROM ({_PUSH})")
+def h13_distinct_pushes_stream(t):
+    base = work_folder(t.spark)
+    found = push_streams.distinct_pushes(_replay(t, t.push_events(), "pushes"), t.manifest())
+    writer = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+    _drain(writer)
+    return t.spark.read.schema(found.schema).parquet(f"{base}/out").select("repo").distinct()
+
+
 # --- manifest, history, status ---------------------------------------------
 
 _NAME = rules.REPO_NAME_RE

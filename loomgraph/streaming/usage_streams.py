@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomgraph.functions import rules
 from loomgraph.functions.columns import blank
 from loomgraph.operators import usage
+from loomgraph.session import remove_folder
 
 
 def _per_batch(out: str, shape, partition: str | None = None):
@@ -49,6 +50,13 @@ def access_sink(samples: DataFrame, out: str, checkpoint: str) -> DataStreamWrit
     )
 
 
+def drop_old_hours(spark: SparkSession, out: str, before: str) -> None:
+    """Delete the hour folders of ``access_sink`` before ``before`` (yyyy-MM-dd-HH): retention (H4)."""
+    folders = spark.read.schema("batch_id long, hour string").parquet(out).where(F.col("hour") < before)
+    for row in folders.select("batch_id", "hour").distinct().collect():
+        remove_folder(spark, f"{out}/batch_id={row.batch_id}/hour={row.hour}")
+
+
 def sliding_anomalies(
     samples: DataFrame, threshold: int = 10, window: str = "1 hour", slide: str = "5 minutes",
     delay: str | None = None,
