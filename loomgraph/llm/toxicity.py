@@ -203,17 +203,19 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     A null text is scored as an empty one, which has the model's base rate.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.bias))
     state = {}
 
     def score(texts: pa.Array) -> dict[str, list]:
         if not state:
-            state.update(grams=NGrams(), table=sent.value.table())
-        total = np.full(len(texts), sent.value.bias)
-        if len(sent.value.hashes):
+            model = Model(*sent.value)
+            state.update(grams=NGrams(), table=model.table(), model=model)
+        model = state["model"]
+        total = np.full(len(texts), model.bias)
+        if len(model.hashes):
             for lo, bounds, found in state["grams"].of(texts):
                 at, feature = _present(bounds, found, state["table"])
-                total[lo : lo + len(bounds) - 1] += np.bincount(at, sent.value.weights[feature], len(bounds) - 1)
+                total[lo : lo + len(bounds) - 1] += np.bincount(at, model.weights[feature], len(bounds) - 1)
         return {"score": 1 / (1 + np.exp(-np.clip(total, -30, 30)))}
 
     return map_texts(docs, text, score, "score double", keep)
