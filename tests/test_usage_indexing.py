@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import rules
 from loomgraph.operators import indexing, usage
 from loomgraph.streaming import usage_streams
 
@@ -70,11 +71,12 @@ def test_samples_attribution(spark):
         ("bob", "/hotspots", "repos=" + ",".join(f"r{i}" for i in range(12)), 200),
     ]
     df = spark.createDataFrame(rows, "actor string, path string, query string, status int").withColumn("at", F.lit(BASE))
-    got = [(r.actor, r.endpoint, r.repos) for r in usage.to_samples(df).collect()]
-    assert got == [
-        ("ann", "overview", ["core"]), ("internal", "routes", ["a", "b", "c", "d"]),
-        ("bob", "hotspots", [f"r{i}" for i in range(8)]),
-    ]
+    for most, named in ((rules.MAX_REPOS_PER_SAMPLE, 8), (None, 12)):
+        got = [(r.actor, r.endpoint, r.repos) for r in usage.to_samples(df, most).collect()]
+        assert got == [
+            ("ann", "overview", ["core"]), ("internal", "routes", ["a", "b", "c", "d"]),
+            ("bob", "hotspots", [f"r{i}" for i in range(named)]),
+        ]
 
 
 def test_anomalies_skip_the_shared_bucket(spark):
