@@ -112,12 +112,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, bits: int)
         splitter = Splitter(SPACES)
         table = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            n, sig, parity, wide, prefix_sig, prefix, head = [], [], [], [], [], [], []
+            n, sig, parity, wide, prefix_sig, prefix, lead, head = [], [], [], [], [], [], [], []
             for t in splitter.tokens(batch.column(1)):
                 for s in shingle_sets(t, k):
                     n.append(len(s))
                     if not len(s):
-                        sig.append(None), parity.append(None), wide.append(None), prefix_sig.append(None), prefix.append(None), head.append(None)
+                        sig.append(None), parity.append(None), wide.append(None), prefix_sig.append(None), prefix.append(None), lead.append(None), head.append(None)
                         continue
                     keep = len(s) - -(-percent * len(s) // 100) + 1
                     counted = int(np.searchsorted(s, np.uint64(1) << low))
@@ -128,25 +128,26 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray, bits: int)
                     wide.append(_parity(s, _wide_bits(len(s))) if len(s) > PARITY_BITS else parity[-1])
                     prefix_sig.append(_signature(order))
                     prefix.append(order.view(np.int64))
-                    head.append(order[np.minimum(np.arange(HEAD), len(order) - 1)].tobytes())
+                    lead.append(min(int((~late).sum()), len(order)))
+                    head.append(order[np.minimum(lead[-1] + np.arange(HEAD), len(order) - 1)].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), *[pa.array(x, pa.binary()) for x in (sig, parity, wide, prefix_sig)], pa.array(prefix, pa.list_(pa.int64())), pa.array(head, pa.binary())],
-                ["at", "n", "sig", "parity", "wide", "prefix_sig", "prefix", "head"],
+                [batch.column(0), pa.array(n, pa.int32()), *[pa.array(x, pa.binary()) for x in (sig, parity, wide, prefix_sig)], pa.array(prefix, pa.list_(pa.int64())), pa.array(lead, pa.int32()), pa.array(head, pa.binary())],
+                ["at", "n", "sig", "parity", "wide", "prefix_sig", "prefix", "lead", "head"],
             )
 
-    rest = docs.sparkSession.createDataFrame([], "n int, sig binary, parity binary, wide binary, prefix_sig binary, prefix array<long>, head binary").schema
+    rest = docs.sparkSession.createDataFrame([], "n int, sig binary, parity binary, wide binary, prefix_sig binary, prefix array<long>, lead int, head binary").schema
     return docs.mapInArrow(run, T.StructType([docs.schema["at"], *rest.fields]))
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Posting lists worth comparing: (token, k, n, pos, sig, parity, head), k members under the token."""
+    """Posting lists worth comparing: (token, k, n, pos, sig, parity, lead, head), k members under the token."""
     groups = classes.groupBy("prefix_sig", "n").agg(F.count(F.lit(1)).alias("m"), F.first("prefix").alias("prefix"))
     # A short name of the group is enough here: groups that share one by chance only attach more members.
     name = F.xxhash64("prefix_sig").alias("name")
     postings = groups.select(name, "n", "m", F.posexplode("prefix").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.sum("m").alias("k")).where("k > 1")
     wanted = postings.select("token", "name", "n", "pos").join(lists, "token")
-    return wanted.join(classes.select(name, "n", "sig", "parity", "head"), ["name", "n"]).drop("name")
+    return wanted.join(classes.select(name, "n", "sig", "parity", "lead", "head"), ["name", "n"]).drop("name")
 
 
 class _Lists:
@@ -160,15 +161,15 @@ class _Lists:
         self.rest = self.n - table.column("pos").to_numpy()
         self.side = table.column("side").to_numpy()
         self.split = self.keys[1] != self.keys[2]
-        self.pos = table.column("pos").to_numpy()
+        self.behind = table.column("pos").to_numpy() - table.column("lead").to_numpy()
         self.sigs, self.parity, self.labels, self.heads = (_fixed(table.column(c)) for c in ("sig", "parity", "label", "head"))
 
     def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs (i, j) may link, and not from an earlier list: block, size, position, parity, head.
 
         A pair that shares a shingle before this list's one meets in that list
-        too.  The heads of the prefixes tell most of these; the list of the first
-        common shingle never lets its pair go.
+        too.  A head, the first frequent shingles of a prefix, tells most of these;
+        the list of the first common shingle never lets its pair go.
         """
         total = self.n[i] + self.n[j]
         overlap = -(-self.percent * total // (100 + self.percent))
@@ -180,7 +181,7 @@ class _Lists:
         ok[at] = odd <= (total - 2 * overlap)[at]
         for q in range(HEAD):
             at = np.flatnonzero(ok)
-            at = at[self.pos[i[at]] > q]
+            at = at[self.behind[i[at]] > q]
             ok[at] = (self.heads[j[at]] != self.heads[i[at], q : q + 1]).all(axis=1)
         return ok
 
@@ -271,7 +272,7 @@ def _pairs(members: DataFrame, percent: int, labels: DataFrame | None) -> DataFr
     )
     dealt = dealt.select(
         "token", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"),
-        "side", "n", "pos", "sig", "parity", "head", F.coalesce("label", "sig").alias("label"),
+        "side", "n", "pos", "sig", "parity", "lead", "head", F.coalesce("label", "sig").alias("label"),
     )
 
     def run(batches):
@@ -369,7 +370,7 @@ def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int)
     table = frequent_bits(docs, k, bits)
     _prefixes(docs, k, percent, table, bits).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    whole = F.first(F.struct("n", "parity", "wide", "prefix_sig", "prefix", "head")).alias("c")
+    whole = F.first(F.struct("n", "parity", "wide", "prefix_sig", "prefix", "lead", "head")).alias("c")
     rows.where("n > 0").groupBy("sig").agg(whole).select("sig", "c.*").write.parquet(f"{folder}/classes")
     _members(spark.read.parquet(f"{folder}/classes")).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
