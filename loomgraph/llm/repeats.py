@@ -69,7 +69,7 @@ def later_positions(docs: DataFrame, doc_id: str, text: str, passages: Passages)
     last = (1 << TABLE_BITS) - 1
 
     def run(batches):
-        table = sent.value
+        table = sent.value.tobytes()
         for batch in batches:
             row, h, more, at = [], [], [], []
             for i, value in enumerate(_texts(batch.column(3))):

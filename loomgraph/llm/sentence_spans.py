@@ -27,22 +27,27 @@ _END = re.compile(r"[.!?]+(?=\s)|\n+")
 _WORD = re.compile(r"\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
+def _pieces(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of every sentence with a word; together they cover the words of the text."""
     out, at = [], 0
     for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        n = len(text[at:end].split())
-        if n <= LONGEST:
-            if n:
-                out.append((at, end, n))
+        words = text[at:end].split()
+        if len(words) <= LONGEST:
+            if words:
+                out.append((at, end, words))
         else:
-            words = [m.start() for m in _WORD.finditer(text, at, end)]
-            cuts = [at, *words[LONGEST::LONGEST], end]
-            out.extend((a, b, min(LONGEST, n - LONGEST * i)) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
+            starts = [m.start() for m in _WORD.finditer(text, at, end)]
+            cuts = [at, *starts[LONGEST::LONGEST], end]
+            out.extend((a, b, words[LONGEST * i : LONGEST * (i + 1)]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
         at = end
     return out
 
 
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, number of words) of every sentence with a word."""
+    return [(a, b, len(words)) for a, b, words in _pieces(text)]
+
+
 def _ends(pieces: list[tuple[int, int, int]]) -> list[int | None]:
     """Where the span of each sentence ends, exclusive."""
     out, j, words = [], 0, 0
@@ -57,9 +62,9 @@ def _ends(pieces: list[tuple[int, int, int]]) -> list[int | None]:
 
 def spans(text: str) -> Iterator[tuple[int, bytes, int]]:
     """(hash, rest of the digest, first sentence) of every span."""
-    pieces = sentences(text)
-    whole = [" ".join(text[a:b].split()).encode() for a, b, _ in pieces]
-    for i, end in enumerate(_ends(pieces)):
+    pieces = _pieces(text)
+    whole = [" ".join(words).encode() for _, _, words in pieces]
+    for i, end in enumerate(_ends([(a, b, len(words)) for a, b, words in pieces])):
         if end is not None:
             digest = hashlib.blake2b(b" ".join(whole[i:end]), digest_size=16).digest()
             yield int.from_bytes(digest[:8], "big", signed=True), digest[8:], i
