@@ -1,6 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; one of more than ``LONGEST`` words counts as several.
+A text is cut into sentences.  One of more than ``LONGEST`` words counts as several:
+it is cut after each word whose pair hash (of the word and the one before it) is a
+minimum among ``WINDOW`` pair hashes in a row.  Such a cut depends on the words near
+it alone and cuts lie at most ``WINDOW`` words apart, so those inside a shared passage
+agree wherever in a sentence it begins: a run of ``4 * WINDOW + 14`` shared words
+inside two long sentences has a common span.
+
 From every sentence a span runs over at least ``LEAST_SENTENCES`` sentences, until
 it has ``LEAST_WORDS`` words.  Spans are hashed and matched over all texts, and
 every sentence under a span that is not the first of its kind is removed.  Spans
@@ -15,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 
@@ -23,48 +30,95 @@ from loomgraph.llm.repeats import later_positions, replaced, rewritten
 LEAST_SENTENCES = 2
 LEAST_WORDS = 15
 LONGEST = 20
+WINDOW = 9
+_MIX = 0x9E3779B1
+_MASK = (1 << 32) - 1
 _END = re.compile(r"[.!?]+(?=\s)|\n+")
 _WORD = re.compile(r"\S+")
 
 
-def _pieces(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of every sentence with a word; together they cover the words of the text."""
-    out, at = [], 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        words = text[at:end].split()
-        if len(words) <= LONGEST:
-            if words:
-                out.append((at, end, words))
+def _cuts(words: list[str]) -> list[int]:
+    """Where the pieces of a long sentence end, in words, exclusive."""
+    codes = list(map(crc32, map(str.encode, words)))
+    pairs = [(a * 31 + b) * _MIX & _MASK for a, b in zip(codes, codes[1:])]
+    n, out = len(pairs), []
+    least = min(pairs[:WINDOW])
+    at = pairs.index(least)
+    while True:
+        out.append(at + 2)
+        stop = at + 1 + WINDOW
+        for i, code in enumerate(pairs[at + 1 : stop], at + 1):
+            if code <= least:
+                at, least = i, code
+                break
         else:
-            starts = [m.start() for m in _WORD.finditer(text, at, end)]
-            cuts = [at, *starts[LONGEST::LONGEST], end]
-            out.extend((a, b, words[LONGEST * i : LONGEST * (i + 1)]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
-        at = end
+            if stop > n:
+                break
+            following = pairs[at + 1 : stop]
+            least = min(following)
+            at += 1 + following.index(least)
+    if out[-1] < len(words):
+        out.append(len(words))
     return out
 
 
+def _sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of every whole sentence with a word; together they cover the words of the text."""
+    at = 0
+    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
+        words = text[at:end].split()
+        if words:
+            yield at, end, words
+            at = end
+
+
+def _pieces(text: str) -> tuple[list[bytes], list[int]]:
+    """The words of every sentence, joined, and their number."""
+    whole, sizes = [], []
+    for _, _, words in _sentences(text):
+        a = 0
+        for b in [len(words)] if len(words) <= LONGEST else _cuts(words):
+            whole.append(" ".join(words[a:b]).encode())
+            sizes.append(b - a)
+            a = b
+    return whole, sizes
+
+
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """(start, end, number of words) of every sentence with a word."""
-    return [(a, b, len(words)) for a, b, words in _pieces(text)]
+    out = []
+    for start, end, words in _sentences(text):
+        if len(words) <= LONGEST:
+            out.append((start, end, len(words)))
+            continue
+        cuts = _cuts(words)
+        starts = [m.start() for m in _WORD.finditer(text, start, end)]
+        places = [start, *(starts[c] for c in cuts[:-1]), end]
+        out.extend((a, b, d - c) for a, b, c, d in zip(places, places[1:], [0, *cuts], cuts))
+    return out
 
 
-def _ends(pieces: list[tuple[int, int, int]]) -> list[int | None]:
+def _count(text: str) -> int:
+    """How many sentences ``sentences`` finds."""
+    return sum(1 if len(words) <= LONGEST else len(_cuts(words)) for _, _, words in _sentences(text))
+
+
+def _ends(sizes: list[int]) -> list[int | None]:
     """Where the span of each sentence ends, exclusive."""
-    out, j, words = [], 0, 0
-    for i in range(len(pieces)):
-        while j < len(pieces) and (j - i < LEAST_SENTENCES or words < LEAST_WORDS):
-            words += pieces[j][2]
+    out, j, words, n = [], 0, 0, len(sizes)
+    for i, size in enumerate(sizes):
+        while j < n and (j - i < LEAST_SENTENCES or words < LEAST_WORDS):
+            words += sizes[j]
             j += 1
         out.append(j if j - i >= LEAST_SENTENCES and words >= LEAST_WORDS else None)
-        words -= pieces[i][2]
+        words -= size
     return out
 
 
 def spans(text: str) -> Iterator[tuple[int, bytes, int]]:
     """(hash, rest of the digest, first sentence) of every span."""
-    pieces = _pieces(text)
-    whole = [" ".join(words).encode() for _, _, words in pieces]
-    for i, end in enumerate(_ends([(a, b, len(words)) for a, b, words in pieces])):
+    whole, sizes = _pieces(text)
+    for i, end in enumerate(_ends(sizes)):
         if end is not None:
             digest = hashlib.blake2b(b" ".join(whole[i:end]), digest_size=16).digest()
             yield int.from_bytes(digest[:8], "big", signed=True), digest[8:], i
@@ -72,10 +126,10 @@ def spans(text: str) -> Iterator[tuple[int, bytes, int]]:
 
 def without(text: str, firsts: list[int]) -> tuple[str, int, int]:
     """The text without the sentences of the spans that begin at ``firsts``; sentences in all and removed."""
-    pieces = sentences(text)
     if not firsts:
-        return text, len(pieces), 0
-    ends = _ends(pieces)
+        return text, _count(text), 0
+    pieces = sentences(text)
+    ends = _ends([size for _, _, size in pieces])
     gone = {j for i in firsts for j in range(i, ends[i])}
     kept, gap = [], False
     for j, (a, b, _) in enumerate(pieces):
