@@ -1,14 +1,17 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by pairs of adjacent lines.
 
-A chunk ends after a line where the rolling hash of the last ``WINDOW`` line hashes
-is 0 modulo ``DIVISOR``, or after ``LONGEST`` lines.  A boundary depends only on the
-lines right before it, so lines put in elsewhere do not shift the chunks that
-follow.  Chunks of several lines are counted over all texts by hash; those that
-may be repeated are grouped by their bytes, and every chunk but the first of its
-bytes is removed.
+Every two adjacent lines that hold a word are a passage.  Pairs are counted
+over all texts by hash; those that may be repeated are grouped by their bytes, and
+both lines of every pair but the first of its bytes are removed.  So a repeat of two
+whole lines or more goes whole, wherever it stands, and of every line the first
+occurrence stays.  A line repeated alone, between other lines, stays.
+
+``chunks`` cuts a text into longer units for other uses.  A chunk ends after a line
+where the rolling hash of the last ``WINDOW`` line hashes is 0 modulo ``DIVISOR``, or
+after ``LONGEST`` lines; a boundary depends only on the lines right before it.
 
 A null or empty text stays as it is (null becomes empty); a text of repeated
-chunks only becomes empty.
+pairs only becomes empty.
 """
 
 from __future__ import annotations
@@ -46,22 +49,20 @@ def chunks(text: str) -> list[list[str]]:
 
 
 def passages(text: str) -> Iterator[tuple[int, bytes, int]]:
-    """(hash, bytes, number) of every chunk of several lines that has a word."""
-    for i, chunk in enumerate(chunks(text) if text else []):
-        if len(chunk) > 1:
-            content = "\n".join(chunk).encode()
-            if content.strip():
-                yield int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True), content, i
+    """(hash, bytes, number of the first line) of every two adjacent lines that have a word."""
+    lines = text.encode().split(b"\n")
+    for i, pair in enumerate(zip(lines, lines[1:])):
+        content = b"\n".join(pair)
+        if content.strip():
+            yield int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True), content, i
 
 
 def without(text: str, numbers: list[int]) -> tuple[str, int, int]:
-    """The text without the numbered chunks; lines in all and removed."""
-    parts, gone = chunks(text) if text else [], set(numbers)
-    n = sum(map(len, parts))
-    if not gone:
-        return text, n, 0
-    lines = [line for i, part in enumerate(parts) if i not in gone for line in part]
-    return "\n".join(lines), n, n - len(lines)
+    """The text without the pairs of lines that begin at ``numbers``; lines in all and removed."""
+    if not numbers:
+        return text, text.count("\n") + 1 if text else 0, 0
+    lines, gone = text.split("\n"), {j for i in numbers for j in (i, i + 1)}
+    return "\n".join(line for i, line in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -70,5 +71,5 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks of lines removed from ``text``."""
+    """``docs`` with repeated pairs of lines removed from ``text``."""
     return replaced(docs, deduplicated(docs, doc_id, text), text)

@@ -1,0 +1,25 @@
+import random
+
+import pytest
+
+from loomgraph.llm import line_chunks
+from tests.llm.test_operators import sentence
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 13])
+def test_repeats_of_two_lines_or_more_go_whole(spark, n):
+    rng = random.Random(n)
+    block = [sentence(rng, 6) for _ in range(n)]
+    rows, want = [], {}
+    for i in range(30):
+        before, after = ([sentence(rng, 5) + f" own{i}" for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        rows.append((i, "\n".join([*before, *block, *after])))
+        want[i] = "\n".join([*before, *(block if i == 0 else []), *after])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.row.doc_id: r.result.text for r in line_chunks.deduplicated(df).collect()} == want
+
+
+def test_a_line_repeated_alone_stays(spark):
+    rows = [(i, f"first {i}\nthe same line\nlast {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.row.doc_id, r.result.text) for r in line_chunks.deduplicated(df).collect()) == rows
