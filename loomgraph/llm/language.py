@@ -7,8 +7,8 @@ there is none.  The fewer phrases, the closer the text is to the sample.  Phrase
 times log2(sample length) over the text's length is the cross-parsing estimate of
 bits per character, and the language with the smallest estimate wins.
 
-Only the sample is bounded: ``sample_chars`` characters per language from whole
-labelled texts.  Every text is parsed in full.
+Only the sample is bounded: ``SAMPLE_CHARS`` characters per language, of a labelled
+text ``LONGEST_SAMPLE`` at most.  Every text is parsed in full.
 """
 
 from __future__ import annotations
@@ -87,25 +87,38 @@ def _folded(text: str | None) -> str:
 
 
 def samples(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
-    """Sample text of each language: whole labelled texts, the first by hash of id, up to ``SAMPLE_CHARS`` letters and spaces.
+    """Sample text of each language: labelled texts, the first by hash of id, up to ``SAMPLE_CHARS`` letters and spaces.
 
-    Texts over ``LONGEST_SAMPLE`` characters and null languages are not used to
+    A text gives its first ``LONGEST_SAMPLE`` characters from its first letter on.
+    Where ``SAMPLE_TEXTS`` texts do not fill the sample of a language, more of its
+    texts are taken.  Texts without a letter and null languages are not used to
     learn.  Languages come in the order of their labelled rows, the most first.
     """
     labelled = docs.select(
         F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")
     ).where("lang is not null and id is not null")
+    usable = labelled.where(F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("lang").orderBy("place", "id")
-    ids = labelled.select("lang", "id", F.xxhash64("id").alias("place")).distinct()
-    ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS)
-    ids = cut_lineage(ids)
-    texts = labelled.where(F.length("text").between(1, LONGEST_SAMPLE)).join(F.broadcast(ids), ["lang", "id"])
-    texts = texts.groupBy("lang", "n").agg(F.min("text").alias("text"))
     out: dict[str, str] = {}
-    for row in texts.orderBy("lang", "n").collect():
-        held = out.get(row["lang"], "")
-        if len(held) < SAMPLE_CHARS:
-            out[row["lang"]] = held + _folded(row["text"]) + _BREAK
+    most, short = SAMPLE_TEXTS, None
+    while short is None or short:
+        wanted = usable if short is None else usable.where(F.col("lang").isin(short))
+        ids = wanted.select("lang", "id", F.xxhash64("id").alias("place")).distinct()
+        ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
+        ids = cut_lineage(ids)
+        piece = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, LONGEST_SAMPLE)
+        texts = wanted.select("lang", "id", piece.alias("text")).join(F.broadcast(ids), ["lang", "id"])
+        texts = texts.groupBy("lang", "n").agg(F.min("text").alias("text"))
+        held: dict[str, str] = {}
+        taken: dict[str, int] = {}
+        for row in texts.orderBy("lang", "n").toLocalIterator():
+            name = row["lang"]
+            taken[name] = taken.get(name, 0) + 1
+            if len(held.get(name, "")) < SAMPLE_CHARS:
+                held[name] = held.get(name, "") + _folded(row["text"]) + _BREAK
+        out.update(held)
+        short = [name for name in held if len(held[name]) < SAMPLE_CHARS and taken[name] == most]
+        most *= 4
     often = dict(labelled.where(F.col("lang").isin(list(out))).groupBy("lang").count().collect())
     return {name: out[name][:SAMPLE_CHARS] for name in sorted(out, key=lambda n: (-often[n], n))}
 
