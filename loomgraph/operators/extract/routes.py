@@ -35,18 +35,17 @@ _SPEC = (
 )
 
 
-def spec_files(files: DataFrame) -> DataFrame:
-    """Specification files by name, oversize ones included (flagged)."""
-    huge = 1 << 62
+def spec_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Specification files by name, those over ``max_bytes`` flagged (None: no limit)."""
     rows = select_files(
-        files, huge, SPEC_EXTENSIONS, rules.SKIP_DIRS + rules.HTTP_SKIP_DIRS
+        files, None, SPEC_EXTENSIONS, rules.SKIP_DIRS + rules.HTTP_SKIP_DIRS
     ).where(
         F.col("name").isin(*SPEC_NAMES)
         | F.col("name").contains(SPEC_WORDS[0])
         | F.col("name").contains(SPEC_WORDS[1])
     )
     return rows.withColumn("size", F.octet_length("content")).withColumn(
-        "oversize", F.col("size") > rules.SPEC_MAX_BYTES
+        "oversize", F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     )
 
 
@@ -57,9 +56,9 @@ def _server_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"[?#][\s\S]*$", ""), "/+$", "")
 
 
-def spec_routes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documented routes and the specifications that could not be read."""
-    found = spec_files(files)
+def spec_routes(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documented routes and the specifications that could not be read or exceed ``max_bytes``."""
+    found = spec_files(files, max_bytes)
     usable = found.where("NOT oversize")
     keep = ["repo", "path", "walk"]
     # YAML takes the Python step, JSON does not pass through it.

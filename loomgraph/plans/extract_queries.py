@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph import schemas
-from loomgraph.functions import rules
 from loomgraph.operators import build
 from loomgraph.operators.extract import deps, glue, kafka, lexing, postgres, routes, tsql
 from loomgraph.operators.extract.common import Fragments, select_files
@@ -117,7 +116,7 @@ def _extractable(t):
 )
 def a3_select_files(t):
     wanted = kafka.GO_EXTENSIONS + kafka.JVM_EXTENSIONS + kafka.JS_EXTENSIONS + kafka.PY_EXTENSIONS
-    return select_files(_extractable(t), rules.KAFKA_MAX_BYTES, wanted, skip_tests=True).select("repo", "path")
+    return select_files(_extractable(t), None, wanted, skip_tests=True).select("repo", "path")
 
 
 @_c("c1_code_topics", "SELECT repo, path, role, topic, CAST(line AS BIGINT) AS line FROM topics WHERE path NOT LIKE 'config%'")
@@ -167,7 +166,7 @@ def _score(markers) -> str:
 )
 def c4_dialects(t):
     text = F.col("content")
-    return select_files(_extractable(t), rules.SQL_MAX_BYTES, (".sql",)).select(
+    return select_files(_extractable(t), None, (".sql",)).select(
         "path", score(text, POSTGRES_MARKERS).alias("pg"), score(text, TSQL_MARKERS).alias("ms"),
         dialect(text).alias("dialect"), owner(text).alias("owner"),
     )
