@@ -73,7 +73,8 @@ class NGrams:
                 h >>= np.uint32(32 - HASH_BITS)
                 inside = np.ones(len(points) + 1, dtype=bool)
                 for back in range(1, n):
-                    inside[np.maximum(bounds - back, 0)] = False
+                    across = bounds[1:] - back
+                    inside[across[across >= 0]] = False
                 found.append((h, inside[:size]))
             yield lo, bounds, found
 
