@@ -71,3 +71,35 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, t.b FROM r JOIN b
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
+
+_CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_table"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, where ``crc_table`` is in scope."""
+    code = f"list_transform(range(strlen({text})), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {code}), lambda c, b: xor(crc_table[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+PERIODIC = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+h AS (SELECT r, CAST(len(w) AS BIGINT) AS n, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM d, crc),
+a AS (SELECT *, (h // 10) % n AS a FROM h WHERE h % 10 = 0 AND n > 0),
+p AS (SELECT r, a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS MATERIALIZED (SELECT r, doc_id, CASE WHEN p IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w
+      FROM d LEFT JOIN p USING (r)),
+x AS MATERIALIZED (SELECT r, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS v FROM t),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM x JOIN x y ON x.r = y.r AND x.v = y.v AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same) GROUP BY r, q, g),
+run AS (SELECT r, start, length, min(q) AS period FROM island WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+best AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY r),
+top AS (SELECT x.* FROM run x WHERE NOT EXISTS (SELECT 1 FROM run y WHERE y.r = x.r
+        AND (y.length * x.period > x.length * y.period OR y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period)))),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(v, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""

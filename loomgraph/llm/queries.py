@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import language, line_chunks, oracles, secrets, sentence_spans, toxicity
+from loomgraph.llm import language, line_chunks, oracles, periodic_runs, secrets, sentence_spans, toxicity
 from loomgraph.llm.decontaminate import marked
 from loomgraph.llm.jaccard_join import jaccard_classes
 from loomgraph.llm.mixing import WEIGHTS, document_levels, mixed, word_count
@@ -93,4 +93,34 @@ def op10(table):
     return rows.select("row.doc_id", F.col("result.n_pieces").alias("n_lines"), "result.n_removed", "result.text")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of some texts, chosen by their ids, turned into loops of a few words."""
+    h, g = "crc32(CAST(doc_id AS STRING))", "crc32(CAST(doc_id AS STRING)) DIV 10"
+    words = "regexp_extract_all(text, '([^ \\\\x09-\\\\x0D]+)', 1)"
+    start = f"CAST({g} % size(w) AS INT)"
+    period = f"CAST(1 + (size(w) - {start}) DIV (3 + {g} % 8) AS INT)"
+    loops = f"flatten(array_repeat(slice(w, {start} + 1, {period}), 11))"  # at most ten whole loops and a part
+    text = f"transform(array({words}), w -> IF(size(w) = 0, '', array_join(slice(concat(slice(w, 1, {start}), {loops}), 1, size(w)), ' ')))[0]"
+    return docs.withColumn("text", F.expr(f"CASE WHEN {h} % 10 = 0 THEN {text} ELSE text END"))
+
+
+@llm_query("op12_periodic_runs", oracles.PERIODIC)
+def op12(table):
+    """Periodic runs of words in every document, and the text without their repeats."""
+    rows = periodic_runs.collapsed(looped(table("documents")), keep=["doc_id"]).select("row.doc_id", "result.*")
+    lines = "array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')"
+    most = "aggregate(runs, runs[0], (m, x) -> IF(x.length * m.period > m.length * x.period, x, m))"
+    rows = rows.withColumn("most", F.expr(f"IF(size(runs) > 0, {most}, NULL)"))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.expr("1000 * most.length DIV most.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
