@@ -103,3 +103,23 @@ SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGI
        CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
 FROM t LEFT JOIN best USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
 """
+
+SPELLING = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+raw AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-z\u00C0-\u00FF]+')) AS v FROM documents),
+each AS (SELECT id, v, count(*) AS c FROM raw GROUP BY id, v),
+coded AS (SELECT v, c, {_crc32("id || ':' || v")} AS h FROM each, crc),
+slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(v, 1, h % length(v)) || substr(v, h % length(v) + 2) ELSE v END AS word, c FROM coded),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS k FROM words, unnest(range(length(word))) u(i)),
+near AS MATERIALIZED (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+    UNION SELECT l.word, l.n, w.word, w.n FROM less l JOIN words w ON l.k = w.word
+    UNION SELECT w.word, w.n, l.word, l.n FROM less l JOIN words w ON l.k = w.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+forms AS MATERIALIZED (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+                 CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+          FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1),
+chain AS (SELECT word, word AS root, form FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.form)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""

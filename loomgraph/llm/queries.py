@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import language, line_chunks, oracles, periodic_runs, secrets, sentence_spans, toxicity
+from loomgraph.llm import language, line_chunks, oracles, periodic_runs, secrets, sentence_spans, spelling, toxicity
 from loomgraph.llm.decontaminate import marked
 from loomgraph.llm.jaccard_join import jaccard_classes
 from loomgraph.llm.mixing import WEIGHTS, document_levels, mixed, word_count
@@ -93,6 +93,13 @@ def op10(table):
     return rows.select("row.doc_id", F.col("result.n_pieces").alias("n_lines"), "result.n_removed", "result.text")
 
 
+@llm_query("op11_spelling_variants", oracles.SPELLING)
+def op11(table):
+    """Words of all documents, the words one edit away and the form each follows."""
+    words = spelling.counted(table("documents"), slips=97)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """``docs`` with the words of some texts, chosen by their ids, turned into loops of a few words."""
     h, g = "crc32(CAST(doc_id AS STRING))", "crc32(CAST(doc_id AS STRING)) DIV 10"

@@ -68,13 +68,17 @@ class Splitter:
         for lo, hi in slices(offsets):
             yield self._slice(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
+    def within(self, data: np.ndarray) -> np.ndarray:
+        """Which bytes belong to words."""
+        return self.inside[data]
+
     def _slice(self, first: int, data: np.ndarray, offsets: np.ndarray) -> Tokens:
         n = len(data)
         if not n:
             none = np.zeros(0, dtype=np.int64)
             return Tokens(first, data, none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64))
         self._grow(n + 1)
-        inside = self.inside[data]
+        inside = self.within(data)
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         opens = inside.copy()
