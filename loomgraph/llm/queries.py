@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import language, line_chunks, oracles, periodic_runs, secrets, sentence_spans, spelling, toxicity
+from loomgraph.llm import language, line_chunks, oracles, periodic_runs, secrets, sentence_spans, spelling, topk, toxicity
 from loomgraph.llm.decontaminate import marked
 from loomgraph.llm.jaccard_join import jaccard_classes
 from loomgraph.llm.mixing import WEIGHTS, document_levels, mixed, word_count
@@ -130,4 +130,10 @@ def op12(table):
     )
 
 
+@llm_query("op13_topk_search", oracles.SEARCH)
+def op13(table):
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return topk.top_k(table("embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
