@@ -53,7 +53,7 @@ def op4(table):
 @llm_query("op5_substring_dedup")
 def op5(table):
     """Documents without sentences of spans that stand earlier in the corpus."""
-    rows = sentence_spans.deduplicated(table("documents"), keep=["doc_id"])
+    rows = sentence_spans.deduplicated(table("documents"), keep=["doc_id"], is_stored=True)
     return rows.select("row.doc_id", F.col("result.n_pieces").alias("n_sentences"), "result.n_removed", "result.text")
 
 
@@ -88,8 +88,8 @@ def op9(table):
 
 @llm_query("op10_line_dedup")
 def op10(table):
-    """Documents without chunks of lines that stand earlier in the corpus."""
-    rows = line_chunks.deduplicated(table("documents"), keep=["doc_id"])
+    """Documents without blocks of lines that stand earlier in the corpus."""
+    rows = line_chunks.deduplicated(table("documents"), keep=["doc_id"], is_stored=True)
     return rows.select("row.doc_id", F.col("result.n_pieces").alias("n_lines"), "result.n_removed", "result.text")
 
 

@@ -9,7 +9,9 @@ bounded sample of texts without such values).  A run that the first model explai
 
 Only built-in functions are used.  Matches and the pieces between them come from
 the same regular expression, and their lengths give the positions, in code points.
-A null text is empty and has no spans.
+A null text is empty and has no spans.  Spans that begin at one place are ordered by
+kind; equal rows have equal spans.  The cost of a text grows as its length, however
+many matches it holds.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_RATIO = 10.0
 MOST_IDENTIFIER_TEXTS = 2_000
+#: Matches whose positions are summed together.
+BLOCK = 64
 _SCALE = 1000
 
 
@@ -43,28 +47,36 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 _SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
+def _span(at: Column, size: Column, kind: int, value: Column) -> Column:
+    return F.struct(at.alias("start"), F.lit(kind).alias("rank"), (at + size).alias("end"), value.alias("value"))
+
+
+def _prefixes(sizes: Column) -> Column:
+    """Sum of the sizes before each, and of all; a fold that copies its sums, so for short arrays."""
+    none = F.array(F.lit(0))
+    return F.aggregate(sizes, none, lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+
+
 def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -> Column:
-    """(start, rank of the kind, end, value) of every match; ``value`` lists the matches' values (whole matches by default)."""
+    """(start, rank of the kind, end, value) of every match; ``value`` lists the matches' values (whole matches by default).
+
+    Positions are running sums over blocks of ``BLOCK`` matches, then over the blocks.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(m: Column, pieces: Column, values: Column) -> Column:
-        start = F.aggregate(
-            F.transform(m, lambda x, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(x).alias("size"), F.get(values, i).alias("value"))),
-            F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPANS).alias("out")),
-            lambda s, x: F.struct(
-                (s["at"] + x["gap"] + x["size"]).alias("at"),
-                F.concat(
-                    F.coalesce(s["out"], F.array().cast(_SPANS)),
-                    F.array(
-                        F.struct((s["at"] + x["gap"]).alias("start"), F.lit(kind).alias("rank"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value"))
-                    ).cast(_SPANS),
-                )
-                .cast(_SPANS)
-                .alias("out"),
-            ),
-            lambda s: s["out"],
-        )
-        return F.coalesce(start, F.array().cast(_SPANS))
+        steps = F.transform(m, lambda x, i: F.length(F.get(pieces, i)) + F.length(x))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)))
+
+        def joined(sums: Column, heads: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                block = F.floor(i / BLOCK).cast("int")
+                at = F.get(heads, block) + F.get(F.get(sums, block), i % BLOCK) + F.length(F.get(pieces, i))
+                return _span(at, F.length(x), kind, F.get(values, i))
+
+            return F.transform(m, one).cast(_SPANS)
+
+        return _let(F.transform(blocks, _prefixes), lambda sums: _let(_prefixes(F.transform(sums, lambda s: F.element_at(s, -1))), lambda heads: joined(sums, heads)))
 
     def found(m: Column) -> Column:
         both = F.struct(F.split(text, pattern, -1).alias("pieces"), (m if value is None else value).alias("values"))
@@ -73,6 +85,22 @@ def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -
     return _let(matches, found)
 
 
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs (ordered, disjoint) that no base span overlaps.
+
+    A run overlaps as many base spans as begin before its end, less those that
+    end by its start.  Both counts are places in sorted arrays of ends and starts.
+    """
+
+    def before(own: str, its: str, last: int) -> Column:
+        places = F.sort_array(F.concat(F.transform(runs, lambda r: r[own] * 2 + last), F.transform(base, lambda b: b[its] * 2 + (1 - last))))
+        mine = F.filter(F.transform(places, lambda x, i: F.when(x % 2 == last, i)), lambda i: i.isNotNull())
+        return F.transform(mine, lambda i, j: i - j)
+
+    counts = F.struct(before("end", "start", 0).alias("begun"), before("start", "end", 1).alias("ended"))
+    return _let(counts, lambda c: F.filter(runs, lambda r, j: F.get(c["begun"], j) == F.get(c["ended"], j)))
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the base patterns, by start and then by kind."""
     assign = _spans(text, ASSIGN, 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
@@ -143,7 +171,7 @@ def scanned(docs: DataFrame, model: list[int], text: str = "text", keep: list[st
 
     def judged(base: Column) -> Column:
         runs = F.filter(_spans(value, RUN, 3), lambda s: _ratio(s["value"], table) >= int(least_ratio * _SCALE))
-        apart = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        apart = _let(runs, lambda r: F.when(F.size(r) > 0, _apart(r, base)).otherwise(r))
         return F.struct(base.alias("base"), F.sort_array(F.concat(base, apart)).alias("spans"))
 
     found = docs.select(packed(docs, keep), _let(base_spans(value), judged).alias("f"))

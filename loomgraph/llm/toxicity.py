@@ -109,9 +109,9 @@ class Model:
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int) -> DataFrame:
     """(text, y) of the labelled rows to learn from: one per id, the first ``most`` by hash."""
     wanted = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
-    wanted = wanted.groupBy(F.col(f"`{doc_id}`").cast("long").alias("id")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("y"))
+    wanted = wanted.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("y"))
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 

@@ -27,7 +27,7 @@ NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 @dataclass
 class Tokens:
-    """Words of consecutive texts: hashes, byte ranges in ``data`` and word bounds of each text."""
+    """Words of consecutive texts: hashes, byte ranges in ``data``, word bounds and byte offsets of each text."""
 
     first: int
     data: np.ndarray
@@ -35,6 +35,7 @@ class Tokens:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    offsets: np.ndarray
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -72,12 +73,9 @@ class Splitter:
         """Which bytes belong to words."""
         return self.inside[data]
 
-    def _slice(self, first: int, data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of texts at ``offsets`` of ``data`` begin and end, and the first word of each text."""
         n = len(data)
-        if not n:
-            none = np.zeros(0, dtype=np.int64)
-            return Tokens(first, data, none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64))
-        self._grow(n + 1)
         inside = self.within(data)
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
@@ -85,11 +83,42 @@ class Splitter:
         opens[1:] &= ~inside[:-1] | edge[1:n]
         closes = inside.copy()
         closes[:-1] &= ~inside[1:] | edge[1:n]
-        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        starts = np.flatnonzero(opens)
+        return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
+
+    def _slice(self, first: int, data: np.ndarray, offsets: np.ndarray) -> Tokens:
+        n = len(data)
+        if not n:
+            none = np.zeros(0, dtype=np.int64)
+            return Tokens(first, data, none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64), offsets)
+        self._grow(n + 1)
+        starts, ends, bounds = self.edges(data, offsets)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
         hashes = mixed((sums[ends] - sums[starts]) * self.inverses[starts])
-        return Tokens(first, data, hashes, starts, ends, np.searchsorted(starts, offsets))
+        return Tokens(first, data, hashes, starts, ends, bounds, offsets)
+
+    def ranges(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of ranges of words, each of fewer than two thousand."""
+        self._grow(len(hashes) + 1)
+        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(hashes * self.powers[: len(hashes)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+class LineSplitter(Splitter):
+    """Lines instead of words, empty ones too; a text without characters has none."""
+
+    def __init__(self) -> None:
+        super().__init__(b"\n", lower=False)
+
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        breaks = np.flatnonzero(data == 10)
+        some = offsets[1:] > offsets[:-1]
+        starts = np.sort(np.concatenate([offsets[:-1][some], breaks + 1]), kind="stable")
+        ends = np.sort(np.concatenate([offsets[1:][some], breaks]), kind="stable")
+        lines = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + some
+        return starts, ends, np.concatenate([[0], np.cumsum(lines)])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -96,13 +96,3 @@ def shard_bits(rows, limit, bits=60):
                 out.append(b)
                 break
     return out
-
-
-def repeated(passages):
-    """Positions to remove per text: {key: set of positions}; passages: {key: [(content, position)]}."""
-    first, gone = {}, defaultdict(set)
-    for key in sorted(passages):
-        for content, at in passages[key]:
-            if first.setdefault(content, (key, at)) != (key, at):
-                gone[key].add(at)
-    return gone

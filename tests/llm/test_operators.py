@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, jaccard_join, language, line_chunks, mixing, quality_rules, secrets, sentence_spans, sharding, toxicity
+from loomgraph.llm import decontaminate, jaccard_join, language, mixing, quality_rules, sharding, toxicity
 from tests.llm import brute
 
 ODD = [None, "", " ", "\n\n", "one", "Two words", "ÉTÉ été\x0bété", "a b c " * 400, "x" * 50_000, "# * $ % & | < >", "tab\tand\rcr\x00nul"]
@@ -184,48 +184,6 @@ def test_mixing_equals_plain_water_filling(spark, share, epochs):
     assert mixing.mixed_documents(empty(spark)).count() == 0
 
 
-def passage_rows(spark):
-    rng = random.Random(9)
-    shared = ". ".join(sentence(rng, 9).capitalize() for _ in range(4)) + "."
-    lines = "\n".join(sentence(rng, 5) for _ in range(14))
-    rows = [(i, f"{sentence(rng, 12)}. {shared} {sentence(rng, 8)}." if i % 3 else f"{sentence(rng, 4)}\n{lines}\n{sentence(rng, 4)}") for i in range(12)]
-    rows += [(None, rows[1][1]), (4, rows[4][1]), (20, shared), (21, lines), (22, None), (23, ""), (24, "word " * 300), (25, shared + "\n" + shared)]
-    return spark.createDataFrame(rows, "doc_id long, text string"), shared, lines
-
-
-@pytest.mark.parametrize("module,cut", [(sentence_spans, "spans"), (line_chunks, "passages")])
-def test_repeated_passages_equal_plain_version(spark, module, cut):
-    df, shared, lines = passage_rows(spark)
-    wide = df.withColumn("at", F.lit(1)).withColumn("h", F.lit(2)).withColumn("mark", F.lit(3))
-    got = module.deduplicated(wide).select("row.doc_id", F.col("row.text").alias("old"), "result.*").collect()
-    mark = {r.text or "": r.m for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("m")).collect()}
-    key = lambda i, t: (i is None, i or 0, mark[t or ""])
-    passages = {key(r.doc_id, r.old): [(x[:2], x[2]) for x in getattr(module, cut)(r.old or "")] for r in got}
-    gone = brute.repeated(passages)
-    for r in got:
-        want = module.without(r.old or "", sorted(gone[key(r.doc_id, r.old)]))
-        assert (r.text, r.n_pieces, r.n_removed) == want
-    assert sum(r.n_removed > 0 for r in got) >= 4
-    whole = {r.doc_id: r.text for r in got}
-    if module is sentence_spans:
-        assert shared in whole[1] and all(shared not in whole[i] for i in (2, 4, 5, 20))
-    assert module.cleaned(wide).columns == wide.columns
-    assert module.cleaned(df.limit(0)).count() == 0
-
-
-def test_boundaries_survive_inserted_lines():
-    rng = random.Random(4)
-    lines = [sentence(rng, 4) for _ in range(60)]
-    before = {"\n".join(c) for c in line_chunks.chunks("\n".join(lines))}
-    after = {"\n".join(c) for c in line_chunks.chunks("\n".join(["put in", *lines[:30], "here too", *lines[30:]]))}
-    assert len(before & after) >= len(before) - 4
-
-
-def test_sentences_cover_the_text():
-    for text in [t for t in ODD if t] + ["A b. C d!  E\nf", "w " * 100 + "end."]:
-        assert " ".join(" ".join(text[a:b] for a, b, _ in sentence_spans.sentences(text)).split()) == " ".join(text.split())
-
-
 def test_automaton_accepts_exactly_the_substrings():
     rng = random.Random(8)
     sample = "".join(rng.choice("abc") for _ in range(80))
@@ -270,28 +228,3 @@ def test_toxicity_of_held_out_rows(spark):
     odd = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     assert all(0 <= r.result.score < 0.3 for r in toxicity.scored(odd, model).collect())
     assert all(r.result.score < 0.3 for r in toxicity.scored(odd, toxicity.fit(docs, labels.limit(0))).collect())
-
-
-def test_secret_spans(spark):
-    rng = random.Random(6)
-    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
-    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
-    rows = [*ODD, "password:token:abcdefghij", "TOKEN = 'short' api-key=\"abcdefgh12\" é secret:longenough1", f"xAKIA{key} and AKIAABC", hexes[0] + " " + hexes[1][:31], "api_key=" + hexes[2]]
-    rows += [f"é the value {h[:24]} stands here" for h in hexes[3:5]] + [f"token={h}" for h in hexes] + ["an_ordinary_identifier_name and configuration_settings_table " * 3] * 4
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
-    model = secrets.train(df)
-    got = secrets.scanned(df, model).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        text = r.row.text or ""
-        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
-        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
-        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
-        written = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-        assert r.result.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
-        assert (r.result.n_assign, r.result.n_access, r.result.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
-        added = [s for s in r.result.spans.split(",") if s.startswith("markov")]
-        assert bool(added) == ("stands here" in text or hexes[1][:31] in text)
-        assert set(written.split(",")) - {""} <= set(r.result.spans.split(","))
-    assert secrets.scanned(df.limit(0), secrets.train(df.limit(0))).count() == 0
