@@ -57,6 +57,9 @@ def main() -> None:
     tables.ownership()
     times["build_graph"] = round(time.time() - start, 3)
     start = time.time()
+    tables.search_index()
+    times["build_search_index"] = round(time.time() - start, 3)
+    start = time.time()
     tables.files()
     tables.raw_nodes()
     tables.raw_links()

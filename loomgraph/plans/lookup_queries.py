@@ -144,7 +144,7 @@ def e5_find_callees(t):
     """,
 )
 def e6_substring_search(t):
-    return search.substring_search(t.entities(), "Server1")
+    return t.search_index().substring_search("Server1")
 
 
 _BM25 = """
@@ -168,7 +168,7 @@ _BM25 = """
     SELECT node_key, node_id, name, 'Entity|' || label AS labels, repo, path, line, score FROM tier1""",
 )
 def e7_relevance_search(t):
-    return search.relevance_search(t.entities(), "widget nation_3")
+    return t.search_index().relevance_search("widget nation_3")
 
 
 _TIERS = """
@@ -197,7 +197,7 @@ _TIERS = """
     """,
 )
 def e8_search(t):
-    return search.search(t.entities(), "RunServer1")
+    return t.search_index().search("RunServer1")
 
 
 @query(

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.functions.columns import lit_map
+from loomgraph.operators.search_index import SearchIndex
 from loomgraph.session import input_stamp, spread, work_folder
 
 NOW = "2024-01-31 00:00:00"
@@ -55,17 +56,24 @@ class GraphTables:
 
     def _stored(self, name: str, build, fields: dict, partition: str | None = None) -> DataFrame:
         """The table ``name``, written by ``build`` on first use in this application."""
+        def write(path: str) -> None:
+            writer = build().write.mode("overwrite")
+            (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+        schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
+        return self.spark.read.schema(schema).parquet(self._once(name, write))
+
+    def _once(self, name: str, make) -> str:
+        """Path of what ``make(path)`` wrote on first use in this application."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, input_stamp(self.spark, self.sf_dir), name)
         with _GUARD:
             lock = _LOCKS.setdefault(key, Lock())
         with lock:
             if key not in _WRITTEN:
                 path = f"{work_folder(self.spark)}/{name.replace('/', '_')}"
-                writer = build().write.mode("overwrite")
-                (writer.partitionBy(partition) if partition else writer).parquet(path)
+                make(path)
                 _WRITTEN[key] = path
-        schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
-        return self.spark.read.schema(schema).parquet(_WRITTEN[key])
+        return _WRITTEN[key]
 
     # --- building blocks ---
 
@@ -97,6 +105,10 @@ class GraphTables:
     def entities(self) -> DataFrame:
         return self._stored("entities", self.derive_entities, schemas.ENTITY_FIELDS, "label")
 
+    def search_index(self) -> SearchIndex:
+        """The search index of the entities."""
+        return SearchIndex(self.spark, self._once("search_index", lambda path: SearchIndex.build(self.entities(), path)))
+
     def derive_entities(self) -> DataFrame:
         supplier, customer = self.suppliers(), self.customers()
         part, orders, nation = self.table("part"), self.orders(), self.table("nation")
