@@ -431,7 +431,28 @@ def f2_shortest_path_length(t):
     return path.agg(F.max("idx").alias("hops"), F.count(F.lit(1)).alias("nodes"))
 
 
-@query("f2_shortest_path")
+@query(
+    "f2_shortest_path",
+    f"""
+    RECURSIVE und AS (SELECT src AS a, dst AS b, type, coalesce(confidence, '') AS conf FROM edges
+                      UNION SELECT dst, src, type, coalesce(confidence, '') FROM edges),
+    walk(node, d) AS (
+      SELECT node_key, 0 FROM entities WHERE name_lower IN {_spell("dbo.usp_3")}
+      UNION
+      SELECT b, d + 1 FROM walk JOIN und ON a = node WHERE d < 5),
+    dist AS (SELECT node, min(d) AS d FROM walk GROUP BY node),
+    goal AS (SELECT node, d FROM dist JOIN entities ON node = node_key WHERE name_lower IN {_spell("Economy")} ORDER BY d, node LIMIT 1),
+    parent AS (
+      SELECT n.node, n.d, a.node AS parent, type, conf, row_number() OVER (PARTITION BY n.node ORDER BY a.node, type, conf) AS best
+      FROM und JOIN dist n ON b = n.node JOIN dist a ON und.a = a.node AND a.d = n.d - 1 WHERE n.d <= (SELECT d FROM goal)),
+    trail(node, d) AS (
+      SELECT node, d FROM goal
+      UNION ALL
+      SELECT p.parent, p.d - 1 FROM trail JOIN parent p ON p.node = trail.node AND best = 1)
+    SELECT name, repo, path, 'Entity|' || label AS labels, coalesce(type, '') AS relationship, coalesce(conf, '') AS rel_confidence, CAST(trail.d AS BIGINT) AS idx
+    FROM trail JOIN entities ON trail.node = node_key LEFT JOIN parent p ON p.node = trail.node AND best = 1
+    """,
+)
 def f2_shortest_path(t):
     return traverse.shortest_path(t.entities(), t.edges(), "dbo.usp_3", "Economy")
 

@@ -78,6 +78,52 @@ def test_random_graphs_against_brute_force(spark, seed):
         assert all((a, b) in pairs or (b, a) in pairs for a, b in zip(walk, walk[1:]))
 
 
+def brute_smallest_path(pairs, sources, targets):
+    """Keys of the shortest path that is smallest from its end."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist, queue = {s: 0 for s in sources}, deque(sources)
+    while queue:
+        n = queue.popleft()
+        for m in near.get(n, ()):
+            if m not in dist:
+                dist[m] = dist[n] + 1
+                queue.append(m)
+    found = [(dist[t], t) for t in targets if t in dist]
+    if not found:
+        return []
+    walk = [min(found)[1]]
+    while dist[walk[0]]:
+        walk.insert(0, min(m for m in near[walk[0]] if dist.get(m) == dist[walk[0]] - 1))
+    return walk
+
+
+@pytest.mark.parametrize("seed,n,m", [(3, 60, 70), (4, 40, 90), (5, 80, 84), (6, 30, 24)])
+def test_the_path_is_the_smallest_of_the_shortest(spark, seed, n, m):
+    rnd = random.Random(seed)
+    keys = [f"k{i:02}" for i in range(n)]
+    names = {k: k for k in keys} | {k: "source" for k in keys[:2]} | {k: "target" for k in keys[-5:]}
+    pairs = sorted({(rnd.choice(keys), rnd.choice(keys)) for _ in range(m)})
+    rows = traverse.shortest_path(entities(spark, names), edges(spark, pairs), "source", "target").collect()
+    assert [r.path[2:] for r in rows] == brute_smallest_path([p for p in pairs if p[0] != p[1]], keys[:2], keys[-5:])
+    assert [r.idx for r in rows] == list(range(len(rows)))
+
+
+def test_a_hub_on_one_side_is_not_opened(spark, monkeypatch):
+    """A source next to a hub of many nodes: the search grows from the target's side."""
+    grown = []
+    real = traverse._grown
+    monkeypatch.setattr(traverse, "_grown", lambda steps, frontier, size, seen: grown.append(size) or real(steps, frontier, size, seen))
+    pairs = [("s", "hub")] + [("hub", f"n{i}") for i in range(300)] + [(f"n{i}", f"m{i}") for i in range(300)] + [("n7", "x"), ("x", "y"), ("y", "t")]
+    names = {k: k for p in pairs for k in p}
+    rows = traverse.shortest_path(entities(spark, names), edges(spark, pairs), "s", "t").collect()
+    assert [r.name for r in rows] == ["s", "hub", "n7", "x", "y", "t"] and max(grown) < 10
+    assert traverse.shortest_path(entities(spark, names), edges(spark, pairs), "s", "t", max_hops=4).count() == 0
+    assert traverse.shortest_path(entities(spark, names), edges(spark, pairs), "s", "t", max_hops=5).count() == 6
+
+
 def test_start_on_a_cycle_is_listed_with_its_length(spark):
     ents = entities(spark, {"a": "a", "b": "b", "c": "c"})
     got = {r.name: r.distance for r in traverse.blast_radius(ents, edges(spark, [("a", "b"), ("b", "c"), ("c", "a")]), "a").collect()}
