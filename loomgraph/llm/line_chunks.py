@@ -10,8 +10,8 @@ rolling hashes.
 Chunks are counted over all texts by hash, and those that may be repeated are grouped by
 128 bits.  The bytes of a chunk are compared with those of the first of its group; if
 they are equal, its lines are removed, and so are the lines above and below as long
-as they equal those around the first, up to ``BESIDE`` lines each way (128 bits of
-hash), which is as far as the next chunks.  So of a block that holds one shared chunk
+as they equal those around the first, up to ``BESIDE`` lines each way (64 bits of
+hash), which is farther than most chunks reach, and the next chunks go on from there.  So of a block that holds one shared chunk
 every line goes, wherever its edges are.  A removed line always has an equal one at an
 earlier place; hence the first occurrence of every line stays.
 
@@ -42,7 +42,7 @@ from loomgraph.llm.wordhash import SPACES, LineSplitter, Tokens, mixed
 WINDOW = 2
 CUTS = 4
 LONGEST = 64
-BESIDE = 16
+BESIDE = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -115,13 +115,12 @@ class Chunks(Passages):
                 continue
             some = wanted(h)
             begin, end, h, text = begin[some], end[some], h[some], text[some]
-            other = mixed(t.hashes ^ _OTHER)
-            g = self.splitter.ranges(other, begin, end).view(np.int64)
+            g = self.splitter.ranges(mixed(t.hashes ^ _OTHER), begin, end).view(np.int64)
             content = t.data.tobytes()
             more = {
                 "content": pa.array([content[a:b] for a, b in zip(t.starts[begin].tolist(), t.ends[end - 1].tolist())], pa.binary()),
-                "above": _beside(t, other, begin - 1, -1, np.minimum(begin - t.bounds[text], BESIDE)),
-                "below": _beside(t, other, end, 1, np.minimum(t.bounds[text + 1] - end, BESIDE)),
+                "above": _beside(t, begin - 1, -1, np.minimum(begin - t.bounds[text], BESIDE)),
+                "below": _beside(t, end, 1, np.minimum(t.bounds[text + 1] - end, BESIDE)),
                 "n_lines": pa.array(end - begin, pa.int32()),
             }
             yield Found(text + t.first, h, g, begin - t.bounds[text], more)
@@ -159,18 +158,17 @@ class Chunks(Passages):
         return texts.array(), *arrays
 
 
-def _beside(t: Tokens, other: np.ndarray, start: np.ndarray, step: int, n: np.ndarray) -> pa.ListArray:
-    """Two hashes of each of the ``n`` lines from ``start`` on, upwards or downwards."""
+def _beside(t: Tokens, start: np.ndarray, step: int, n: np.ndarray) -> pa.ListArray:
+    """Hashes of the ``n`` lines from ``start`` on, upwards or downwards."""
     ends = np.cumsum(n)
     lines = np.repeat(start, n) + step * (np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n))
-    codes = np.stack([t.hashes[lines], other[lines]], axis=1).ravel().view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends) * 2, pa.int32()), pa.array(codes))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(t.hashes[lines].view(np.int64)))
 
 
 def _agreeing(mine: str, its: str) -> str:
-    """SQL: how many lines of two lists of hash pairs agree from the start."""
+    """SQL: how many lines of two lists of hashes agree from the start."""
     unlike = f"array_position(zip_with({mine}, {its}, (x, y) -> coalesce(x = y, false)), false)"
-    return f"CAST(IF({unlike} = 0, least(size({mine}), size({its})), {unlike} - 1) DIV 2 AS INT)"
+    return f"CAST(IF({unlike} = 0, least(size({mine}), size({its})), {unlike} - 1) AS INT)"
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, is_stored: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.rows import packed
+from loomgraph.llm.rows import packed, portions, small_batches
 from loomgraph.session import cut_lineage, work_folder
 
 LEAST_BITS = 20
@@ -69,6 +69,7 @@ def located(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None, is_
 
     ``is_stored`` tells that ``docs`` is a plain scan of Parquet files; other frames are written to the shared folder first.
     """
+    small_batches(docs.sparkSession)
     rows = [packed(docs, keep), F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")]
     if not is_stored:
         docs = stored(docs.select(*rows))
@@ -150,7 +151,7 @@ def rewritten(texts: DataFrame, positions: DataFrame, rewrite, kind: T.DataType)
     schema = T.StructType([rows.schema["row"], T.StructField("result", result)])
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1):
             arrays = rewrite(batch.column(1), batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(list(arrays), names)], ["row", "result"])
 

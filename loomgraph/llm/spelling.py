@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.rows import small_batches
 from loomgraph.llm.wordhash import Splitter, Tokens, mixed
 from loomgraph.session import cut_lineage, sized
 
@@ -138,6 +139,7 @@ def counted(
     With ``slips``, a word of a document whose CRC-32 of ``<id>:<word>`` this number divides
     loses the code point at that CRC-32 modulo its length, as a typist would lose it.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("name"), F.col(f"`{text}`").cast("string").alias("text"))
     found = rows.mapInArrow(_Counter(least_length, slips), "word string, n long").where(F.char_length("word") >= least_length)
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
