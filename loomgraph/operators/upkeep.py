@@ -1,7 +1,13 @@
 """Graph maintenance: upsert, mark-and-sweep, retirement (group D).
 
 All functions take and return plain tables, for any number of repositories at
-once.  ``runs(repo, commit, run)`` names the import run of each repository.
+once.  ``runs(repo, commit, run)`` names the import run of each repository; it is
+counted and broadcast.
+
+Keys of nodes that are not shared contain their repository, so an import can
+only meet rows of its own repositories and shared ones: other rows pass by
+without a shuffle.  A sweep marks once, and edges meet the few removed keys and the
+shared nodes as counted broadcasts.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import functions as F
 from loomgraph import schemas
 from loomgraph.functions import rules
 from loomgraph.functions.columns import blank
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, sized
 
 _STAMPS = ("last_commit", "last_run")
 
@@ -40,6 +46,20 @@ def _stamped(rows: DataFrame, runs: DataFrame, repo: str) -> DataFrame:
     return rows.drop(*_STAMPS).join(stamps, repo)
 
 
+def _counted(keys: DataFrame) -> DataFrame:
+    """A table written once, marked for broadcast when its size allows."""
+    keys = cut_lineage(keys)
+    return sized(keys, keys.count())
+
+
+def _parted(rows: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows an import of these repositories can meet (theirs and those of no repository), and all others."""
+    names = _counted(runs.select(F.col("repo").alias("_name")).distinct())
+    flagged = rows.join(names, F.col("repo") == F.col("_name"), "left")
+    theirs = F.col("repo").isNull() | F.col("_name").isNotNull()
+    return flagged.where(theirs).drop("_name"), flagged.where(~theirs).drop("_name")
+
+
 def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     payload = [c for c in rows.columns if c not in keys]
@@ -80,18 +100,21 @@ def upsert_nodes(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewri
     rows = _stamped(incoming, runs, "import_repo")
     rows = _last(rows, ["node_key"], ["import_repo", "ord"]).drop("import_repo", "ord")
     rows = schemas.conform(rows, schemas.ENTITY_FIELDS)
-    return _merge(
-        current, rows, lambda a, b: a.node_key == b.n_node_key, schemas.ENTITY_FIELDS, ("node_key",), rewrite_all
+    mine, others = _parted(current, runs)
+    merged = _merge(
+        mine, rows, lambda a, b: a.node_key == b.n_node_key, schemas.ENTITY_FIELDS, ("node_key",), rewrite_all
     )
+    return merged.unionByName(schemas.conform(others, schemas.ENTITY_FIELDS))
 
 
 def upsert_ownership(current: DataFrame, incoming: DataFrame, runs: DataFrame) -> DataFrame:
     """Ownership of every imported node, stamps refreshed."""
     rows = incoming.select(F.col("import_repo").alias("repo"), "node_key").distinct()
     rows = _stamped(rows, runs, "repo")
-    kept = current.join(rows.select("repo", "node_key"), ["repo", "node_key"], "left_anti")
+    mine, others = _parted(current, runs)
+    kept = mine.join(rows.select("repo", "node_key"), ["repo", "node_key"], "left_anti").unionByName(others)
     unstamped = blank(F.col("last_commit"))
-    old = current.select(
+    old = mine.select(
         "repo", "node_key", F.col("last_commit").alias("o_commit"), F.col("last_run").alias("o_run")
     )
     fresh = rows.join(old, ["repo", "node_key"], "left").select(
@@ -114,7 +137,8 @@ def upsert_edges(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewri
     rows = rows.withColumn("import_repo", F.col("repo"))
     rows = _last(rows, ["src", "dst", "type", "scope"], ["import_repo", "ord"]).drop("import_repo", "ord")
     rows = schemas.conform(rows, schemas.EDGE_FIELDS, keep=("scope",))
-    have = current.withColumn("scope", _edge_scope(F.col("src"), F.col("dst"), F.col("repo")))
+    mine, others = _parted(current, runs)
+    have = mine.withColumn("scope", _edge_scope(F.col("src"), F.col("dst"), F.col("repo")))
 
     def same(a, b):
         return (
@@ -122,9 +146,10 @@ def upsert_edges(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewri
             & a["scope"].eqNullSafe(b["n_scope"])
         )
 
-    return _merge(
+    merged = _merge(
         have, rows, same, schemas.EDGE_FIELDS, ("src", "dst", "type", "repo"), rewrite_all
     )
+    return merged.unionByName(schemas.conform(others, schemas.EDGE_FIELDS))
 
 
 # --- sweep -----------------------------------------------------------------
@@ -146,15 +171,16 @@ def _mark(rows: DataFrame, runs: DataFrame, repo: Column) -> DataFrame:
 
 
 def _marked(graph: Graph, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    runs = _counted(runs.select("repo", "run"))
     entities = _mark(graph.entities, runs, F.col("repo")).withColumn(
         "stale", F.col("stale") & ~F.coalesce("shared", F.lit(False))
     )
     # Edges without a stamp belong to the repository of their source.
     unstamped = graph.edges.where(F.col("repo").isNull())
-    owner = graph.entities.select(F.col("node_key").alias("src"), F.col("repo").alias("_owner"))
-    edges = _mark(graph.edges.where(F.col("repo").isNotNull()), runs, F.col("repo")).unionByName(
-        _mark(unstamped.join(owner, "src", "left"), runs, F.col("_owner")).drop("_owner")
-    )
+    edges = _mark(graph.edges.where(F.col("repo").isNotNull()), runs, F.col("repo"))
+    if not unstamped.isEmpty():
+        owner = graph.entities.select(F.col("node_key").alias("src"), F.col("repo").alias("_owner"))
+        edges = edges.unionByName(_mark(unstamped.join(owner, "src", "left"), runs, F.col("_owner")).drop("_owner"))
     ownership = _mark(graph.ownership, runs, F.col("repo"))
     return entities, edges, ownership
 
@@ -185,7 +211,7 @@ def residue(graph: Graph, runs: DataFrame) -> DataFrame:
 
 
 def _detach(graph: Graph, removed: DataFrame) -> Graph:
-    """Remove nodes with all their edges; ``removed(node_key)``."""
+    """Remove nodes with all their edges; ``removed(node_key)`` is counted and broadcast."""
     keys = removed.select("node_key")
     return Graph(
         graph.entities.join(keys, "node_key", "left_anti").select(*schemas.ENTITY_FIELDS),
@@ -196,22 +222,37 @@ def _detach(graph: Graph, removed: DataFrame) -> Graph:
     )
 
 
+def touched_shared(edges: DataFrame, shared: DataFrame) -> DataFrame:
+    """Shared nodes (node_key) that are an end of some edge; edges meet the counted keys, not the other way round."""
+    keys = shared.select("node_key")
+    ends = [edges.select(F.col(end).alias("node_key")).join(keys, "node_key", "left_semi") for end in ("src", "dst")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
 def orphans(graph: Graph) -> DataFrame:
     """Shared nodes without an edge; ownership does not count."""
-    touched = graph.edges.select(F.col("src").alias("node_key")).unionByName(
-        graph.edges.select(F.col("dst").alias("node_key"))
-    )
-    shared = graph.entities.where(F.coalesce("shared", F.lit(False)))
-    return shared.join(touched, "node_key", "left_anti").select("node_key")
+    shared = _counted(graph.entities.where(F.coalesce("shared", F.lit(False))).select("node_key"))
+    return shared.join(touched_shared(graph.edges, shared), "node_key", "left_anti")
+
 
+def reap_orphans(graph: Graph, held: DataFrame | None = None) -> Graph:
+    """Remove orphaned shared nodes but those ``held`` (node_key) by edges that are not in ``graph``."""
+    lone = orphans(graph) if held is None else orphans(graph).join(held.select("node_key"), "node_key", "left_anti")
+    gone = _counted(lone)
+    # No edge has such an end.
+    return Graph(
+        graph.entities.join(gone, "node_key", "left_anti").select(*schemas.ENTITY_FIELDS),
+        graph.edges,
+        graph.ownership.join(gone, "node_key", "left_anti").select(*schemas.OWNERSHIP_FIELDS),
+    )
 
-def reap_orphans(graph: Graph) -> Graph:
-    """Remove orphaned shared nodes."""
-    return _detach(graph, cut_lineage(orphans(graph)))
 
+def sweep(graph: Graph, runs: DataFrame, held: DataFrame | None = None) -> Graph:
+    """Remove what the runs did not write, then orphans if anything went (D3).
 
-def sweep(graph: Graph, runs: DataFrame) -> Graph:
-    """Remove what the runs did not write, then orphans if anything went (D3)."""
+    ``graph`` may be a part of a store: the swept repositories' rows and all
+    shared ones.  ``held`` names shared nodes that the edges of the other part touch.
+    """
     check_runs(runs)
     entities, edges, ownership = _marked(graph, runs)
     kept = Graph(
@@ -220,12 +261,12 @@ def sweep(graph: Graph, runs: DataFrame) -> Graph:
         ownership.where("NOT stale").select(*schemas.OWNERSHIP_FIELDS),
     )
     # The removed keys are few next to the graph; written once, they feed every anti-join.
-    gone = cut_lineage(entities.where("stale").select("node_key"))
+    gone = _counted(entities.where("stale").select("node_key"))
     swept = _detach(kept, gone)
     untouched = (
         gone.isEmpty() and edges.where("stale").isEmpty() and ownership.where("stale").isEmpty()
     )
-    return swept if untouched else reap_orphans(swept)
+    return swept if untouched else reap_orphans(swept, held)
 
 
 def owned_counts(graph: Graph) -> DataFrame:
@@ -250,5 +291,5 @@ def delete_repositories(graph: Graph, repositories: DataFrame, names: list[str])
         graph.edges.where(F.col("repo").isNull() | ~gone),
         graph.ownership.where(~gone),
     )
-    kept = _detach(kept, graph.entities.where(gone))
+    kept = _detach(kept, _counted(graph.entities.where(gone).select("node_key")))
     return reap_orphans(kept), repositories.where(~F.col("name").isin(*names))
