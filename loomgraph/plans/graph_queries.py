@@ -14,9 +14,9 @@ from loomgraph.operators import build, upkeep
 from loomgraph.operators.reports import confidence_report
 from loomgraph.plans.index_run import import_run
 from loomgraph.plans.registry import query
-from loomgraph.session import cut_lineage, work_folder
+from loomgraph.session import cut_lineage, publish_file, work_folder
 from loomgraph.sources import graph_files
-from loomgraph.sources.store import GraphStore, write_report
+from loomgraph.sources.store import GraphStore, all_parts, write_report
 
 _EXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.EXTENSION_LANGUAGES.items())
 _TYPES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TYPE_LABELS.items())
@@ -550,9 +550,12 @@ def a1_a2_graph_records(t):
     _RUN2,
 )
 def a5_store_import(t):
+    """An import into a store whose folder holds what two dead writers left: an empty generation and half an id."""
     first = stored_first_run(t)
     store = GraphStore(t.spark, f"{work_folder(t.spark)}/graph")
-    store.commit(first, t.table("nation").select(F.col("n_name").alias("part")))
+    for number, text in ((1, ""), (2, "0123abcd")):
+        publish_file(t.spark, f"{store.path}/generations", f"{number:020d}", text)
+    store.commit(first, all_parts(first))
     nodes, links, runs = _second_import(t)
     import_run(store, nodes, links, runs)
     return store.read().entities.select("node_key", "repo", "last_run")

@@ -68,20 +68,34 @@ def input_stamp(spark: SparkSession, path: str) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(sorted(parts))))
 
 
-def create_file(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file unless it is there already; whether it was created."""
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right below ``path``, none if it does not exist."""
     fs, place = _files(spark, path)
-    fs.mkdirs(place.getParent())
-    if fs.exists(place):
-        return False
+    return [f.getPath().getName() for f in fs.listStatus(place) if f.isFile()] if fs.exists(place) else []
+
+
+def publish_file(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Put a small file into ``folder`` unless one of that name is there; whether it was put there.
+
+    The text is written under a name of its own and renamed without overwriting,
+    so the file is seen with all its content or not at all.
+    """
+    fs, place = _files(spark, folder)
+    fs.mkdirs(place)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    draft = hadoop.Path(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    no_overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
     try:
-        stream = fs.create(place, False)
+        context.rename(draft, hadoop.Path(f"{folder}/{name}"), no_overwrite)
     except Exception as error:  # Hadoop's own error when another writer was first
+        fs.delete(draft, False)
         if "Exists" in str(error) or "exists" in str(error):
             return False
         raise
-    stream.write(bytearray(text.encode()))
-    stream.close()
     return True
 
 

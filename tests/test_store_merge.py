@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas
 from loomgraph.operators import build, upkeep
+from loomgraph.plans.index_run import import_run
 from loomgraph.plans.projections import GraphTables
-from loomgraph.sources.store import CommitConflict, GraphStore
+from loomgraph.session import file_names, publish_file
+from loomgraph.sources.store import CommitConflict, GraphStore, changed_parts
 from tests.test_build_upkeep import graph_of, links, nodes, runs
 
 
@@ -48,6 +50,61 @@ def test_the_slower_of_two_writers_is_refused(spark, tmp_path, graph):
         one.drop_attempts(list(live))
 
 
+def test_broken_generations_are_passed_over(spark, tmp_path, graph):
+    """A file without content, one that broke off, and one whose attempt is unknown block no later commit."""
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    folder = tmp_path / "graph" / "generations"
+    folder.mkdir(parents=True)
+    (folder / f"{1:020d}").write_text("")
+    assert store.last() == 0 and store.commit(graph, parts(spark, "r1")) == 2
+    (folder / f"{3:020d}").write_text("0123456789abc")
+    (folder / f"{4:020d}").write_text("")
+    assert store.last() == 2 and store.read().entities.count() == 2
+    assert store.commit(graph, parts(spark, "r1")) == 5 and store.last() == 5
+    (folder / f"{6:020d}").write_text("0" * 32)  # whole, but its log is missing
+    assert store.read().entities.count() == 2
+    assert store.commit(graph, parts(spark, "r1")) == 7
+
+
+def test_one_number_has_one_writer(spark, tmp_path):
+    folder = str(tmp_path / "generations")
+    assert publish_file(spark, folder, "1", "one") and not publish_file(spark, folder, "1", "two")
+    assert (tmp_path / "generations" / "1").read_text() == "one"
+    assert file_names(spark, folder) == ["1"] and file_names(spark, folder + "/none") == []
+
+
+def test_changed_rows_change_their_part(spark, graph):
+    same = upkeep.Graph(graph.entities, graph.edges, graph.ownership)
+    assert changed_parts(graph, same).count() == 0
+    moved = upkeep.Graph(graph.entities.withColumn("name", F.when(F.col("node_id") == "a", "other").otherwise(F.col("name"))), graph.edges, graph.ownership)
+    assert [r.part for r in changed_parts(graph, moved).collect()] == ["r1"]
+
+
+def test_an_import_reads_and_writes_its_parts_only(spark, tmp_path):
+    table, view = ("sql::sql_table::dbo.a", "dbo.a", "platform", "sql_table"), ("sql::sql_table::dbo.zz", "dbo.zz", "platform", "sql_table")
+    ns = nodes(spark, *[(f"r{i}", 0, "a", f"A{i}") for i in range(6)], ("r1", 1, *table), ("r2", 1, *table), ("r2", 2, *view))
+    ls = links(spark, ("r1", 0, "a", table[0], "reads_table"), ("r2", 0, "a", table[0], "reads_table"), ("r2", 1, "a", view[0], "reads_table"))
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    import_run(store, ns, ls, runs(spark, *[(f"r{i}", "c", "1") for i in range(6)]))
+    before = {r.part: r.attempt for r in store.current().collect()}
+    own = spark.createDataFrame([("r2",)], "part string")
+    plan = store.read(own).edges._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "part#" in plan.split("PartitionFilters")[1].split("]")[0]
+    # r2 drops the view and keeps the table, which r1 reads as well.
+    second = ns.where("repo = 'r2' and ord < 2"), ls.where("repo = 'r2' and ord < 1")
+    assert [r.status for r in import_run(store, *second, runs(spark, ("r2", "c", "2"))).collect()] == ["success"]
+    after = {r.part: r.attempt for r in store.current().collect()}
+    changed = {p for p in after if after[p] != before.get(p)}
+    assert "r2" in changed and not changed & {"r0", "r1", "r3", "r4", "r5"} and len(changed) <= 3
+    names = {r.name for r in store.read().entities.collect()}
+    assert "dbo.a" in names and "dbo.zz" not in names
+    # Nothing of r2 is left, but r1's edge, which is not read, holds the table.
+    import_run(store, ns.limit(0), ls.limit(0), runs(spark, ("r2", "c", "3")))
+    assert "dbo.a" in {r.name for r in store.read().entities.collect()}
+    import_run(store, ns.where("repo = 'r1' and ord < 1"), ls.limit(0), runs(spark, ("r1", "c", "4")))
+    assert "dbo.a" not in {r.name for r in store.read().entities.collect()}
+
+
 def test_order_of_a_merge_is_numeric_and_graph_rows_stay(spark):
     graph = nodes(spark, ("r", 9, "a", "nine"), ("r", 10, "a", "ten"), ("r", 11, "b", ""))
     frags = nodes(spark, ("r", 10, "b", "late", None, "sql_view"), ("r", 9, "b", "early"), ("r", 2, "a", "x", None, "package"))
