@@ -102,11 +102,12 @@ BODY_RULES = {
 
 # --- masking -----------------------------------------------------------------
 
+#: Openings of block comments up to which one pattern masks a text; texts with more are walked with a running depth.
 _NESTING = 6
 
 
 def _block_comment() -> str:
-    """A block comment with comments nested in it; beyond the last level the text is flat."""
+    """A block comment with up to ``_NESTING`` comments nested in it."""
     inner = r"(?:[^*]|\*(?!/))*+"
     regex = rf"/\*{inner}(?:\*/|\z)"
     for _ in range(_NESTING):
@@ -140,26 +141,122 @@ def _is_comment(token: Column) -> Column:
 
 
 def _mask_token(token: Column) -> Column:
-    body = F.array_join(
-        F.transform(
-            F.regexp_extract_all(token, F.lit(_BODY_TOKEN), F.lit(0)),
-            lambda t: F.when(_is_comment(t), _blank(t)).otherwise(t),
-        ),
-        "",
-    )
+    def body(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(_BODY_TOKEN), F.lit(0))
+        return F.translate(F.array_join(F.transform(pieces, lambda t: F.when(_is_comment(t), _blank(t)).otherwise(t)), ""), _PLAIN, _HIDDEN)
+
+    # A comment of a dollar body ends with the body, before the closing tag.
+    tag = F.regexp_extract(token, r"^\$[A-Za-z0-9_]*+\$", 0)
+    closed = token.endswith(tag) & (F.length(token) >= 2 * F.length(tag))
+    whole = F.concat(body(F.left(token, F.length(token) - F.length(tag))), F.translate(tag, _PLAIN, _HIDDEN))
     return (
         F.when(_is_comment(token) | token.startswith("'"), _blank(token))
-        .when(token.startswith("$") & (F.length(token) > 1), F.translate(body, _PLAIN, _HIDDEN))
+        .when(token.startswith("$") & (F.length(token) > 1), F.when(closed, whole).otherwise(body(token)))
         .otherwise(token)
     )
 
 
-def mask(text: Column) -> Column:
-    """The text, same length, without comments and literals, its dollar bodies hidden."""
+def _mask_by_pattern(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     return F.array_join(F.transform(tokens, _mask_token), "")
 
 
+# Modes of the walk; a dollar body has comments of its own, which its closing tag ends as well.
+_CODE, _LINE, _BLOCK, _LITERAL, _QUOTED, _DOLLAR, _DOLLAR_LINE, _DOLLAR_BLOCK = range(8)
+_KEEP, _BLANKED, _HIDE = range(3)
+_LEXEME = r"""[-/*'"$\n]|[^-/*'"$\n]++"""
+_WALK_BLOCK = 256
+_STATE = "struct<mode:int,depth:int,tag:string,skip:int,as:int>"
+
+
+def _state(mode, depth, tag, skip, mask_as) -> Column:
+    values = [v if isinstance(v, Column) else F.lit(v) for v in (mode, depth, tag, skip, mask_as)]
+    return F.struct(*[v.alias(n) for v, n in zip(values, ("mode", "depth", "tag", "skip", "as"))]).cast(_STATE)
+
+
+def _step(s: Column, x: Column) -> Column:
+    """State after a lexeme ``t`` that ``n1`` and ``n2`` follow; ``as`` tells how the lexeme itself is masked."""
+    t, n1, n2 = x["t"], F.coalesce(x["n1"], F.lit("")), F.coalesce(x["n2"], F.lit(""))
+    mode, depth, tag = s["mode"], s["depth"], s["tag"]
+    opens, closes = (t == "/") & (n1 == "*"), (t == "*") & (n1 == "/")
+    dashes = (t == "-") & (n1 == "-")
+    tagged = (n2 == "$") & n1.rlike("^[A-Za-z0-9_]+$")
+    starts = (t == "$") & ((n1 == "$") | tagged)
+    ends = (t == "$") & F.when(tag == "$$", n1 == "$").otherwise(tagged & (F.concat(t, n1, n2) == tag))
+
+    def comment(line: int, block: int, back: int) -> list[tuple[Column, Column]]:
+        return [
+            ((mode == line), F.when(t == "\n", _state(back, 0, tag, 0, _BLANKED)).otherwise(_state(line, 0, tag, 0, _BLANKED))),
+            (
+                (mode == block),
+                F.when(opens, _state(block, depth + 1, tag, 1, _BLANKED))
+                .when(closes & (depth == 1), _state(back, 0, tag, 1, _BLANKED))
+                .when(closes, _state(block, depth - 1, tag, 1, _BLANKED))
+                .otherwise(_state(block, depth, tag, 0, _BLANKED)),
+            ),
+        ]
+
+    after_tag = F.when(n1 == "$", 1).otherwise(2)
+    out = F.when(s["skip"] > 0, _state(mode, depth, tag, s["skip"] - 1, s["as"]))
+    out = out.when((mode >= _DOLLAR) & ends, _state(_CODE, 0, "", after_tag, _HIDE))
+    for condition, value in comment(_LINE, _BLOCK, _CODE) + comment(_DOLLAR_LINE, _DOLLAR_BLOCK, _DOLLAR):
+        out = out.when(condition, value)
+    out = out.when(mode == _LITERAL, F.when(t == "'", _state(_CODE, 0, "", 0, _BLANKED)).otherwise(_state(_LITERAL, 0, "", 0, _BLANKED)))
+    out = out.when(mode == _QUOTED, F.when(t == '"', _state(_CODE, 0, "", 0, _KEEP)).otherwise(_state(_QUOTED, 0, "", 0, _KEEP)))
+    out = out.when((mode == _DOLLAR) & dashes, _state(_DOLLAR_LINE, 0, tag, 1, _BLANKED))
+    out = out.when((mode == _DOLLAR) & opens, _state(_DOLLAR_BLOCK, 1, tag, 1, _BLANKED))
+    out = out.when(mode == _DOLLAR, _state(_DOLLAR, 0, tag, 0, _HIDE))
+    out = out.when(dashes, _state(_LINE, 0, "", 1, _BLANKED)).when(opens, _state(_BLOCK, 1, "", 1, _BLANKED))
+    out = out.when(t == "'", _state(_LITERAL, 0, "", 0, _BLANKED)).when(t == '"', _state(_QUOTED, 0, "", 0, _KEEP))
+    tag_text = F.when(n1 == "$", "$$").otherwise(F.concat(F.lit("$"), n1, F.lit("$")))
+    return out.when(starts, _state(_DOLLAR, 0, tag_text, after_tag, _HIDE)).otherwise(_state(_CODE, 0, "", 0, _KEEP))
+
+
+def _mask_by_walk(text: Column) -> Column:
+    """The same for comments of any depth: a walk over lexemes that carries its mode and the running depth.
+
+    The walk first finds the state at the start of every block of lexemes, then
+    masks each block from there, so a text costs as its length.
+    """
+
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def masked(s: Column, x: Column) -> Column:
+        return F.when(s["as"] == _BLANKED, _blank(x["t"])).when(s["as"] == _HIDE, F.translate(x["t"], _PLAIN, _HIDDEN)).otherwise(x["t"])
+
+    def walked(block: Column, state: Column) -> Column:
+        start = F.struct(state.alias("s"), F.lit("").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return let(_step(acc["s"], x), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], masked(s, x)).alias("out")))
+
+        return F.aggregate(block, start, step, lambda acc: acc["out"])
+
+    def joined(tokens: Column) -> Column:
+        near = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(tokens, i + 1).alias("n1"), F.get(tokens, i + 2).alias("n2")))
+        last = F.floor((F.size(tokens) - 1) / _WALK_BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(near, k * _WALK_BLOCK + 1, F.lit(_WALK_BLOCK)))
+        first = F.array(_state(_CODE, 0, "", 0, _KEEP))
+
+        def pieces(parts: Column) -> Column:
+            states = F.aggregate(parts, first, lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.element_at(acc, -1), _step))))
+            return let(states, lambda known: F.array_join(F.transform(parts, lambda block, k: walked(block, F.get(known, k))), ""))
+
+        return let(blocks, pieces)
+
+    return F.when(text == "", text).otherwise(let(F.regexp_extract_all(text, F.lit(_LEXEME), F.lit(0)), joined))
+
+
+def mask(text: Column) -> Column:
+    """The text, same length, without comments and literals, its dollar bodies hidden.
+
+    Comments nest to any depth.
+    """
+    deep = F.size(F.split(text, r"/\*", _NESTING + 2)) > _NESTING + 1
+    return F.when(deep, _mask_by_walk(text)).otherwise(_mask_by_pattern(text))
+
+
 def unhide(text: Column) -> Column:
     return F.translate(text, _HIDDEN, _PLAIN)
 

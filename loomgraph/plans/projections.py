@@ -734,6 +734,9 @@ class GraphTables:
 FILE_FIELDS = {"repo": T.StringType(), "path": T.StringType(), "content": T.StringType()}
 RAW_FIELDS = {"repo": T.StringType(), "ord": T.LongType()}
 
+_DEPTH = 50
+_NESTED = "/* CREATE TABLE app.deep (x int); INSERT INTO deep " * _DEPTH + "*/ " * _DEPTH
+
 # Path and content of each kind of file; {n} is the document id, {m7} its remainder by 7.
 FILE_TEMPLATES = (
     (
@@ -771,9 +774,9 @@ FILE_TEMPLATES = (
         "{block}CREATE TABLE app.t{n} (id serial, c int REFERENCES base{m10}(id));\n"
         "CREATE MATERIALIZED VIEW app.mv{n} AS WITH a AS (SELECT 1 FROM src{m8}) SELECT * FROM a;\n"
         "CREATE FUNCTION app.f{n}() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN\n  -- INSERT INTO hidden\n"
-        "  INSERT INTO audit{m4} SELECT * FROM app.t{n}; END; $$;\n"
+        "  INSERT INTO audit{m4} SELECT * FROM app.t{n}; " + _NESTED + "END; $$;\n"
         "CREATE TRIGGER tg{n} BEFORE UPDATE ON app.t{n} FOR EACH ROW EXECUTE FUNCTION app.f{n}();\n"
-        "ALTER TABLE ONLY app.t{n} ADD CONSTRAINT fk FOREIGN KEY (c) REFERENCES base{m10}(id);\n",
+        "ALTER TABLE ONLY app.t{n} ADD CONSTRAINT fk FOREIGN KEY (c) REFERENCES base{m10}(id);" + _NESTED + "\n",
     ),
     (
         "config/{n}/kafka.yml",
