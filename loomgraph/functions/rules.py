@@ -160,14 +160,6 @@ SKIP_DIRS = (
 # --- Fixed values: further directories skipped by the HTTP extractor ---
 HTTP_SKIP_DIRS = ("tests", "test", "testdata", "mocks", "__mocks__", "__tests__")
 
-# --- Fixed values: byte limits per extractor ---
-MIB = 1024 * 1024
-KAFKA_MAX_BYTES = 2 * MIB
-HTTP_MAX_BYTES = 2 * MIB
-GLUE_MAX_BYTES = 4 * MIB
-SQL_MAX_BYTES = 8 * MIB
-SPEC_MAX_BYTES = 10 * MIB
-
 # --- Fixed values: repository and branch name patterns ---
 REPO_NAME_RE = r"^[A-Za-z0-9_][A-Za-z0-9._-]*$"
 BRANCH_RE = r"^[A-Za-z0-9_][A-Za-z0-9._/-]*$"

@@ -55,10 +55,9 @@ GO_WRAPPED = (
     r"\.(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Any|Get|Post|Put|Delete|Patch|Options|Head|Group|Handle"
     r"|HandleFunc)\s*\(\s*$"
 )
-# --- Fixed values: how far a wrapped call is followed, how deep names resolve ---
+# --- Fixed values: how far a wrapped call is followed unless told otherwise ---
 WRAP_MAX_LINES = 10
 WRAP_MAX_CHARS = 4096
-RESOLVE_DEPTH = 8
 
 _PART = r'"(?:\\.|[^"\\])*"|`[^`]*`|[A-Za-z_][\w.]*'
 _CONCAT = rf"^\s*(?:{_PART})\s*(?:\+\s*(?:{_PART})\s*)*$"
@@ -171,10 +170,13 @@ def _paren_delta(text: Column) -> Column:
     return F.length(F.regexp_replace(code, r"[^(]", "")) - F.length(F.regexp_replace(code, r"[^)]", ""))
 
 
-def wrapped_calls(files_code: DataFrame) -> DataFrame:
+def wrapped_calls(
+    files_code: DataFrame, max_lines: int | None = WRAP_MAX_LINES, max_chars: int | None = WRAP_MAX_CHARS
+) -> DataFrame:
     """Registrations spread over lines, joined into one: ``line`` is where they start.
 
-    A fold over the lines of a file that holds the open call; only files with a
+    A call that is not closed is followed up to a number of lines and
+    characters, to the end of the file with None.  A fold over the lines of a file that holds the open call; only files with a
     call opened at a line end are folded.
     """
     lines = F.transform(
@@ -196,7 +198,9 @@ def wrapped_calls(files_code: DataFrame) -> DataFrame:
         joined = F.concat(acc["carry"], F.lit(" "), F.trim(row["text"]))
         depth = acc["depth"] + row["delta"]
         closes = carrying & (
-            (depth <= 0) | (row["line"] - acc["start"] >= WRAP_MAX_LINES) | (F.length(joined) > WRAP_MAX_CHARS)
+            (depth <= 0)
+            | (F.lit(False) if max_lines is None else row["line"] - acc["start"] >= max_lines)
+            | (F.lit(False) if max_chars is None else F.length(joined) > max_chars)
         )
         done = F.struct(acc["start"].alias("line"), joined.alias("text"))
         opens = ~carrying & row["opens"]
@@ -240,7 +244,8 @@ def resolve_names(names: DataFrame, local: DataFrame, shared: DataFrame) -> Data
 
     Each round replaces the names still open by the parts of their declaration,
     the file's own first; literals stay put with their position, so the value is
-    assembled once at the end.
+    assembled once at the end.  Names resolve to any depth; one that leads back to
+    itself does not become a string.
     """
     keys = ["repo", "path", "name"]
     first_local = local.groupBy(*keys).agg(F.min_by("parts", "line").alias("local_parts"))
@@ -251,34 +256,35 @@ def resolve_names(names: DataFrame, local: DataFrame, shared: DataFrame) -> Data
     package = first_shared.select("repo", F.col("name").alias("open"), "shared_parts")
     open_names = cut_lineage(
         names.select(*keys).distinct().select(
-            *keys, F.col("name").alias("open"), F.array().cast("array<int>").alias("pos")
+            *keys, F.col("name").alias("open"), F.array().cast("array<int>").alias("pos"), F.array("name").alias("seen")
         )
     )
     pieces: list[DataFrame] = []
-    for _ in range(RESOLVE_DEPTH + 1):
-        if open_names.isEmpty():
-            break
+    while not open_names.isEmpty():
         expanded = (
             open_names.join(scope, ["repo", "path", "open"], "left")
             .join(package, ["repo", "open"], "left")
             .withColumn("parts", F.coalesce("local_parts", "shared_parts"))
         )
         expanded = cut_lineage(
-            expanded.select(*keys, "pos", F.posexplode_outer("parts").alias("i", "part"))
+            expanded.select(*keys, "pos", "seen", F.posexplode_outer("parts").alias("i", "part"))
         )
         literal = F.col("part").rlike('^["`]')
+        # A name among those it came from is a cycle: its text is missing.
+        again = ~literal & F.array_contains("seen", _last_name(F.col("part")))
         position = F.concat("pos", F.array("i"))
         pieces.append(
-            expanded.where(F.col("part").isNull() | literal).select(
+            expanded.where(F.col("part").isNull() | literal | again).select(
                 *keys,
                 F.when(F.col("part").isNull(), F.col("pos")).otherwise(position).alias("pos"),
-                F.expr("substring(part, 2, length(part) - 2)").alias("text"),
+                F.when(literal, F.expr("substring(part, 2, length(part) - 2)")).alias("text"),
             )
         )
-        open_names = expanded.where(~literal).select(
-            *keys, _last_name(F.col("part")).alias("open"), position.alias("pos")
+        following = _last_name(F.col("part"))
+        open_names = expanded.where(~literal & ~again).select(
+            *keys, following.alias("open"), position.alias("pos"), F.concat("seen", F.array(following)).alias("seen")
         )
-    # Names still open after the last round stay unresolved.
+    # Without any name the table is empty.
     pieces.append(open_names.select(*keys, "pos", F.lit(None).cast("string").alias("text")))
     rows = reduce(DataFrame.unionByName, pieces)
     values = rows.groupBy(*keys).agg(
@@ -356,24 +362,40 @@ def identifier_routes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def group_prefixes(groups: DataFrame) -> DataFrame:
-    """Full prefix of each group variable of a file, by following receivers upwards."""
-    step = groups.select("repo", "path", F.col("var").alias("at"), F.col("recv"), F.coalesce("value", F.lit("")).alias("arg"))
-    open_chains = cut_lineage(
-        groups.select("repo", "path", "var", F.col("var").alias("at"), F.array().cast("array<string>").alias("args"))
+    """Full prefix of each group variable of a file, by following receivers upwards.
+
+    Pointer doubling: every round a group takes over what its receiver has
+    gathered, so a chain of n groups needs log2 n rounds.  A group that is its own
+    ancestor takes each group of the cycle once.
+    """
+    keys = ["repo", "path", "var"]
+    chains = cut_lineage(
+        groups.select(
+            *keys, "recv", F.array("var").alias("seen"), F.array(F.coalesce("value", F.lit(""))).alias("args")
+        )
     )
-    done: list[DataFrame] = []
-    for _ in range(RESOLVE_DEPTH + 1):
-        if open_chains.isEmpty():
-            break
-        joined = cut_lineage(open_chains.join(step, ["repo", "path", "at"], "left"))
-        done.append(joined.where(F.col("recv").isNull()).select("repo", "path", "var", "args"))
-        open_chains = joined.where(F.col("recv").isNotNull()).select(
-            "repo", "path", "var", F.col("recv").alias("at"), F.concat(F.array("arg"), F.col("args")).alias("args")
+    while True:
+        up = chains.select(
+            "repo", "path", F.col("var").alias("recv"), F.col("recv").alias("next"),
+            F.col("seen").alias("up_seen"), F.col("args").alias("up_args"),
         )
-    done.append(open_chains.select("repo", "path", "var", "args"))
-    rows = reduce(DataFrame.unionByName, done)
-    prefix = F.aggregate("args", F.lit(""), lambda acc, arg: join_prefix(acc, arg))
-    return rows.select("repo", "path", "var", prefix.alias("prefix"))
+        # The first group of the receiver's chain that this chain holds already, 0 if none.
+        known = F.array_position(F.transform("up_seen", lambda v: F.array_contains("seen", v)), True)
+        joined = chains.join(up, ["repo", "path", "recv"], "left").withColumn("known", known)
+        joined = joined.withColumn("taken", F.when(F.col("known") == 0, F.size("up_seen")).otherwise(F.col("known") - 1).cast("int"))
+        moved, taken = F.col("up_seen").isNotNull(), F.col("taken")
+        chains = cut_lineage(
+            joined.select(
+                *keys,
+                F.when(moved & (F.col("known") == 0), F.col("next")).alias("recv"),
+                F.when(moved, F.concat("seen", F.slice("up_seen", 1, taken))).otherwise(F.col("seen")).alias("seen"),
+                F.when(moved, F.concat("args", F.slice("up_args", 1, taken))).otherwise(F.col("args")).alias("args"),
+            )
+        )
+        if chains.where("recv IS NOT NULL").isEmpty():
+            break
+    prefix = F.aggregate(F.reverse("args"), F.lit(""), lambda acc, arg: join_prefix(acc, arg))
+    return chains.select(*keys, prefix.alias("prefix"))
 
 
 # --- Spring (C12) --------------------------------------------------------------

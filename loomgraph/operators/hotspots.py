@@ -26,9 +26,11 @@ def fan_in(edges: DataFrame) -> DataFrame:
     )
 
 
-def hotspots(entities: DataFrame, edges: DataFrame, repos=(), limit: int = 0) -> DataFrame:
-    """Entities ranked by fan-in."""
-    limit = rules.HOTSPOT_LIMIT_DEFAULT if limit <= 0 else min(limit, rules.HOTSPOT_LIMIT_MAX)
+def hotspots(
+    entities: DataFrame, edges: DataFrame, repos=(), limit: int = 0, most: int | None = rules.HOTSPOT_LIMIT_MAX
+) -> DataFrame:
+    """Entities ranked by fan-in, ``limit`` of them but no more than ``most`` (None: as many as asked for)."""
+    limit = rules.HOTSPOT_LIMIT_DEFAULT if limit <= 0 else limit if most is None else min(limit, most)
     targets = entities.where(in_scope(F.col("repo"), repos)).select(
         "node_key", "name", "repo", "path", "line", "label"
     )

@@ -24,7 +24,7 @@ from loomgraph.functions.columns import (
     share,
     symbol_spellings_col,
 )
-from loomgraph.session import cut_lineage, sized
+from loomgraph.session import cut_lineage, few, first, sized
 
 
 def symbol_forms(symbols: DataFrame, column: str = "symbol") -> DataFrame:
@@ -40,7 +40,7 @@ def _nulls_last(*names: str) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def find_symbol(entities: DataFrame, symbol: str, repos=()) -> DataFrame:
+def find_symbol(entities: DataFrame, symbol: str, repos=(), limit: int | None = rules.SYMBOL_LIMIT) -> DataFrame:
     """Entities whose name is one of the symbol's spellings."""
     hits = entities.where(
         named(F.col("name_lower"), F.col("norm_name_lower"), symbol)
@@ -48,14 +48,11 @@ def find_symbol(entities: DataFrame, symbol: str, repos=()) -> DataFrame:
     )
     if not symbol:
         hits = hits.where(F.lit(False))
-    return (
-        hits.select(
-            "node_key", "name", "repo", "path", "line",
-            entity_labels(F.col("label")).alias("labels"), "community",
-        )
-        .orderBy(*_nulls_last("repo", "path", "line", "node_key"))
-        .limit(rules.SYMBOL_LIMIT)
+    rows = hits.select(
+        "node_key", "name", "repo", "path", "line",
+        entity_labels(F.col("label")).alias("labels"), "community",
     )
+    return first(rows.orderBy(*_nulls_last("repo", "path", "line", "node_key")), limit)
 
 
 def find_symbols(entities: DataFrame, symbols: DataFrame, column: str = "symbol") -> DataFrame:
@@ -72,20 +69,13 @@ def _side(entities: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return entities.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Matched rows, written once and sent to every executor where few."""
-    kept = cut_lineage(rows)
-    return sized(kept, kept.count())
-
-
 def _ends(entities: DataFrame, keys: DataFrame) -> DataFrame:
     """The entities of a list of keys (one column), picked without moving the others."""
-    wanted = cut_lineage(keys.toDF("node_key").distinct())
-    n = wanted.count()
-    return sized(entities.join(sized(wanted, n), "node_key", "left_semi"), n)
+    wanted = few(keys.toDF("node_key").distinct())
+    return entities.join(wanted, "node_key", "left_semi")
 
 
-def _call_edges(entities, edges, symbol, repos, anchor: str) -> DataFrame:
+def _call_edges(entities, edges, symbol, repos, anchor: str, limit: int | None) -> DataFrame:
     other = "callee" if anchor == "caller" else "caller"
     ends = {"caller": "src", "callee": "dst"}
     calls = edges.where(F.col("type") == "CALLS").select("src", "dst", "confidence")
@@ -98,17 +88,17 @@ def _call_edges(entities, edges, symbol, repos, anchor: str) -> DataFrame:
         ),
         anchor, *columns,
     )
-    matched = _counted(matched)
-    rows = cut_lineage(calls.join(matched, calls[ends[anchor]] == matched[f"{anchor}_node_key"]))
+    matched = few(matched)
+    rows = few(calls.join(matched, calls[ends[anchor]] == matched[f"{anchor}_node_key"]))
     far = _side(_ends(entities, rows.select(ends[other])), other, *columns)
-    rows = rows.join(far, rows[ends[other]] == far[f"{other}_node_key"])
-    return (
-        rows.orderBy(
-            *_nulls_last(
-                f"{other}_repo", f"{other}_path", f"{other}_line", "caller_node_key", "callee_node_key"
-            )
+    rows = far.join(rows, rows[ends[other]] == far[f"{other}_node_key"])
+    ordered = rows.orderBy(
+        *_nulls_last(
+            f"{other}_repo", f"{other}_path", f"{other}_line", "caller_node_key", "callee_node_key"
         )
-        .limit(rules.SYMBOL_LIMIT)
+    )
+    return (
+        first(ordered, limit)
         .select(
             F.col("caller_name").alias("caller"),
             "caller_repo", "caller_path", "caller_line",
@@ -120,14 +110,14 @@ def _call_edges(entities, edges, symbol, repos, anchor: str) -> DataFrame:
     )
 
 
-def find_callers(entities, edges, symbol: str, repos=()) -> DataFrame:
+def find_callers(entities, edges, symbol: str, repos=(), limit: int | None = rules.SYMBOL_LIMIT) -> DataFrame:
     """Call edges into the symbol; the scope restricts the callee."""
-    return _call_edges(entities, edges, symbol, repos, "callee")
+    return _call_edges(entities, edges, symbol, repos, "callee", limit)
 
 
-def find_callees(entities, edges, symbol: str, repos=()) -> DataFrame:
+def find_callees(entities, edges, symbol: str, repos=(), limit: int | None = rules.SYMBOL_LIMIT) -> DataFrame:
     """Call edges out of the symbol; the scope restricts the caller (E5)."""
-    return _call_edges(entities, edges, symbol, repos, "caller")
+    return _call_edges(entities, edges, symbol, repos, "caller", limit)
 
 
 _DEPENDS = ("DEPENDS_ON", "DEPENDS_ON_REPO")
@@ -170,20 +160,19 @@ def dependency_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def find_dependencies(entities, edges, repo: str, scope: str = "") -> DataFrame:
+def find_dependencies(entities, edges, repo: str, scope: str = "", limit: int | None = rules.DEPENDENCY_LIMIT) -> DataFrame:
     """What a repository depends on."""
-    hub = _counted(_hubs(entities).where(F.col("hub_id") == "repo::" + repo))
+    hub = few(_hubs(entities).where(F.col("hub_id") == "repo::" + repo))
     links = _dependency_links(edges)
-    links = cut_lineage(links.join(hub, links.src == hub.hub_key))
+    links = few(links.join(hub, links.src == hub.hub_key))
     targets = _targets(_ends(entities, links.select("dst")))
-    rows = links.join(targets, links.dst == targets.target_key)
+    rows = targets.join(links, links.dst == targets.target_key)
     if scope:
         rows = rows.where(F.col("scope") == scope)
     if not repo:
         rows = rows.where(F.lit(False))
     return (
-        rows.orderBy("ecosystem", "target_name", "target_key", "cross", "scope")
-        .limit(rules.DEPENDENCY_LIMIT)
+        first(rows.orderBy("ecosystem", "target_name", "target_key", "cross", "scope"), limit)
         .select(
             F.lit(repo).alias("repo"),
             F.col("target_name").alias("name"),
@@ -193,17 +182,16 @@ def find_dependencies(entities, edges, repo: str, scope: str = "") -> DataFrame:
     )
 
 
-def find_dependents(entities, edges, dependency: str) -> DataFrame:
+def find_dependents(entities, edges, dependency: str, limit: int | None = rules.DEPENDENCY_LIMIT) -> DataFrame:
     """Repositories that depend on a package or repository name."""
     name = dependency.strip().lower()
-    target = _counted(_targets(entities).where((F.col("target_name_lower") == name) & F.lit(bool(dependency))))
+    target = few(_targets(entities).where((F.col("target_name_lower") == name) & F.lit(bool(dependency))))
     links = _dependency_links(edges)
-    links = cut_lineage(links.join(target, links.dst == target.target_key))
+    links = few(links.join(target, links.dst == target.target_key))
     hubs = _hubs(_ends(entities, links.select("src")))
-    rows = links.join(hubs, links.src == hubs.hub_key)
+    rows = hubs.join(links, links.src == hubs.hub_key)
     return (
-        rows.orderBy("hub_name", "target_key", "cross", "scope")
-        .limit(rules.DEPENDENCY_LIMIT)
+        first(rows.orderBy("hub_name", "target_key", "cross", "scope"), limit)
         .select(
             F.lit("").alias("repo"),
             F.col("hub_name").alias("name"),
@@ -234,14 +222,14 @@ def all_routes(entities: DataFrame) -> DataFrame:
     )
 
 
-def find_routes(entities, method: str = "", path_contains: str = "", repos=()) -> DataFrame:
+def find_routes(entities, method: str = "", path_contains: str = "", repos=(), limit: int | None = rules.ROUTE_LIMIT) -> DataFrame:
     """Routes filtered by method, path substring and repositories."""
     rows = all_routes(entities).where(in_scope(F.col("raw_repo"), repos))
     if method:
         rows = rows.where(F.upper("method") == method.upper())
     if path_contains:
         rows = rows.where(F.lower("path").contains(path_contains.lower()))
-    return rows.orderBy("repo", "path", "node_key").limit(rules.ROUTE_LIMIT).drop("raw_repo")
+    return first(rows.orderBy("repo", "path", "node_key"), limit).drop("raw_repo")
 
 
 def find_kafka_topic(entities, edges, topic: str) -> DataFrame:
@@ -249,14 +237,15 @@ def find_kafka_topic(entities, edges, topic: str) -> DataFrame:
     wanted = topic.strip().lower()
     if not wanted:
         raise ValueError("topic required")
-    topics = entities.where(
-        (F.col("label") == "KafkaTopic") & (F.col("name_lower") == wanted)
-    ).select("node_key", F.col("name").alias("topic"))
-    hubs = entities.where(F.col("node_id").startswith("repo::")).select(
-        F.col("node_key").alias("hub_key"), F.col("name").alias("hub_name")
+    topics = few(
+        entities.where((F.col("label") == "KafkaTopic") & (F.col("name_lower") == wanted)).select("node_key", F.col("name").alias("topic"))
     )
     links = edges.where(F.col("type").isin("PRODUCES", "CONSUMES")).select("src", "dst", "type")
-    flows = links.join(hubs, links.src == hubs.hub_key).select("dst", "type", "hub_name")
+    links = few(links.join(topics.select("node_key"), links.dst == topics.node_key, "left_semi"))
+    hubs = _ends(entities.where(F.col("node_id").startswith("repo::")), links.select("src")).select(
+        F.col("node_key").alias("hub_key"), F.col("name").alias("hub_name")
+    )
+    flows = hubs.join(links, links.src == hubs.hub_key).select("dst", "type", "hub_name")
     rows = topics.join(flows, topics.node_key == flows.dst, "left")
 
     def side(kind):
@@ -269,7 +258,7 @@ def find_kafka_topic(entities, edges, topic: str) -> DataFrame:
     ).where(F.col("topic").isNotNull())
 
 
-def find_sql_object(entities, edges, schema: str, name: str) -> DataFrame:
+def find_sql_object(entities, edges, schema: str, name: str, limit: int | None = rules.SQL_OBJECT_LIMIT) -> DataFrame:
     """SQL objects by full or last-part name with what they touch."""
     schema, name = schema.strip().lower(), name.strip().lower()
     full = f"{schema}.{name}" if schema else name
@@ -277,22 +266,21 @@ def find_sql_object(entities, edges, schema: str, name: str) -> DataFrame:
     match = F.col("name_lower") == full
     if not schema:
         match = match | (F.substring_index(lower, ".", -1) == name)
-    objects = entities.where(
-        F.col("label").isin(*rules.SQL_LABELS) & match & F.lit(bool(name))
-    ).select(
-        "node_key", F.col("name").alias("full_name"), "label",
-        or_empty(F.col("path")).alias("file"), or_empty(F.col("line")).alias("line"),
+    objects = few(
+        entities.where(F.col("label").isin(*rules.SQL_LABELS) & match & F.lit(bool(name))).select(
+            "node_key", F.col("name").alias("full_name"), "label",
+            or_empty(F.col("path")).alias("file"), or_empty(F.col("line")).alias("line"),
+        )
     )
     links = edges.where(
         F.col("type").isin("READS_TABLE", "WRITES_TABLE", "DEPENDS_ON_OBJECT", "TRIGGERS_ON")
     ).select("src", "dst", "type")
-    targets = entities.select(
+    links = few(links.join(objects.select("node_key"), links.src == objects.node_key, "left_semi"))
+    targets = _ends(entities, links.select("dst")).select(
         F.col("node_key").alias("t_key"), F.col("name").alias("t_name"), F.col("label").alias("t_label")
     )
-    touched = (
-        objects.join(links, objects.node_key == links.src, "left")
-        .join(targets, F.col("dst") == F.col("t_key"), "left")
-    )
+    ends = targets.join(links, links.dst == targets.t_key).select("src", "type", "t_name", "t_label")
+    touched = objects.join(ends, objects.node_key == ends.src, "left")
 
     def named_targets(kind, tables_only):
         ok = (F.col("type") == kind) & (F.col("t_name") != "")
@@ -300,7 +288,7 @@ def find_sql_object(entities, edges, schema: str, name: str) -> DataFrame:
             ok = ok & (F.col("t_label") == "SqlTable")
         return F.when(ok, F.col("t_name"))
 
-    return (
+    rows = (
         touched.groupBy("full_name", "label", "file", "line")
         .agg(
             distinct_list(named_targets("READS_TABLE", True)).alias("reads"),
@@ -309,7 +297,9 @@ def find_sql_object(entities, edges, schema: str, name: str) -> DataFrame:
             or_empty(F.min(named_targets("TRIGGERS_ON", True))).alias("triggers_on"),
         )
         .orderBy("full_name", "label", "file", "line")
-        .limit(rules.SQL_OBJECT_LIMIT)
+    )
+    return (
+        first(rows, limit)
         .select(
             F.when(F.col("full_name").contains("."), F.regexp_replace("full_name", r"^[^.]*\.", ""))
             .otherwise(F.col("full_name")).alias("name"),
@@ -326,7 +316,7 @@ def _holds(names: Column, wanted: str) -> Column:
     return F.exists(names, lambda x: F.lower(x) == wanted)
 
 
-def find_glue_jobs(entities, edges, ownership, source: str = "", target: str = "") -> DataFrame:
+def find_glue_jobs(entities, edges, ownership, source: str = "", target: str = "", limit: int | None = rules.GLUE_JOB_LIMIT) -> DataFrame:
     """Glue jobs with their tables, filtered by source or target membership."""
     jobs = entities.where(F.col("label") == "GlueJob").select(
         "node_key", "name", "label",
@@ -335,6 +325,16 @@ def find_glue_jobs(entities, edges, ownership, source: str = "", target: str = "
         or_empty(F.col("schedule")).alias("schedule"),
     )
     links = edges.where(F.col("type").isin("READS_SOURCE", "WRITES_DESTINATION")).select("src", "dst", "type")
+    # With a table given, only the jobs that touch an entity of its name are looked at.
+    for kind, wanted in (("READS_SOURCE", source), ("WRITES_DESTINATION", target)):
+        if wanted.strip():
+            named_so = few(entities.where(F.lower("name") == wanted.strip().lower()).select(F.col("node_key").alias("dst")))
+            touching = few(links.where(F.col("type") == kind).join(named_so, "dst", "left_semi").select(F.col("src").alias("node_key")).distinct())
+            jobs = jobs.join(touching, "node_key", "left_semi")
+    if source.strip() or target.strip():
+        jobs = few(jobs)
+        links = few(links.join(jobs.select("node_key"), links.src == jobs.node_key, "left_semi"))
+        entities = _ends(entities, links.select("dst"))
     targets = entities.select(F.col("node_key").alias("t_key"), F.col("name").alias("t_name"))
     tables = (
         links.join(targets, links.dst == targets.t_key)
@@ -357,9 +357,7 @@ def find_glue_jobs(entities, edges, ownership, source: str = "", target: str = "
         if wanted:
             rows = rows.where(_holds(F.col(column), wanted))
     return (
-        rows.withColumn("repo", or_empty(F.col("owner")))
-        .orderBy("repo", "name", "node_key")
-        .limit(rules.GLUE_JOB_LIMIT)
+        first(rows.withColumn("repo", or_empty(F.col("owner"))).orderBy("repo", "name", "node_key"), limit)
         .select(
             "name", "repo", entity_labels(F.col("label")).alias("labels"),
             "file", "script", "schedule", "sources", "targets",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import rules
 from loomgraph.functions.columns import blank, or_empty
 from loomgraph.operators.lookup import freshness
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, first
 
 # Endpoints whose second path segment names the repository.
 PATH_SCOPED = ("overview", "dependencies")
@@ -77,42 +77,48 @@ def retained(access: DataFrame, now: Column, hours: int = rules.ACCESS_RETENTION
     return access.where(F.col("at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 
 
-def bound_days(days: int) -> int:
-    return 30 if days <= 0 else min(days, 365)
+#: Days and rows that a report shows at most; every report takes another bound, or None for no bound.
+MOST_DAYS = 365
+MOST_RANKED = 100
 
 
-def bound_limit(limit: int) -> int:
-    return 10 if limit <= 0 else min(limit, 100)
+def bound_days(days: int, most: int | None = MOST_DAYS) -> int:
+    return 30 if days <= 0 else days if most is None else min(days, most)
 
 
-def _since(stat: DataFrame, today: Column, days: int) -> DataFrame:
-    return stat.where(F.col("day") >= F.date_sub(today, bound_days(days) - 1))
+def bound_limit(limit: int, most: int | None = MOST_RANKED) -> int:
+    return 10 if limit <= 0 else limit if most is None else min(limit, most)
 
 
-def _ranked(rows: DataFrame, field: str, limit: int) -> DataFrame:
-    return (
-        rows.groupBy(F.col(field).alias("name"))
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "name")
-        .limit(limit)
-    )
+def _since(stat: DataFrame, today: Column, days: int, most_days: int | None = MOST_DAYS) -> DataFrame:
+    return stat.where(F.col("day") >= F.date_sub(today, bound_days(days, most_days) - 1))
+
 
+def _ranked(rows: DataFrame, field: str, limit: int | None) -> DataFrame:
+    counts = rows.groupBy(F.col(field).alias("name")).agg(F.sum("n").alias("n"))
+    return first(counts.orderBy(F.desc("n"), "name"), limit)
 
-def rank_by(stat: DataFrame, field: str, today: Column, days: int = 0, limit: int = 0) -> DataFrame:
+
+def rank_by(
+    stat: DataFrame, field: str, today: Column, days: int = 0, limit: int = 0,
+    most: int | None = MOST_RANKED, most_days: int | None = MOST_DAYS,
+) -> DataFrame:
     """Busiest actors, repositories or endpoints (H5)."""
     if field not in ("actor", "repo", "endpoint"):
         raise ValueError(f"cannot rank by {field!r}")
-    return _ranked(_since(stat, today, days).where(F.col(field) != ""), field, bound_limit(limit))
+    return _ranked(_since(stat, today, days, most_days).where(F.col(field) != ""), field, bound_limit(limit, most))
 
 
-def traffic(stat: DataFrame, today: Column, days: int = 0) -> DataFrame:
+def traffic(stat: DataFrame, today: Column, days: int = 0, most_days: int | None = MOST_DAYS) -> DataFrame:
     """Requests per day, oldest first (H6)."""
-    return _since(stat, today, days).groupBy("day").agg(F.sum("n").alias("n")).orderBy("day")
+    return _since(stat, today, days, most_days).groupBy("day").agg(F.sum("n").alias("n")).orderBy("day")
 
 
-def total_requests(stat: DataFrame, today: Column, days: int = 0, actor=None, repo=None) -> DataFrame:
+def total_requests(
+    stat: DataFrame, today: Column, days: int = 0, actor=None, repo=None, most_days: int | None = MOST_DAYS
+) -> DataFrame:
     """Requests in the window, optionally of one actor or repository (H7)."""
-    rows = _since(stat, today, days)
+    rows = _since(stat, today, days, most_days)
     if actor is not None:
         rows = rows.where(F.col("actor") == actor)
     if repo is not None:
@@ -120,20 +126,28 @@ def total_requests(stat: DataFrame, today: Column, days: int = 0, actor=None, re
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def actor_activity(stat: DataFrame, actor: str, today: Column, days: int = 0) -> DataFrame:
+def actor_activity(
+    stat: DataFrame, actor: str, today: Column, days: int = 0,
+    limit: int | None = rules.ACTIVITY_CAP, most_days: int | None = MOST_DAYS,
+) -> DataFrame:
     """Repositories one actor asked about (H8)."""
-    rows = _since(stat, today, days).where((F.col("actor") == actor) & (F.col("repo") != ""))
-    return _ranked(rows, "repo", rules.ACTIVITY_CAP)
+    rows = _since(stat, today, days, most_days).where((F.col("actor") == actor) & (F.col("repo") != ""))
+    return _ranked(rows, "repo", limit)
 
 
-def repo_activity(stat: DataFrame, repo: str, today: Column, days: int = 0) -> DataFrame:
+def repo_activity(
+    stat: DataFrame, repo: str, today: Column, days: int = 0,
+    limit: int | None = rules.ACTIVITY_CAP, most_days: int | None = MOST_DAYS,
+) -> DataFrame:
     """Actors who asked about one repository (H8)."""
-    rows = _since(stat, today, days).where(F.col("repo") == repo)
-    return _ranked(rows, "actor", rules.ACTIVITY_CAP)
+    rows = _since(stat, today, days, most_days).where(F.col("repo") == repo)
+    return _ranked(rows, "actor", limit)
 
 
-def anomalies(access: DataFrame, now: Column, window_seconds: int = 3600, threshold: int = 10) -> DataFrame:
-    """Actors touching many repositories in the trailing window (H9).
+def anomalies(
+    access: DataFrame, now: Column, window_seconds: int = 3600, threshold: int = 10, limit: int | None = None
+) -> DataFrame:
+    """All actors touching many repositories in the trailing window (H9); a report may set ``limit`` (``rules.ANOMALY_CAP``).
 
     Folded per (actor, repository) first, so the list of an actor is built from
     distinct repositories only.
@@ -147,7 +161,7 @@ def anomalies(access: DataFrame, now: Column, window_seconds: int = 3600, thresh
     per_repo = recent.groupBy("actor", "repo").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")
     )
-    return (
+    rows = (
         per_repo.groupBy("actor")
         .agg(
             F.count("repo").alias("repo_count"),
@@ -157,9 +171,8 @@ def anomalies(access: DataFrame, now: Column, window_seconds: int = 3600, thresh
             F.max("last").alias("last_seen"),
         )
         .where(F.col("repo_count") >= threshold)
-        .orderBy(F.desc("repo_count"), "actor")
-        .limit(rules.ANOMALY_CAP)
     )
+    return first(rows.orderBy(F.desc("repo_count"), "actor"), limit)
 
 
 def repo_details(repositories, ownership, stat, now: Column, days: int = 0) -> DataFrame:

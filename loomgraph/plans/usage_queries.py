@@ -120,7 +120,7 @@ def h8_repo_activity(t):
            string_agg(DISTINCT repo, '|' ORDER BY repo) AS repos,
            strftime(min("at"), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max("at"), '%Y-%m-%d %H:%M:%S') AS last_seen
     FROM access WHERE "at" >= (SELECT max(ts) FROM ev) - INTERVAL 48 HOURS AND actor <> 'internal'
-    GROUP BY actor HAVING count(DISTINCT repo) >= 6 ORDER BY repo_count DESC, actor LIMIT 50
+    GROUP BY actor HAVING count(DISTINCT repo) >= 6
     """,
 )
 def h9_anomalies(t):

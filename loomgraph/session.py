@@ -43,6 +43,24 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+# Rows up to which matches of a lookup are taken to the driver and named in the next scan.
+FEW_ROWS = 1_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Matches of a lookup: a small table that every executor gets, or a checkpoint, counted, where they are many."""
+    found = rows.limit(FEW_ROWS + 1).collect()
+    if len(found) <= FEW_ROWS:
+        return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema))
+    kept = cut_lineage(rows)
+    return sized(kept, kept.count())
+
+
+def first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered table, all with None."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for row-wise heavy work when the input has fewer splits than cores.
 

@@ -215,3 +215,25 @@ def test_dependencies(files):
         ("r", "depends_on", "go::github.com/org/lib"), ("r", "depends_on", "go::golang.org/x/net"),
         ("r", "depends_on", "npm::jest"), ("r", "depends_on_repo", "lib"),
     }
+
+
+def test_names_and_groups_resolve_to_any_depth(files):
+    chain = "\n".join(f"const N{i} = N{i + 1}" for i in range(30))
+    groups = "\n".join(f'  g{i + 1} := g{i}.Group("/p{i + 1}")' for i in range(30))
+    text = (
+        f'package p\n{chain}\nconst N30 = "/deep" + Tail\nconst Tail = "/end"\nconst A = B\nconst B = A\n'
+        f'func f(g0 R) {{\n{groups}\n  g30.GET("/x", h)\n  g0.POST(N0, h)\n  g0.PUT(A, h)\n  c := c.Group("/loop")\n  c.GET("/y", h)\n}}\n'
+    )
+    found = routes.extract(files(("a.go", text)))
+    names = {n.label for n in found.nodes.collect() if n.type == "http_route"}
+    assert names == {"GET " + "".join(f"/p{i}" for i in range(1, 31)) + "/x", "POST /deep/end", "GET /loop/y"}
+    assert [w.message.split('"')[1] for w in found.warnings.collect() if "dropped" in w.message] == ["A"]
+
+
+def test_bounds_of_wrapped_calls_can_be_lifted(files):
+    from loomgraph.operators.extract import http, lexing
+
+    text = "package p\nfunc f() {\n  r.GET(\n" + "\n".join(f"    // {i}" for i in range(30)) + '\n    "/late", h)\n}\n'
+    code = lexing.code_files(files(("a.go", text)))
+    assert not [r for r in http.wrapped_calls(code).collect() if "/late" in r.text]
+    assert [r.line for r in http.wrapped_calls(code, None, None).collect() if "/late" in r.text] == [3]
