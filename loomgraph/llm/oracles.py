@@ -27,19 +27,29 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SHARDING = f"""
-WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS row_bytes,
+
+
+def sharding(limit: int) -> str:
+    """Shards of rows by the shortest hash prefix whose rows fit the limit; equal rows that do not are dealt to pages."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS row_bytes,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, 'null'))), 1, {HASH_BITS // 4}) AS BIGINT) AS h
            FROM documents),
-paths AS (SELECT doc_id, row_bytes, b, h >> ({HASH_BITS} - b) AS p FROM d, unnest(range(0, {HASH_BITS + 1})) u(b)),
-sums AS (SELECT b, p, CAST(sum(row_bytes) AS BIGINT) AS shard_bytes FROM paths GROUP BY b, p),
-first AS (SELECT doc_id, row_bytes, b, p, shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS rn
-          FROM paths JOIN sums USING (b, p) WHERE shard_bytes <= {LIMIT} OR b = {HASH_BITS})
-SELECT doc_id, CASE WHEN b = 0 THEN 'root' ELSE lpad(bin(p), CAST(b AS INTEGER), '0') END AS shard_id,
-       CAST(b AS BIGINT) AS shard_bits, row_bytes, shard_bytes
-FROM first WHERE rn = 1
+paths AS (SELECT r, doc_id, h, row_bytes, b, h >> ({HASH_BITS} - b) AS p FROM d, unnest(range(0, {HASH_BITS + 1})) u(b)),
+sums AS (SELECT b, p, CAST(sum(row_bytes) AS BIGINT) AS shard_bytes, count(*) AS n FROM paths GROUP BY b, p),
+first AS (SELECT r, doc_id, h, row_bytes, b, p, n, shard_bytes, row_number() OVER (PARTITION BY r ORDER BY b) AS rn
+          FROM paths JOIN sums USING (b, p) WHERE shard_bytes <= {limit} OR b = {HASH_BITS}),
+paged AS (SELECT *, shard_bytes > {limit} AS over, greatest(1, {limit} // greatest(row_bytes, 1)) AS room,
+                 row_number() OVER (PARTITION BY h ORDER BY r) - 1 AS place FROM first WHERE rn = 1)
+SELECT doc_id, CASE WHEN b = 0 THEN 'root' ELSE lpad(bin(p), CAST(b AS INTEGER), '0') END || CASE WHEN over THEN '-' || (place // room) ELSE '' END AS shard_id,
+       CAST(b AS BIGINT) AS shard_bits, row_bytes,
+       CAST(CASE WHEN over THEN least(room, n - (place // room) * room) * row_bytes ELSE shard_bytes END AS BIGINT) AS shard_bytes
+FROM paged
 """
 
+
+SHARDING = sharding(LIMIT)
+
 _FAILS = ", ".join(
     f"CASE WHEN {r.whole} > 0 AND NOT (1000 * {r.part} BETWEEN {r.least} * {r.whole} AND {r.most} * {r.whole}) THEN '{r.name}' END" for r in RULES
 )

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from loomgraph.llm import language, line_chunks, oracles, periodic_runs, secrets, sentence_spans, spelling, topk, toxicity
+from loomgraph.llm import language, line_chunks, oracles, periodic_runs, pipeline, secrets, sentence_spans, spelling, topk, toxicity
 from loomgraph.llm.decontaminate import marked
 from loomgraph.llm.jaccard_join import jaccard_classes
 from loomgraph.llm.mixing import WEIGHTS, document_levels, mixed, word_count
 from loomgraph.llm.quality_rules import judged
 from loomgraph.llm.registry import QUERIES, llm_query
-from loomgraph.llm.sharding import COLUMNS, sharded
+from loomgraph.llm.sharding import COLUMNS, LIMIT, sharded
+
+SMALL_LIMIT = 64 << 10
 
 
 def _fold(modulus: int, held: int, doc_id: str = "doc_id") -> Column:
@@ -43,11 +44,21 @@ def op3(table):
     return marked(table("documents"), table("benchmark"), keep=["doc_id"]).select("row.doc_id", *[f"result.{f}" for f in fields])
 
 
+def _shards(docs: DataFrame, limit: int) -> DataFrame:
+    placed = sharded(docs, limit=limit, keep=["doc_id"]).select("row.doc_id", *COLUMNS)
+    return placed.withColumn("shard_bits", placed.shard_bits.cast("long"))
+
+
 @llm_query("op4_sharding", oracles.SHARDING)
 def op4(table):
     """Shards of up to 32 MiB by hash prefix."""
-    placed = sharded(table("documents"), keep=["doc_id"]).select("row.doc_id", *COLUMNS)
-    return placed.withColumn("shard_bits", placed.shard_bits.cast("long"))
+    return _shards(table("documents"), LIMIT)
+
+
+@llm_query("small_shards", oracles.sharding(SMALL_LIMIT))
+def small_shards(table):
+    """Shards of up to 64 KiB: many in a small table too, and pages for longer texts."""
+    return _shards(table("documents"), SMALL_LIMIT)
 
 
 @llm_query("op5_substring_dedup")
@@ -136,4 +147,4 @@ def op13(table):
     return topk.top_k(table("embeddings"), 20, F.col("vec_id") % 20 == 0)
 
 
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run

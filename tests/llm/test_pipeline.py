@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgraph.llm import mixing, oracles, sharding
+from loomgraph.llm import mixing, oracles, queries, sharding
+from loomgraph.llm.registry import ORACLES as queries_sql
 from tests.llm import brute
 from tests.llm.test_operators import SCHEMA, corpus, sentence
 
@@ -42,6 +43,33 @@ def test_stages_equal_plain_versions(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == kept["sharding"] == kept["mixing"]
 
 
+def test_empty_tables_and_further_columns(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.withColumn("row", F.lit(1)).withColumn("result", F.lit("x")).withColumn("id", F.lit(2)).withColumn("kept", F.lit(True))
+    for rows in (wide, wide.limit(0), docs.unionByName(docs.limit(9))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{len(rows.columns)}{name}{rows.count()}")
+            stage(spark, rows, folder).write.parquet(path)
+            out = spark.read.parquet(path)
+            assert out.columns[: len(rows.columns)] == rows.columns
+            rows = out if name != "sharding" else rows
+    assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
+
+
+def test_small_shards_against_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 400), "en", "s", 1) for i in range(120)] + [(500, sentence(rng, 3000), "en", "s", 1)] * 9 + [(501, "x" * 200_000, "en", "s", 1)] * 2 + [(None, None, None, None, None)] * 3
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["small_shards"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(queries_sql["small_shards"])
+    names = [d[0] for d in cur.description]
+    want = sorted(map(repr, cur.fetchall()))
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == want
+    assert len({r.shard_id for r in got.collect()}) > 10 and any("-1" in r.shard_id for r in got.collect())
+
+
 def ids(rows):
     return sorted(r.doc_id for r in rows)
 
