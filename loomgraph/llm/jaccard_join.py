@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.components import components
-from loomgraph.llm.rows import packed, unpacked
+from loomgraph.llm.rows import packed, small_batches, unpacked
 from loomgraph.llm.wordhash import SPACES, Splitter, grams, mixed, shingle_sets
 from loomgraph.session import cut_lineage, work_folder
 
@@ -364,6 +364,7 @@ def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int)
     ``at`` is carried along; ``sig`` and ``label`` are null for an empty set.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = work_folder(spark)
     bits = 2 if percent >= 85 else 1
     docs = docs.select(at.alias("at"), text.alias("text"))
@@ -395,7 +396,7 @@ def classes_of(docs: DataFrame, at: Column, text: Column, k: int, percent: int)
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; repeated ids keep their rows."""
-    rows = classes_of(docs, F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string"), k, percent)
+    rows = classes_of(docs, F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string"), k, percent)
     lowest = rows.where("n > 0").groupBy("label").agg(F.min("at").alias("least"))
     return rows.join(lowest, "label", "left").select(
         F.col("at").alias("doc_id"),
@@ -414,7 +415,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     full, empty = docs.where(worded), docs.where(~worded)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = F.struct(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2"))
-    number = F.col(f"`{doc_id}`").cast("long")
+    number = F.col(f"`{doc_id}`")
     at = F.struct(number.isNull().alias("unnamed"), number.alias("doc_id"), key.alias("key"))
     classes = classes_of(full, at, F.col(f"`{text}`").cast("string"), k, percent)
     kept = classes.groupBy("label").agg(F.min("at").alias("at")).select("at.key")

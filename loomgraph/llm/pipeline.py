@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark items."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), is_stored=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def op2(table):
 def op3(table):
     """Documents that stand in benchmark items, by shared windows of 13 words."""
     fields = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    return marked(table("documents"), table("benchmark"), keep=["doc_id"]).select("row.doc_id", *[f"result.{f}" for f in fields])
+    return marked(table("documents"), table("benchmark"), keep=["doc_id"], is_stored=True).select("row.doc_id", *[f"result.{f}" for f in fields])
 
 
 def _shards(docs: DataFrame, limit: int) -> DataFrame:

@@ -64,19 +64,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def located(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None, is_stored: bool) -> DataFrame:
-    """row (the struct of ``keep``), unnamed, id, text (null as empty), file, row number of every row.
+def placed(docs: DataFrame, columns: list[Column], is_stored: bool) -> DataFrame:
+    """Named columns of every row, and its place: ``KEY`` (file, row number).
 
     ``is_stored`` tells that ``docs`` is a plain scan of Parquet files; other frames are written to the shared folder first.
     """
     small_batches(docs.sparkSession)
-    rows = [packed(docs, keep), F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")]
     if not is_stored:
-        docs = stored(docs.select(*rows))
-        rows = ["row", "id", "text"]
+        docs = stored(docs.select(*columns))
+        columns = [F.col(f"`{c}`") for c in docs.columns]
     place = docs.metadataColumn("_metadata")
-    found = docs.select(*rows, F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("number"))
-    return found.select(F.col("row").alias("kept"), F.col("id").isNull().alias("unnamed"), "id", "text", "file", F.col("number").alias("row"))
+    return docs.select(*columns, F.xxhash64(place["file_path"]).alias("place_file"), place["row_index"].alias("place_row")).withColumnsRenamed(
+        {"place_file": KEY[0], "place_row": KEY[1]}
+    )
+
+
+def located(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None, is_stored: bool) -> DataFrame:
+    """kept (the struct of ``keep``), unnamed, id, text (null as empty) and place of every row; see ``placed``."""
+    number = F.col(f"`{doc_id}`")
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return placed(docs, [packed(docs, keep).alias("kept"), number.isNull().alias("unnamed"), number.alias("id"), value.alias("text")], is_stored)
 
 
 def _again(texts: DataFrame, passages: Passages) -> DataFrame:
@@ -92,7 +99,7 @@ def _again(texts: DataFrame, passages: Passages) -> DataFrame:
     return cut_lineage(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
 
 
-def _table(again: DataFrame) -> np.ndarray | None:
+def bit_table(again: DataFrame) -> np.ndarray | None:
     """Bytes whose bits tell the low bits of the hashes; none if the table would be too large."""
     bits = max(LEAST_BITS, (8 * again.count()).bit_length())
     if bits > MOST_BITS:
@@ -105,19 +112,24 @@ def _table(again: DataFrame) -> np.ndarray | None:
     return table
 
 
+def in_table(table: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set; without a table all pass."""
+    if table is None:
+        return np.ones(len(h), dtype=bool)
+    bucket = h & len(table) * 8 - 1
+    return (table[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def repeated(texts: DataFrame, passages: Passages) -> DataFrame:
     """PLACE, h, g and the further columns of every passage that may stand more than once."""
-    sent = texts.sparkSession.sparkContext.broadcast(_table(_again(texts, passages)))
+    sent = texts.sparkSession.sparkContext.broadcast(bit_table(_again(texts, passages)))
     columns = ["unnamed", "id", *KEY]
 
     def run(batches):
         table = sent.value
 
         def wanted(h: np.ndarray) -> np.ndarray:
-            if table is None:
-                return np.ones(len(h), dtype=bool)
-            bucket = h & len(table) * 8 - 1
-            return (table[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+            return in_table(table, h)
 
         for batch in batches:
             for x in passages.found(batch.column(4), wanted):

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, jaccard_join, language, mixing, quality_rules, sharding, toxicity
+from loomgraph.llm import decontaminate, jaccard_join, language, mixing, quality_rules, repeats, sharding, toxicity
 from tests.llm import brute
 
 ODD = [None, "", " ", "\n\n", "one", "Two words", "ÉTÉ été\x0bété", "a b c " * 400, "x" * 50_000, "# * $ % & | < >", "tab\tand\rcr\x00nul"]
@@ -84,14 +84,16 @@ def test_one_of_each_component_stays(spark, docs):
     assert jaccard_join.one_of_each(empty(spark)).count() == 0
 
 
-def test_decontamination_equals_all_windows(spark, docs, texts):
+def test_decontamination_equals_all_windows(spark, monkeypatch, docs, texts):
     rng = random.Random(1)
     items = [(None, None), (1, ""), (2, "two words"), (2, "two words"), (3, " ".join(texts[20].split()[:30])), (4, sentence(rng, 13)), (None, "Été été ÉTÉ")]
     items += [(10 + i, " ".join(texts[15 + i].split()[2:18])) for i in range(5)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = docs.withColumn("starts", F.lit(0)).withColumn("result", F.lit("x"))
-    for most in (10_000, 40):
-        got = decontaminate.marked(rows, bench, block_words=most).select("row.doc_id", "row.text", "result").collect()
+    for bits in (27, 0):
+        monkeypatch.setattr(repeats, "MOST_BITS", bits)
+        got = decontaminate.marked(rows, bench).select("row.doc_id", "row.text", "result").collect()
+        assert len(got) == rows.count()
         for r in got:
             n, hit, ids = brute.decontamination(r.text, items)
             assert (r.result.n_words, r.result.n_hit, r.result["items"]) == (n, hit, ids)
