@@ -491,8 +491,31 @@ def code_routes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return literal.unionByName(spring).unionByName(named), warnings
 
 
+# Literals that every pattern of a language needs, as alternatives that must all be met: plain
+# substring tests, which spare most lines the patterns.
+_NEEDED = (
+    (GO, (("(", "="), ('"', "`", "=", "("))),
+    (PYTHON, (("@", "path"), ("(",))),
+    (JS, (("app.", "router.", "api."), ("(",))),
+    (JVM, (("@",),)),
+    (DOTNET, (("[Http", "[Route"),)),
+    (RUBY, (('"', "'"),)),
+    (PHP, (("Route::",),)),
+)
+
+
+def _candidate() -> Column:
+    """Whether a line holds the literals that the patterns of its language need."""
+    text, out = F.col("text"), F.lit(False)
+    for extensions, needed in _NEEDED:
+        held = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [text.contains(x) for x in some]) for some in needed])
+        out = out | (F.col("ext").isin(*extensions) & held)
+    return out
+
+
 def _matters() -> Column:
-    text = F.col("text")
-    declares = text.rlike(GO_CONST) | text.rlike(GO_LOCAL)
-    registers = text.rlike(pattern(GO_ROUTE)) | text.rlike(pattern(GO_GROUP))
-    return text.rlike(pattern(_ANY_ROUTE)) | (F.col("ext").isin(*GO) & (declares | registers))
+    """Lines that routes are read from: the literals first, then one test of all literal patterns, names only in Go."""
+    text, go = F.col("text"), F.col("ext").isin(*GO)
+    declares = text.contains("=") & (text.rlike(GO_CONST) | text.rlike(GO_LOCAL))
+    registers = text.contains("(") & (text.rlike(pattern(GO_ROUTE)) | text.rlike(pattern(GO_GROUP)))
+    return _candidate() & (text.rlike(pattern(_ANY_ROUTE)) | (go & (declares | registers)))

@@ -1,12 +1,14 @@
 """YAML documents as JSON text, so that JSON functions read both.
 
-The one step of extraction Spark has no function for.  Needs PyYAML on the
-executors; without it YAML documents come out as null and are reported as
-unreadable.
+The one step of extraction Spark has no function for.  Needs PyYAML: planning a read of
+YAML without it on the driver is an error, and so is running one on an executor
+that lacks it.
 """
 
 from __future__ import annotations
 
+import importlib.util
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,15 +16,14 @@ from pyspark.sql import functions as F
 
 def yaml_to_json(text: Column) -> Column:
     """JSON text of a YAML document, null when it cannot be read."""
+    if importlib.util.find_spec("yaml") is None:
+        raise ModuleNotFoundError("PyYAML is needed to read YAML files")
 
     # Everything the workers need is inside, so they need not have this package.
     def convert(texts: pd.Series) -> pd.Series:
         import json
 
-        try:
-            import yaml
-        except ImportError:
-            return texts.map(lambda _: None)
+        import yaml
 
         class Tolerant(yaml.SafeLoader):
             """Keeps unknown tags, such as template functions, as plain values."""

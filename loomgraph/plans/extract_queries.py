@@ -251,6 +251,97 @@ def c9_c11_c12_code_routes(t):
     return found.select("repo", F.col("path").alias("file"), "method", F.col("route").alias("path"), "handler", "line")
 
 
+# One file a part, each with a route of one framework: path, content, and the route as SQL.
+_FRAMEWORKS = (
+    ("src/r{}.go", 'package p\n  r.Get("/chi/{}", h.Get)\n', "'GET', '/chi/' || k, 'h.Get'"),
+    ("src/r{}.go", '  r.HandleFunc("/gorilla/{}", h.List).Methods("POST")\n\n', "'POST', '/gorilla/' || k, 'h.List'"),
+    ("src/r{}.go", 'package p\n  http.HandleFunc("/net/{}", serve)\n', "'ANY', '/net/' || k, 'serve'"),
+    ("app/r{}.py", '\n@app.route("/flask/{}", methods=["PUT"])\n', "'PUT', '/flask/' || k, ''"),
+    ("app/urls{}.py", 'urlpatterns = [\n    path("django/{}", views.show),\n]\n', "'ANY', 'django/' || k, 'views.show'"),
+    ("web/r{}.ts", "\nrouter.patch('/express/{}', h)\n", "'PATCH', '/express/' || k, ''"),
+    ("web/R{}.kt", 'class R {\n  @DeleteMapping("/spring/{}")\n', "'DELETE', '/spring/' || k, ''"),
+    ("web/R{}.cs", 'class R {\n  [Route("aspnet/{}")]\n', "'ANY', 'aspnet/' || k, ''"),
+    ("config/routes{}.rb", "\n  match '/rails/{}', to: 'x'\n", "'ANY', '/rails/' || k, ''"),
+    ("routes/r{}.php", "<?php\nRoute::options('/laravel/{}', X::class); // Route::get('/dead/{}')\n", "'OPTIONS', '/laravel/' || k, ''"),
+)
+
+
+def _part_files(t, templates):
+    """Files made of the rows of ``part``; the templates take turns."""
+    k, repo = F.col("p_partkey").cast("string"), F.concat(F.lit("NATION_"), (F.col("p_size") % 25).cast("string"))
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, template in enumerate(templates):
+        mine = F.col("p_partkey") % len(templates) == i
+        filled = [F.array_join(F.array(*[F.lit(x) for x in text.split("{}")]), "\u0001") for text in template[:2]]
+        path, content = (F.when(mine, F.replace(f, F.lit("\u0001"), k)).otherwise(old) for f, old in zip(filled, (path, content)))
+    return t.table("part").select(repo.alias("repo"), path.alias("path"), content.alias("content"))
+
+
+def _framework_sql() -> str:
+    rows = []
+    for i, (path, content, route) in enumerate(_FRAMEWORKS):
+        line = 1 + content[: content.index("{}")].count("\n")
+        file = "'" + path.replace("{}", "' || k || '") + "'"
+        rows.append(f"SELECT repo, {file} AS file, {line} AS line, {route} FROM p WHERE k % {len(_FRAMEWORKS)} = {i}")
+    columns = "repo, file, line, method, path, handler"
+    return f"""
+    SELECT repo, file, method, path, handler, CAST(line AS BIGINT) AS line FROM (
+      WITH p AS (SELECT 'NATION_' || (p_size % 25) AS repo, p_partkey AS k FROM part) {' UNION ALL '.join(rows)}) x({columns})
+    """
+
+
+@_c("c9_all_frameworks", _framework_sql())
+def c9_all_frameworks(t):
+    """One route of each of the ten frameworks in turn."""
+    from loomgraph.operators.extract.http import code_routes
+
+    found, _ = code_routes(_part_files(t, _FRAMEWORKS))
+    return found.select("repo", F.col("path").alias("file"), "method", F.col("route").alias("path"), "handler", "line")
+
+
+_YAML_SPEC = (
+    "api/{}/openapi.yaml",
+    "openapi: 3.0.0\nservers:\n  - url: https://x.example.com/v{}/\npaths:\n  /orders/{id}:\n    get:\n"
+    "      operationId: order{}\n      tags: [a, b]\n    parameters: []\n  /items:\n    post: {}\n",
+)
+
+
+@_c(
+    "c13_yaml_spec_routes",
+    """
+    WITH p AS (SELECT 'NATION_' || (p_size % 25) AS repo, p_partkey AS k, 'api/' || p_partkey || '/openapi.yaml' AS file FROM part)
+    SELECT repo, file, 'GET' AS method, '/v' || k || '/orders/{id}' AS path, 'order' || k AS handler, 'a|b' AS tags FROM p
+    UNION ALL SELECT repo, file, 'POST', '/v' || k || '/items', '', '' FROM p
+    """,
+)
+def c13_yaml_spec_routes(t):
+    """Routes of YAML specifications, one a part."""
+    path, content = _YAML_SPEC
+    found, _ = routes.spec_routes(_part_files(t, [(path, content.replace("post: {}", "post: { }"))]))
+    return found.select("repo", F.col("path").alias("file"), "method", F.col("route").alias("path"), "handler", "tags")
+
+
+_YAML_JOB = (
+    "cf/job{}.yaml",
+    "AWSTemplateFormatVersion: '2010-09-09'\nResources:\n  Job:\n    Type: AWS::Glue::Job\n    Properties:\n      Name: etl-{}\n"
+    "      Command:\n        ScriptLocation: !Sub 's3://b/y{}.py'\n  T:\n    Type: AWS::Glue::Trigger\n    Properties:\n"
+    "      Schedule: cron({})\n      Actions: [{JobName: etl-{}}]\n",
+)
+
+
+@_c(
+    "c16_yaml_jobs",
+    """
+    SELECT 'NATION_' || (p_size % 25) AS repo, 'cf/job' || p_partkey || '.yaml' AS path, 'etl-' || p_partkey AS name,
+           's3://b/y' || p_partkey || '.py' AS script, 'cron(' || p_partkey || ')' AS schedule
+    FROM part
+    """,
+)
+def c16_yaml_jobs(t):
+    """Glue jobs of YAML templates, one a part."""
+    return glue.cloudformation_jobs(_part_files(t, [_YAML_JOB]))[0].select("repo", "path", "name", "script", "schedule")
+
+
 @_c(
     "c11_unresolved_routes",
     """
