@@ -5,13 +5,15 @@ The projections work on batch and streaming DataFrames alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.functions.columns import blank, or_empty
 from loomgraph.operators.lookup import freshness
-from loomgraph.session import cut_lineage, first
+from loomgraph.session import cut_lineage, first, sized
 
 # Endpoints whose second path segment names the repository.
 PATH_SCOPED = ("overview", "dependencies")
@@ -210,6 +212,8 @@ def actor_details(stat: DataFrame, today: Column, days: int = 0) -> DataFrame:
 
 # --- rate decisions (H11) --------------------------------------------------
 
+_WINDOW_US = 60_000_000
+
 
 def decide_requests(requests: DataFrame, per_minute: int) -> DataFrame:
     """Fixed-window rate decision for each request, in batch.
@@ -224,17 +228,61 @@ def decide_requests(requests: DataFrame, per_minute: int) -> DataFrame:
     limit are allowed whole.  Only the others are chained, by pointer doubling
     over their distinct request times.
     """
-    free = F.col("path").isin("/health", "/ready")
+    rows = limited_requests(requests)
+    ruled, _ = decide(rows, per_minute)
+    free = requests.join(rows.select("request_id"), "request_id", "left_anti").select(
+        "request_id", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after")
+    )
+    return requests.join(ruled.select("request_id", "allowed", "retry_after").unionByName(free), "request_id")
+
+
+def limited_requests(requests: DataFrame) -> DataFrame:
+    """(request_id, bucket, t) of the requests that count; t in microseconds."""
     bucket = F.when(blank(F.col("actor")), F.lit(rules.UNATTRIBUTED_BUCKET)).otherwise(F.col("actor"))
-    rows = requests.select(
-        "request_id", bucket.alias("bucket"), F.unix_micros("at").alias("t"), free.alias("free")
+    return requests.where(~F.col("path").isin("/health", "/ready")).select(
+        "request_id", bucket.alias("bucket"), F.unix_micros("at").alias("t")
     )
-    limited = rows.where(~F.col("free")).withColumn("minute", _slot(F.col("t")))
+
+
+def _ruled(rows: DataFrame, keys: list[str], per_minute: int, taken: Column) -> DataFrame:
+    """Adds allowed and retry_after to rows of windows (``keys``, window_start) of which ``taken`` places are gone.
+
+    Among equal times the smaller id comes first, as in a queue.  Only the first
+    ``per_minute`` rows of a window are ranked, which each task does before the
+    shuffle, so a bucket that holds half of all requests is never in one place.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("t", "request_id"))
+    first_ones = rows.withColumn("seq", rank).where(F.col("seq") <= per_minute)
+    passed = first_ones.where(F.col("seq") + taken <= per_minute).select("request_id", F.lit(True).alias("passed"))
+    allowed = F.coalesce("passed", F.lit(False))
+    wait = F.floor((_WINDOW_US - (F.col("t") - F.col("window_start"))) / 1_000_000) + 1
+    return rows.join(passed, "request_id", "left").select(
+        "request_id", "bucket", "t", "window_start", allowed.alias("allowed"), F.when(allowed, 0).otherwise(wait).alias("retry_after")
+    )
+
+
+def decide(rows: DataFrame, per_minute: int, carried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decisions for (request_id, bucket, t), and each bucket's last window (bucket, window_start, taken).
+
+    ``carried`` is such a table of windows that were open before: a request within
+    60 seconds of its bucket's window, or before it (a late one), belongs to it.
+    The first request after it opens a window as in a bucket without one.
+    """
+    parts = []
+    if carried is not None:
+        carried = cut_lineage(carried)
+        known = sized(carried.withColumnRenamed("window_start", "held"), carried.count())
+        rows = rows.join(known, "bucket", "left").withColumn("inside", F.coalesce(F.col("t") - F.col("held") < _WINDOW_US, F.lit(False)))
+        rows = cut_lineage(rows)
+        inside = rows.where("inside").withColumnRenamed("held", "window_start")
+        parts.append(_ruled(inside, ["bucket"], per_minute, F.col("taken")))
+        rows = rows.where("NOT inside").select("request_id", "bucket", "t")
+    limited = rows.withColumn("minute", _slot(F.col("t")))
     per_bin = limited.groupBy("bucket", "minute").agg(
         F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last")
     )
     order = Window.partitionBy("bucket").orderBy("minute")
-    gap = F.col("first") - F.lag("last").over(order) >= 60_000_000
+    gap = F.col("first") - F.lag("last").over(order) >= _WINDOW_US
     near = F.when(F.lead("minute").over(order) == F.col("minute") + 1, F.lead("n").over(order)).otherwise(0)
     bins = (
         per_bin.withColumn("opens", F.coalesce(gap, F.lit(True)).cast("int"))
@@ -242,30 +290,34 @@ def decide_requests(requests: DataFrame, per_minute: int) -> DataFrame:
         .withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .select("bucket", "minute", "run", "over", "first")
     )
-    hot_runs = bins.groupBy("bucket", "run").agg(F.max("over").alias("hot"), F.min("first").alias("start"))
-    marked = bins.select("bucket", "minute", "run").join(hot_runs, ["bucket", "run"])
-    placed = limited.join(marked, ["bucket", "minute"])
-    hot = cut_lineage(placed.where("hot = 1").select("request_id", "bucket", "run", "t", "start"))
-    # Among equal times the smaller id comes first, as in a queue.
-    starts = _window_starts(hot)
-    owner = _assign_windows(hot, starts)
-    in_window = Window.partitionBy("bucket", "run", "window_start").orderBy("t", "request_id")
-    ruled = owner.withColumn("seq", F.row_number().over(in_window)).select(
-        "request_id",
-        (F.col("seq") <= per_minute).alias("allowed"),
-        F.when(
-            F.col("seq") > per_minute,
-            F.floor((60_000_000 - (F.col("t") - F.col("window_start"))) / 1_000_000) + 1,
-        ).otherwise(0).alias("retry_after"),
-    )
-    calm = rows.join(hot.select("request_id"), "request_id", "left_anti").select(
-        "request_id", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after")
+    runs = bins.groupBy("bucket", "run").agg(F.max("over").alias("over"), F.min("first").alias("start"))
+    # Windows are worked out where a request may be refused, and in the last run of a bucket, whose last window is carried on.
+    last = runs.groupBy("bucket").agg(F.max("run").alias("last_run"))
+    runs = runs.join(last, "bucket").withColumn("hot", (F.col("over") == 1) | (F.col("run") == F.col("last_run")))
+    marked = bins.select("bucket", "minute", "run").join(runs, ["bucket", "run"])
+    placed = cut_lineage(limited.join(marked, ["bucket", "minute"]).select("request_id", "bucket", "run", "t", "start", "hot"))
+    hot = placed.where("hot").drop("hot")
+    owner = _assign_windows(hot, _window_starts(hot))
+    parts.append(_ruled(owner, ["bucket", "run", "window_start"], per_minute, F.lit(0)))
+    calm = placed.where("NOT hot").select("request_id", "bucket", "t", F.lit(None).cast("long").alias("window_start"), F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
+    parts.append(calm)
+    done = cut_lineage(reduce(DataFrame.unionByName, parts))
+    return done, _last_windows(done, carried)
+
+
+def _last_windows(done: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """The latest window of each bucket and how many of its places are taken."""
+    windows = done.where("window_start IS NOT NULL").groupBy("bucket", "window_start").agg(
+        F.count_if("allowed").alias("taken")
     )
-    return requests.join(ruled.unionByName(calm), "request_id")
+    if carried is not None:
+        windows = windows.unionByName(carried.select("bucket", "window_start", "taken"))
+    windows = windows.groupBy("bucket", "window_start").agg(F.sum("taken").alias("taken"))
+    return windows.groupBy("bucket").agg(F.max(F.struct("window_start", "taken")).alias("w")).select("bucket", "w.*")
 
 
 def _slot(micros: Column) -> Column:
-    return F.floor(micros / 60_000_000)
+    return F.floor(micros / _WINDOW_US)
 
 
 def _first_at_or_after(probes: DataFrame, times: DataFrame) -> DataFrame:

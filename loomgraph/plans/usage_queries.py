@@ -263,13 +263,8 @@ def h9_sliding_anomalies_stream(t):
 def h11_rate_decisions_stream(t):
     stream = _replay(t, t.rate_requests(), "requests")
     base = work_folder(t.spark)
-    decided = usage_streams.rate_decisions(stream, 2)
-    writer = decided.writeStream.format("parquet").option("path", f"{base}/out").option(
-        "checkpointLocation", f"{base}/ckpt"
-    )
-    _drain(writer)
-    rows = t.spark.read.schema(decided.schema).parquet(f"{base}/out")
-    return rows.select("request_id", "bucket", "allowed", "retry_after")
+    _drain(usage_streams.rate_decisions_sink(stream, f"{base}/out", 2, f"{base}/ckpt"))
+    return t.spark.read.parquet(f"{base}/out").select("request_id", "bucket", "allowed", "retry_after")
 
 
 _PUSH = """

@@ -6,16 +6,11 @@ runs twice after a lost executor or driver is stored once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.functions import rules
-from loomgraph.functions.columns import blank
 from loomgraph.operators import usage
 from loomgraph.session import remove_folder
 
@@ -87,42 +82,30 @@ def sliding_anomalies(
     )
 
 
-_DECISION = "request_id long, bucket string, at timestamp, allowed boolean, retry_after long"
-_STATE = "count long, window_start long"
-_WINDOW_US = 60_000_000
-
-
-def rate_decisions(requests: DataFrame, per_minute: int, delay: str = "1 minute") -> DataFrame:
-    """Online fixed-window decision per request (H11); state is one count per actor."""
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # The state itself is all that must be held; requests come in Arrow batches.
-        count, start = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
-        micros = rows["at"].astype("datetime64[us]").astype("int64").to_numpy()
-        allowed, retry = [], []
-        for now in micros:
-            if start is None or now - start >= _WINDOW_US:
-                count, start = 0, int(now)
-            ok = count < per_minute
-            count += ok
-            allowed.append(bool(ok))
-            retry.append(0 if ok else int((_WINDOW_US - (now - start)) // 1_000_000) + 1)
-        state.update((int(count), int(start)))
-        state.setTimeoutTimestamp(max(start // 1000 + 120_000, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(bucket=key[0], allowed=allowed, retry_after=retry)[
-            ["request_id", "bucket", "at", "allowed", "retry_after"]
-        ]
-
-    bucket = F.when(blank(F.col("actor")), F.lit(rules.UNATTRIBUTED_BUCKET)).otherwise(F.col("actor"))
-    limited = requests.where(~F.col("path").isin("/health", "/ready")).select(
-        "request_id", bucket.alias("bucket"), "at"
-    )
-    return (
-        limited.withWatermark("at", delay)
-        .groupBy("bucket")
-        .applyInPandasWithState(decide, _DECISION, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+def rate_decisions_sink(
+    requests: DataFrame, out: str, per_minute: int, checkpoint: str, keep_seconds: int = 120
+) -> DataStreamWriter:
+    """Fixed-window decisions per request (H11), one folder a micro-batch.
+
+    A batch is decided by the batch fold; what is carried from batch to batch is
+    the last window of each bucket, written beside the decisions under the batch's
+    number, so a batch that runs twice starts from the same windows.  No bucket's
+    requests are held in one place, however many they are.  A request that is late
+    for its bucket's window counts in it.  Windows that ended ``keep_seconds`` before
+    the latest request are forgotten.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        carried = spark.read.parquet(f"{out}_windows/batch_id={batch_id - 1}") if batch_id else None
+        rows = usage.limited_requests(batch)
+        done, windows = usage.decide(rows, per_minute, carried)
+        latest = done.agg(F.max("t").alias("t")).first().t
+        if latest is not None:
+            windows = windows.where(F.col("window_start") >= latest - keep_seconds * 1_000_000)
+        windows.write.mode("overwrite").parquet(f"{out}_windows/batch_id={batch_id}")
+        done.select("request_id", "bucket", F.timestamp_micros("t").alias("at"), "allowed", F.col("retry_after").cast("long").alias("retry_after")).write.mode(
+            "overwrite"
+        ).parquet(f"{out}/batch_id={batch_id}")
+
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")

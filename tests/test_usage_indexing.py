@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -49,19 +50,44 @@ def test_rate_decisions_against_brute_force(spark, seed, limit):
     assert got == brute_decisions(rows, limit)
 
 
+def drained(spark, path, schema, tmp_path, per_minute, **options):
+    stream = spark.readStream.options(**options).schema(schema).parquet(path)
+    out = str(tmp_path / "out")
+    usage_streams.rate_decisions_sink(stream, out, per_minute, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    return {r.request_id: (r.allowed, r.retry_after) for r in spark.read.parquet(out).collect()}
+
+
+def limited(rows, per_minute):
+    return {k: v for k, v in brute_decisions(rows, per_minute).items() if rows[k][2] != "/health"}
+
+
 def test_rate_stream_equals_batch(spark, tmp_path):
     rows, df = requests(spark, 4, 200)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = (
-        usage_streams.rate_decisions(stream, 2).writeStream.format("parquet")
-        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    got = {r.request_id: (r.allowed, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {k: v for k, v in brute_decisions(rows, 2).items() if rows[k][2] != "/health"}
-    assert got == want
+    assert drained(spark, str(tmp_path / "in"), df.schema, tmp_path, 2) == limited(rows, 2)
+
+
+def test_rate_stream_carries_windows_from_batch_to_batch(spark, tmp_path):
+    """Files in order of time, one a micro-batch; one bucket holds half of all requests."""
+    rows, df = requests(spark, 5, 400)
+    path, ordered = str(tmp_path / "in"), sorted(rows, key=lambda r: (r[3], r[0]))
+    cuts = [0, 90, 100, 101, 230, 400]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = spark.createDataFrame(ordered[a:b], df.schema).coalesce(1)
+        part.write.mode("append").parquet(path)
+        newest = max((tmp_path / "in").glob("part-*"), key=lambda f: f.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert drained(spark, path, df.schema, tmp_path, 3, maxFilesPerTrigger=1) == limited(rows, 3)
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 5
+
+
+def test_late_requests_count_in_the_carried_window(spark):
+    t = 1_000_000_000
+    rows = spark.createDataFrame([(1, "a", t - 5_000_000), (2, "a", t + 1), (3, "a", t + 70_000_000)], "request_id long, bucket string, t long")
+    carried = spark.createDataFrame([("a", t, 1), ("b", t, 2)], "bucket string, window_start long, taken long")
+    done, windows = usage.decide(rows, 2, carried)
+    assert sorted((r.request_id, r.allowed) for r in done.collect()) == [(1, True), (2, False), (3, True)]
+    assert sorted(map(tuple, windows.collect())) == [("a", t + 70_000_000, 1), ("b", t, 2)]
 
 
 def test_samples_attribution(spark):
