@@ -227,17 +227,24 @@ def kafka_topics(entities, edges, ownership) -> DataFrame:
 
 
 def kafka_summary(entities, edges, ownership) -> DataFrame:
-    """Topic, producer and consumer lists of each repository."""
-    rows = kafka_topics(entities, edges, ownership)
+    """Topic, producer and consumer lists of each repository.
 
-    def union_of(column):
-        return F.sort_array(F.array_distinct(F.flatten(F.collect_set(column))))
+    Lists are made of distinct (repository, kind, party) rows, which combine before the shuffle.
+    """
+    topics = entities.where(F.col("label") == "KafkaTopic").select("node_key", F.col("name").alias("topic"))
+    owned = ownership.select("repo", "node_key").join(topics, "node_key")
+    names = entities.select(F.col("node_key").alias("src"), F.col("name").alias("party"))
+    links = edges.where(F.col("type").isin("PRODUCES", "CONSUMES")).select("src", F.col("dst").alias("node_key"), "type")
+    flows = links.join(names, "src").where("party <> ''").select("node_key", "type", "party").distinct()
+    parties = owned.select("repo", "node_key").join(flows, "node_key").select("repo", "type", "party").distinct()
 
-    return rows.groupBy("repo").agg(
-        F.sort_array(F.collect_list("topic")).alias("topics"),
-        union_of("producers").alias("producers"),
-        union_of("consumers").alias("consumers"),
-    )
+    def side(kind):
+        return F.sort_array(F.collect_list(F.when(F.col("type") == kind, F.col("party"))))
+
+    empty = F.array().cast("array<string>")
+    lists = parties.groupBy("repo").agg(side("PRODUCES").alias("producers"), side("CONSUMES").alias("consumers"))
+    rows = owned.groupBy("repo").agg(F.sort_array(F.collect_list("topic")).alias("topics")).join(lists, "repo", "left")
+    return rows.select("repo", "topics", F.coalesce("producers", empty).alias("producers"), F.coalesce("consumers", empty).alias("consumers"))
 
 
 _SQL_GROUPS = {

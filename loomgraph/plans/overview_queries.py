@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.operators import overview, reports
 from loomgraph.plans.projections import NOW
-from loomgraph.plans.registry import query
+from loomgraph.plans.registry import ORACLES, query
 
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END"
 
@@ -300,10 +303,63 @@ def g14_summary_line(t):
     return overview.summary_line(t.repositories(), t.entities(), t.edges(), t.ownership())
 
 
-@query("g15_overview_documents")
+# Sections of an overview document: the query that has their rows, what a row reads, and its order.
+_SECTIONS = {
+    "node_kinds": ("g3_label_counts", ("name", "count"), "name"),
+    "languages": ("g4_languages", ("name", "count"), "name"),
+    "communities": ("g5_communities", ("position", "id", "size"), "position"),
+    "entry_points": ("g6_entry_points", ("position", "name", "kind", "path"), "position"),
+    "modules": ("g7_modules", ("position", "package", "nodes"), "position"),
+    "components": ("g8_hubs", ("position", "name", "degree"), "position"),
+    "route_groups": ("g11_route_groups", ("position", "prefix", "count"), "position"),
+    "ecosystems": ("g12_dependency_ecosystems", ("name", "count"), "name"),
+    "reading_order": ("g13_reading_order", ("step", "category"), "step"),
+}
+
+
+def _documents_sql() -> str:
+    parts = [f"SELECT c.repo, c.nodes, k.topics, k.producers, k.consumers, q.tables, q.procedures, s.summary, {', '.join(_SECTIONS)} FROM ({ORACLES['g2_counts']}) c"]
+    for name, (source, fields, order) in _SECTIONS.items():
+        text = " || ':' || ".join(f"coalesce(CAST(\"{f}\" AS VARCHAR), '')" for f in fields)
+        parts.append(f"LEFT JOIN (SELECT repo, string_agg({text}, '|' ORDER BY \"{order}\") AS {name} FROM ({ORACLES[source]}) GROUP BY repo) USING (repo)")
+    for alias, source in (("k", "g9_kafka_summary"), ("q", "g10_sql_summary"), ("s", "g14_summary_line")):
+        parts.append(f"LEFT JOIN ({ORACLES[source]}) {alias} ON {alias}.repo = c.repo")
+    return " ".join(parts) + " WHERE c.nodes > 0"
+
+
+@query("g15_overview_documents", _documents_sql())
 def g15_overview_documents(t):
+    """Every section of the document of each repository, read out as text."""
     docs = overview.overview_documents(t.repositories(), t.entities(), t.edges(), t.ownership())
-    return docs.select("repo", F.to_json(F.struct(*[c for c in docs.columns if c != "repo"])).alias("document"))
+
+    def read(name, fields):
+        text = ", ".join(f"coalesce(CAST(x.`{f}` AS STRING), '')" for f in fields)
+        return F.expr(f"transform({name}, x -> concat_ws(':', {text}))").alias(name)
+
+    return docs.select(
+        "repo", "nodes", "kafka.topics", "kafka.producers", "kafka.consumers", "sql.tables", "sql.procedures", "summary",
+        *[read(name, fields) for name, (_, fields, _) in _SECTIONS.items()],
+    )
+
+
+_ONE_REPOSITORY = {
+    **{name: source for name, (source, _, _) in _SECTIONS.items()},
+    "counts": "g2_counts", "kafka": "g9_kafka_topics", "sql": "g10_sql_summary", "route_methods": "g11_route_methods",
+    "internal_repos": "g12_internal_dependencies", "external": "g12_external_dependencies", "summary": "g14_summary_line",
+}
+
+
+@query(
+    "g15_repository_overview",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS section, CAST(count(*) AS BIGINT) AS rows FROM ({ORACLES[source]}) WHERE repo = 'NATION_3'" for name, source in _ONE_REPOSITORY.items()
+    ),
+)
+def g15_repository_overview(t):
+    """Size of each section of one repository's overview."""
+    found = overview.repository_overview(t.repositories(), t.entities(), t.edges(), t.ownership(), "NATION_3")
+    rows = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 _TIERS = ("EXTRACTED", "INFERRED", "AMBIGUOUS")

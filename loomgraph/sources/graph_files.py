@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from loomgraph import schemas
 
 
+#: Rows of a file of graph records.
+FILE_ROWS = 1_000_000
+
+
 def load_graph_documents(spark: SparkSession, paths, repo: Column | None = None):
     """Nodes, links and hyperedge counts of node-link documents, one per repository (A1).
 
@@ -25,15 +29,16 @@ def load_graph_documents(spark: SparkSession, paths, repo: Column | None = None)
     return nodes, links, hyperedges
 
 
-def write_graph_records(nodes: DataFrame, links: DataFrame, path: str) -> None:
+def write_graph_records(nodes: DataFrame, links: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """Write a graph as JSON lines, a folder per repository for nodes and links (A2).
 
-    Rows stay where they are: each task appends to the folders of the
-    repositories it holds, so no repository has to fit in one task.
+    Rows are gathered by repository, so a small one is one file; large ones are
+    divided among tasks and files of ``file_rows`` rows, so none has to fit in one task.
     """
     fields = ["repo", "ord"]
-    nodes.select(*fields, *schemas.NODE_FIELDS).write.partitionBy("repo").mode("overwrite").json(f"{path}/nodes")
-    links.select(*fields, *schemas.LINK_FIELDS).write.partitionBy("repo").mode("overwrite").json(f"{path}/links")
+    for name, rows in (("nodes", nodes.select(*fields, *schemas.NODE_FIELDS)), ("links", links.select(*fields, *schemas.LINK_FIELDS))):
+        writer = rows.hint("rebalance", "repo").write.partitionBy("repo").option("maxRecordsPerFile", file_rows)
+        writer.mode("overwrite").json(f"{path}/{name}")
 
 
 def load_graph_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
