@@ -188,11 +188,11 @@ def h11_rate_decisions(t):
     return usage.decide_requests(t.rate_requests(), 2).select("request_id", "allowed", "retry_after")
 
 
-def _replay(t, df, name):
+def _replay(t, df, name, **options):
     """Write ``df`` to the work folder and read it back as a stream source."""
     path = f"{work_folder(t.spark)}/{name}"
     df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    return t.spark.readStream.options(**options).schema(df.schema).parquet(path)
 
 
 def _drain(writer):
@@ -211,6 +211,23 @@ def h2_daily_counts_stream(t):
     return usage.fold_counts(t.spark.read.parquet(f"{base}/stat"))
 
 
+@query(
+    "h2_folded_counts",
+    "SELECT strftime(day, '%Y-%m-%d') AS day, actor, endpoint, repo, n FROM stats",
+)
+def h2_folded_counts(t):
+    """Counts read from two folds of closed days and the deltas beyond them, folded deltas deleted."""
+    samples = t.usage_samples().repartition(4, "actor")
+    stream = _replay(t, samples, "samples", maxFilesPerTrigger=1)
+    base = work_folder(t.spark)
+    _drain(usage_streams.daily_counts_sink(stream, f"{base}/stat", f"{base}/ckpt"))
+    days = [str(r.day) for r in t.usage_samples().select(F.to_date("at").alias("day")).distinct().orderBy("day").collect()]
+    for before, upto in ((days[len(days) // 3], 1), (days[len(days) // 2], 2)):
+        usage_streams.fold_closed_days(t.spark, f"{base}/stat", before, upto)
+        usage_streams.drop_folded(t.spark, f"{base}/stat")
+    return usage.fold_counts(usage_streams.stat_rows(t.spark, f"{base}/stat"))
+
+
 @query(
     "a6_access_sink_stream",
     """

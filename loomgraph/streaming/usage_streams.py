@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from loomgraph.functions import rules
 from loomgraph.operators import usage
-from loomgraph.session import remove_folder
+from loomgraph.session import file_names, publish_file, remove_folder
 
 
 def _per_batch(out: str, shape, partition: str | None = None):
@@ -32,6 +32,69 @@ def daily_counts_sink(samples: DataFrame, out: str, checkpoint: str) -> DataStre
     )
 
 
+def stat_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Everything ``daily_counts_sink`` stored: the last fold of closed days and the deltas that it does not cover."""
+    deltas = spark.read.schema(f"{_STAT}, batch_id long, day date").parquet(out)
+    fold = _last_fold(spark, out)
+    if fold is None:
+        return deltas.select(*_STAT_COLUMNS)
+    number, upto, before = fold
+    still = (F.col("batch_id") > upto) | (F.col("day") >= F.lit(before).cast("date"))
+    folded = spark.read.schema(f"{_STAT}, day date").parquet(f"{out}_folds/fold={number}")
+    return folded.select(*_STAT_COLUMNS).unionByName(deltas.where(still).select(*_STAT_COLUMNS))
+
+
+def fold_closed_days(spark: SparkSession, out: str, before: str, upto: int) -> int:
+    """Sum the counts of the days before ``before`` (yyyy-MM-dd) over all batches up to ``upto`` into one generation (H2).
+
+    Readers then read it and the open deltas: later batches, and later days.  The
+    generation is seen once its mark is published; a job that dies before leaves
+    nothing visible, and of two that run at once one is refused.
+    """
+    number = (_last_fold(spark, out) or (0,))[0] + 1
+    covered = spark.read.schema(f"{_STAT}, batch_id long, day date").parquet(out).where(F.col("batch_id") <= upto)
+    fold = _last_fold(spark, out)
+    rows = covered.where(F.col("day") < F.lit(before).cast("date")).select(*_STAT_COLUMNS)
+    if fold is not None:
+        old, done, closed = fold
+        if upto < done or before < closed:
+            raise ValueError("a fold covers at least what the last one covers")
+        fresh = (F.col("batch_id") > done) | (F.col("day") >= F.lit(closed).cast("date"))
+        rows = covered.where(fresh & (F.col("day") < F.lit(before).cast("date"))).select(*_STAT_COLUMNS)
+        rows = rows.unionByName(spark.read.schema(f"{_STAT}, day date").parquet(f"{out}_folds/fold={old}").select(*_STAT_COLUMNS))
+    usage.fold_counts(rows).write.mode("overwrite").partitionBy("day").parquet(f"{out}_folds/fold={number}")
+    if not publish_file(spark, f"{out}_folds/marks", f"{number:020d}", f"{upto},{before}"):
+        raise RuntimeError(f"fold {number} was published by another job")
+    return number
+
+
+def drop_folded(spark: SparkSession, out: str) -> None:
+    """Delete the delta folders of days that the last fold covers, and earlier folds."""
+    fold = _last_fold(spark, out)
+    if fold is None:
+        return
+    number, upto, before = fold
+    deltas = spark.read.schema(f"{_STAT}, batch_id long, day date").parquet(out)
+    covered = deltas.where((F.col("batch_id") <= upto) & (F.col("day") < F.lit(before).cast("date")))
+    for row in covered.select("batch_id", F.col("day").cast("string").alias("day")).distinct().collect():
+        remove_folder(spark, f"{out}/batch_id={row.batch_id}/day={row.day}")
+    for old in range(1, number):
+        remove_folder(spark, f"{out}_folds/fold={old}")
+
+
+_STAT = "actor string, endpoint string, repo string, n long"
+_STAT_COLUMNS = ("day", "actor", "endpoint", "repo", "n")
+
+
+def _last_fold(spark: SparkSession, out: str) -> tuple[int, int, str] | None:
+    """(number, last batch, first open day) of the last published fold."""
+    names = [n for n in file_names(spark, f"{out}_folds/marks") if n.isdigit()]
+    if not names:
+        return None
+    upto, before = spark.read.text(f"{out}_folds/marks/{max(names)}").first().value.split(",")
+    return int(max(names)), int(upto), before
+
+
 def access_sink(samples: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     """Append repository touches by hour (H3, A6), so retention drops whole folders."""
 
@@ -58,20 +121,26 @@ def sliding_anomalies(
 ) -> DataFrame:
     """Actors touching many repositories per sliding window (H9).
 
-    State older than the watermark is dropped, which is also the retention (H4).
+    Touches are folded once per pane, a slide of time, actor and repository;
+    windows are put together from panes, so an actor's repeated touches are not
+    copied into every window they fall in.  State older than the watermark is
+    dropped, which is also the retention (H4).
     """
     touches = (
         samples.withWatermark("at", delay or f"{rules.ACCESS_RETENTION_HOURS} hours")
         .select("actor", F.explode("repos").alias("repo"), "at")
         .where(F.col("actor") != rules.SHARED_ACTOR)
     )
+    panes = touches.groupBy(F.window("at", slide).alias("pane"), "actor", "repo").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")
+    )
     return (
-        touches.groupBy(F.window("at", window, slide), "actor")
+        panes.groupBy(F.window(F.window_time("pane"), window, slide), "actor")
         .agg(
             F.collect_set("repo").alias("repos"),
-            F.count(F.lit(1)).alias("requests"),
-            F.min("at").alias("first_seen"),
-            F.max("at").alias("last_seen"),
+            F.sum("n").alias("requests"),
+            F.min("first").alias("first_seen"),
+            F.max("last").alias("last_seen"),
         )
         .where(F.size("repos") >= threshold)
         .select(

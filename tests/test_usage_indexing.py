@@ -90,6 +90,33 @@ def test_late_requests_count_in_the_carried_window(spark):
     assert sorted(map(tuple, windows.collect())) == [("a", t + 70_000_000, 1), ("b", t, 2)]
 
 
+def test_folds_and_open_deltas_are_all_counts(spark, tmp_path):
+    out = str(tmp_path / "stat")
+    day = lambda i: (BASE + dt.timedelta(days=i)).date()
+    want = {}
+    for batch in range(4):
+        rows = [(day(i), f"u{i % 2}", "x", "r", batch + i + 1) for i in range(5) for _ in range(2)]
+        for d, actor, _, _, n in rows:
+            want[d, actor] = want.get((d, actor), 0) + n
+        spark.createDataFrame(rows, "day date, actor string, endpoint string, repo string, n long").write.partitionBy("day").parquet(f"{out}/batch_id={batch}")
+
+    def counts():
+        return {(r.day, r.actor): r.n for r in usage.fold_counts(usage_streams.stat_rows(spark, out)).collect()}
+
+    assert counts() == want
+    assert usage_streams.fold_closed_days(spark, out, str(day(2)), 1) == 1 and counts() == want
+    usage_streams.drop_folded(spark, out)
+    assert not (tmp_path / "stat" / "batch_id=0" / f"day={day(0)}").exists() and counts() == want
+    assert usage_streams.fold_closed_days(spark, out, str(day(4)), 2) == 2 and counts() == want
+    usage_streams.drop_folded(spark, out)
+    assert counts() == want and not (tmp_path / "stat_folds" / "fold=1").exists()
+    with pytest.raises(ValueError):
+        usage_streams.fold_closed_days(spark, out, str(day(1)), 3)
+    # A fold without its mark is not seen.
+    spark.range(1).write.parquet(f"{out}_folds/fold=3")
+    assert counts() == want
+
+
 def test_samples_attribution(spark):
     rows = [
         ("ann", "/overview/core", "", 200), (None, "/routes", "repo=a&repos=b,%20c,,d", 200), ("bob", "/symbols/x", None, 404),
