@@ -541,6 +541,29 @@ def a1_a2_graph_records(t):
     return build.keyed_nodes(nodes).select("repo", "id", "label", kind.alias("elabel"), "node_key")
 
 
+@_g(
+    "a1_graph_documents",
+    """
+    SELECT repo, count(*) AS nodes, CAST(max(place) AS BIGINT) AS last, sum(ord) AS ords,
+      md5(string_agg(id || ':' || node_key, ',' ORDER BY id)) AS keys, coalesce(max(l.links), 0) AS links
+    FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ord) - 1 AS place FROM lbl) n
+    LEFT JOIN (SELECT repo AS r, count(*) AS links FROM linkres GROUP BY repo) l ON l.r = repo GROUP BY repo
+    """,
+)
+def a1_graph_documents(t):
+    """Whole node-link documents, written and read again in ranges of bytes."""
+    path = f"{work_folder(t.spark)}/documents"
+    raw = t.raw_nodes().withColumn("source_location", F.concat(F.coalesce("source_location", F.lit("")), F.lit(' "}{'), F.col("ord").cast("string")))
+    graph_files.write_graph_documents(raw, t.raw_links(), path)
+    repo = F.substring_index(F.element_at(F.split("file", "/"), -2), "=", -1)
+    nodes, links, _ = graph_files.load_graph_documents(t.spark, path, repo)
+    ords = F.substring_index("source_location", "{", -1).cast("long")
+    keyed = build.keyed_nodes(nodes).withColumn("place", F.col("ord")).withColumn("ord", ords)
+    keys = F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(":", "id", "node_key").alias("k"))))["k"], ","))
+    found = keyed.groupBy("repo").agg(F.count(F.lit(1)).alias("nodes"), F.max("place").cast("long").alias("last"), F.sum("ord").alias("ords"), keys.alias("keys"))
+    return found.join(links.groupBy("repo").agg(F.count(F.lit(1)).alias("links")), "repo", "left").fillna(0, ["links"])
+
+
 @_g(
     "a5_store_import",
     """

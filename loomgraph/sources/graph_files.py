@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph import schemas
+from loomgraph.session import cut_lineage
+
+
+def write_graph_documents(nodes: DataFrame, links: DataFrame, path: str) -> None:
+    """Write a node-link document per repository (A2): a folder each, its lines one JSON value together.
+
+    A document is one file and so one task's work; records (below) have no such bound.
+    """
+
+    def lines(rows: DataFrame, place: int, fields: dict, head: str) -> DataFrame:
+        value = F.to_json(F.struct(*[F.col(f).alias("_origin" if f == "origin" else f) for f in fields]))
+        first = F.row_number().over(Window.partitionBy("repo").orderBy("ord")) == 1
+        return rows.select("repo", F.lit(place).alias("place"), "ord", F.concat(F.when(first, F.lit(head)).otherwise(F.lit(",")), value).alias("value"))
+
+    repos = nodes.select("repo").distinct()
+    ends = [(0, '{"directed":false,"graph":{},"nodes":['), (2, '],"links":['), (4, '],"hyperedges":[]}')]
+    parts = [repos.select("repo", F.lit(place).alias("place"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("value")) for place, text in ends]
+    parts += [lines(nodes, 1, schemas.NODE_FIELDS, ""), lines(links, 3, schemas.LINK_FIELDS, "")]
+    rows = reduce(DataFrame.unionByName, parts).repartition("repo").sortWithinPartitions("repo", "place", "ord")
+    rows.select("repo", "value").write.partitionBy("repo").mode("overwrite").text(path)
 
 
 #: Rows of a file of graph records.
@@ -14,21 +36,90 @@ FILE_ROWS = 1_000_000
 
 
 def load_graph_documents(spark: SparkSession, paths, repo: Column | None = None):
-    """Nodes, links and hyperedge counts of node-link documents, one per repository (A1).
+    """Nodes, links and hyperedges of node-link documents, one document per repository (A1).
 
-    A document is one JSON value and so one task's work; for large graphs use the
-    line records below.  ``repo`` defaults to the name of the document's folder.
+    A document is read in ranges of bytes, as many tasks as its size asks for: the
+    text source cuts it at closing braces, wherever a range begins.  Whether a cut
+    lies in a string follows from the quotes before it, its depth from the braces
+    outside strings; both are running sums inside a range plus the sums of earlier
+    ranges.  Objects right below the document are put together from their cuts and
+    parsed one by one.  ``repo`` is an expression of the column file, by default
+    the name of the document's folder.
     """
-    documents = spark.read.schema(schemas.GRAPH_DOCUMENT).option("multiLine", True).json(paths)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    documents = documents.withColumn("repo", folder if repo is None else repo)
-    nodes = documents.select("repo", F.posexplode("nodes").alias("ord", "n")).select("repo", "ord", "n.*")
-    nodes = nodes.withColumnRenamed("_origin", "origin")
-    links = documents.select("repo", F.posexplode("links").alias("ord", "l")).select("repo", "ord", "l.*")
-    hyperedges = documents.select("repo", F.explode("hyperedges").alias("hyperedge"))
+    repo = F.element_at(F.split("file", "/"), -2) if repo is None else repo
+    objects = _objects(_leveled(_cuts(spark, paths)))
+    objects = objects.withColumn("repo", repo)
+    schemas_of = {f.name: f.dataType.elementType for f in schemas.GRAPH_DOCUMENT.fields}
+
+    def section(name: str) -> DataFrame:
+        rows = objects.where(F.col("section") == name)
+        return rows.select("repo", (F.col("g") - F.col("first")).cast("int").alias("ord"), F.from_json("object", schemas_of[name]).alias("x"))
+
+    nodes = section("nodes").select("repo", "ord", "x.*").withColumnRenamed("_origin", "origin")
+    links = section("links").select("repo", "ord", "x.*")
+    # Hyperedges are objects, or plain values that stand in the text between objects.
+    plain = F.from_json(F.regexp_extract("outside", r'"hyperedges"\s*:\s*(\[[^\[\]{}]*\])', 1), "array<string>")
+    hyperedges = objects.where(F.col("section") == "hyperedges").select("repo", F.col("object").alias("hyperedge")).unionByName(
+        objects.where(F.col("outside").contains('"hyperedges"')).select("repo", F.explode(plain).alias("hyperedge"))
+    )
     return nodes, links, hyperedges
 
 
+def _cuts(spark: SparkSession, paths) -> DataFrame:
+    """(file, block, i, value, q): the text between closing braces, in order of (block, i), and its quotes."""
+    rows = spark.read.option("lineSep", "}").text(paths)
+    rows = rows.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("i"), "value",
+    )
+    rows = rows.withColumn("bare", F.regexp_replace("value", r"\\.", ""))  # without escaped characters
+    return cut_lineage(rows.withColumn("q", F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit("")))))
+
+
+def _before(rows: DataFrame, amount: str, name: str) -> DataFrame:
+    """Adds the sum of ``amount`` before each row of its file: inside its range, plus the sums of earlier ranges."""
+    inside = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("file", "block").agg(F.sum(amount).alias("s"))  # one row a range
+    ranges = ranges.select("file", "block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"))
+    rows = rows.join(F.broadcast(ranges), ["file", "block"])
+    return rows.withColumn(name, F.col("offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("offset")
+
+
+def _leveled(cuts: DataFrame) -> DataFrame:
+    """(file, block, i, value, g): g numbers the objects right below the document, by the cut that ends each."""
+    rows = _before(cuts, "q", "quotes")
+    inside = (F.col("quotes") % 2).cast("int")
+    outer = F.filter(F.split("bare", '"'), lambda x, k: (k + inside) % 2 == 0)
+    opens = F.aggregate(outer, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))))
+    closes = F.when((F.col("quotes") + F.col("q")) % 2 == 0, 1).otherwise(0)
+    rows = rows.select("file", "block", "i", "value", closes.alias("closes"), (opens - closes).alias("delta"))
+    rows = _before(cut_lineage(rows), "delta", "depth")
+    rows = rows.withColumn("ends", F.when((F.col("closes") == 1) & (F.col("depth") + F.col("delta") == 1), 1).otherwise(0))
+    return _before(rows.select("file", "block", "i", "value", "ends"), "ends", "g")
+
+
+def _objects(rows: DataFrame) -> DataFrame:
+    """(file, g, section, first, object, outside): each object, the key of its array, and the text before it."""
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "value"))), lambda x: x["value"])
+    whole = rows.groupBy("file", "g").agg(F.concat(F.array_join(pieces, "}"), F.lit("}")).alias("text"))
+    text = F.when(F.col("g") == 0, F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
+    split = r'^((?:[^"{]++|"(?:[^"\\]++|\\[\s\S])*+")*+)(\{[\s\S]*)$'
+    held = whole.select("file", "g", text.alias("text")).select(
+        "file", "g", F.col("text").rlike(split).alias("some"), F.regexp_extract("text", split, 1).alias("before"),
+        F.regexp_extract("text", split, 2).alias("object"), "text",
+    )
+    held = held.select("file", "g", F.when(F.col("some"), F.col("object")).alias("object"), F.when(F.col("some"), F.col("before")).otherwise(F.col("text")).alias("outside"))
+    held = cut_lineage(held)
+    key = F.regexp_extract("outside", r'"((?:[^"\\]|\\.)*)"\s*:\s*\[?\s*$', 1)
+    marks = held.where((key != "") & F.col("object").isNotNull()).select("file", F.struct("g", key.alias("key")).alias("m"))
+    marks = marks.groupBy("file").agg(F.array_sort(F.collect_list("m")).alias("marks"))  # a few keys a document
+    last = F.element_at(F.filter("marks", lambda m: m["g"] <= F.col("g")), -1)
+    return held.join(F.broadcast(marks), "file", "left").withColumn("last", last).select(
+        "file", "g", F.when(F.col("object").isNotNull(), F.col("last.key")).alias("section"), F.col("last.g").alias("first"), "object", "outside"
+    )
+
+
 def write_graph_records(nodes: DataFrame, links: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """Write a graph as JSON lines, a folder per repository for nodes and links (A2).
 

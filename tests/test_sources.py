@@ -1,5 +1,7 @@
 import json
+import random
 
+from loomgraph.sources import graph_files
 from loomgraph.sources.files import load_files
 from loomgraph.sources.graph_files import load_graph_documents
 
@@ -28,3 +30,41 @@ def test_graph_documents(spark, tmp_path):
     assert got[0].metadata.tags == ["x"]
     assert [(r.source, r.target, r.weight) for r in links.collect()] == [("a", "b", 2.0)]
     assert hyperedges.count() == 1
+
+
+def graph_document(rng, n):
+    """A node-link document whose strings hold braces, brackets, quotes, escapes and line breaks."""
+    odd = ["plain", "a}b{c", 'say "x"', "back\\slash\\", '{"id": "no"}', "],\"links\": [", "é\n}", "", "\\\"}"]
+    nodes = [{"id": f"n{i}", "label": rng.choice(odd), "metadata": {"version": rng.choice(odd), "tags": [rng.choice(odd)]} if i % 3 else None} for i in range(n)]
+    links = [{"source": f"n{rng.randrange(n)}", "target": f"n{rng.randrange(n)}", "relation": rng.choice(odd), "weight": float(i)} for i in range(n)]
+    doc = {"directed": False, "note": 'a "{" here', "graph": {"name": "}{"}, "nodes": nodes, "links": links, "hyperedges": ["h1", "h}2"]}
+    keys = list(doc)
+    rng.shuffle(keys)
+    return {k: doc[k] for k in keys}
+
+
+def test_documents_are_read_in_ranges_of_bytes(spark, tmp_path):
+    rng, docs = random.Random(3), {}
+    for k in range(8):
+        docs[f"r{k}"] = graph_document(rng, rng.choice([1, 5, 60]))
+        (tmp_path / f"r{k}").mkdir()
+        indent = rng.choice([None, None, 1, 2])
+        (tmp_path / f"r{k}" / "graph.json").write_text(json.dumps(docs[f"r{k}"], indent=indent, ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"]), encoding="utf-8")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "graph.json").write_text('{"nodes": [], "links": [], "hyperedges": []}')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("200b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            cuts = graph_files._cuts(spark, f"{tmp_path}/*/graph.json")
+            assert size == "128m" or cuts.select("file", "block").distinct().count() > 60
+            nodes, links, hyperedges = load_graph_documents(spark, f"{tmp_path}/*/graph.json")
+            got = {(r.repo, r.ord): (r.id, r.label, r.metadata.version if r.metadata else None) for r in nodes.collect()}
+            assert got == {(k, i): (n["id"], n["label"], n["metadata"]["version"] if n["metadata"] else None) for k, d in docs.items() for i, n in enumerate(d["nodes"])}
+            got = {(r.repo, r.ord): (r.source, r.target, r.relation, r.weight) for r in links.collect()}
+            assert got == {(k, i): tuple(x.values()) for k, d in docs.items() for i, x in enumerate(d["links"])}
+            assert hyperedges.where("repo = 'r0'").count() <= 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
