@@ -126,3 +126,16 @@ def work_folder(spark: SparkSession) -> str:
     """Folder for tables this application writes and reads again."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def drop_work_folders(spark: SparkSession) -> int:
+    """Delete the tables this application wrote for itself, once what was made of them is stored elsewhere; how many.
+
+    Queries write theirs again on the next use in another application only.
+    """
+    ensure_checkpoint_dir(spark)
+    fs, place = _files(spark, spark.sparkContext.getCheckpointDir())
+    found = [f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("tables-")] if fs.exists(place) else []
+    for path in found:
+        fs.delete(path, True)
+    return len(found)

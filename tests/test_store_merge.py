@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from loomgraph import schemas
 from loomgraph.operators import build, upkeep
 from loomgraph.plans.index_run import import_run
-from loomgraph.plans.projections import GraphTables
-from loomgraph.session import file_names, publish_file
+from loomgraph.plans.projections import _WRITTEN, GraphTables
+from loomgraph.session import drop_work_folders, file_names, publish_file, work_folder
 from loomgraph.sources.store import CommitConflict, GraphStore, changed_parts
 from tests.test_build_upkeep import graph_of, links, nodes, runs
 
@@ -139,6 +139,13 @@ def test_appended_rows_are_seen(spark, tmp_path):
     assert GraphTables(spark, str(tmp_path)).entities().count() > before
 
 
+def test_work_tables_can_be_dropped(spark):
+    path = work_folder(spark)
+    spark.range(3).write.parquet(f"{path}/x")
+    assert drop_work_folders(spark) >= 1 and file_names(spark, f"{path}/x") == []
+    _WRITTEN.clear()  # so that later tests write their tables again
+
+
 def test_no_machine_local_folder_is_made():
     root = pathlib.Path(__file__).parent.parent / "loomgraph"
     assert not [p for p in root.rglob("*.py") if "tempfile" in p.read_text()]
