@@ -18,6 +18,7 @@ text of one or two characters has no trigram and scans the names.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +46,11 @@ _SHOWN = ("node_id", "name", "label", "repo", "path", "line", "name_lower", "nor
 
 
 def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(key), F.lit(buckets)).cast("int")
+
+
+def _bucket_of(key: str, buckets: int) -> int:
+    return zlib.crc32(key.encode()) % buckets
 
 
 def _grams(name: Column) -> Column:
@@ -105,7 +110,7 @@ class SearchIndex:
 
     def _lists(self, name: str, key: str, keys: list[str]) -> DataFrame:
         """Rows of a table whose key is one of ``keys``; only their buckets are read."""
-        buckets = [r.b for r in self.spark.createDataFrame([(k,) for k in keys], "k string").select(_bucket(F.col("k"), self.buckets).alias("b")).distinct().collect()]
+        buckets = sorted({_bucket_of(k, self.buckets) for k in keys})
         return self._read(name).where(F.col("bucket").isin(buckets) & F.col(key).isin(keys)).drop("bucket")
 
     def sizes(self, kind: str, terms: list[str]) -> dict[str, int]:
@@ -115,13 +120,13 @@ class SearchIndex:
 
     def _shown(self, hits: DataFrame) -> DataFrame:
         """Hits (node_key and further columns) with what ``docs`` shows of them."""
-        few = hits.limit(MOST_KEYS + 1).collect()
-        if not few:
+        few = hits.limit(MOST_KEYS + 1).toArrow()  # one pass over all partitions
+        if not few.num_rows:
             return hits.limit(0).join(self._read("docs").drop("bucket"), "node_key")
-        if len(few) > MOST_KEYS:
+        if few.num_rows > MOST_KEYS:
             return hits.join(self._read("docs").drop("bucket"), "node_key")
-        rows = self.spark.createDataFrame(few, hits.schema)
-        return self._lists("docs", "node_key", [r.node_key for r in few]).join(F.broadcast(rows), "node_key")
+        rows = self.spark.createDataFrame(few, schema=hits.schema)
+        return self._lists("docs", "node_key", few.column("node_key").to_pylist()).join(F.broadcast(rows), "node_key")
 
     # --- searches ---
 
@@ -146,6 +151,8 @@ class SearchIndex:
             return search.substring_search(self._read("docs"), text, repos, limit)
         sizes = self.sizes("gram", grams)
         rarest = sorted(grams, key=lambda g: (sizes[g], g))[:MOST_LISTS]
+        if sizes[rarest[0]] <= MOST_KEYS:  # few enough to look at by name
+            rarest = rarest[:1]
         lists = [self._lists("grams", "gram", [g]).select("node_key") for g in rarest]
         both = reduce(lambda a, b: a.join(b, "node_key", "left_semi"), lists)
         return search.substring_search(self._shown(both), text, repos, limit)

@@ -43,15 +43,15 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-# Rows up to which matches of a lookup are taken to the driver and named in the next scan.
-FEW_ROWS = 1_000
+# Rows up to which matches of a lookup are taken to the driver and named in the next scan: a few megabytes.
+FEW_ROWS = 20_000
 
 
 def few(rows: DataFrame) -> DataFrame:
     """Matches of a lookup: a small table that every executor gets, or a checkpoint, counted, where they are many."""
-    found = rows.limit(FEW_ROWS + 1).collect()
-    if len(found) <= FEW_ROWS:
-        return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema))
+    found = rows.limit(FEW_ROWS + 1).toArrow()  # one pass over all partitions
+    if found.num_rows <= FEW_ROWS:
+        return F.broadcast(rows.sparkSession.createDataFrame(found, schema=rows.schema))
     kept = cut_lineage(rows)
     return sized(kept, kept.count())
 
