@@ -20,7 +20,7 @@ from loomgraph.operators.extract.common import (
     select_files,
     warn,
 )
-from loomgraph.operators.extract.yamltext import yaml_to_json
+from loomgraph.operators.extract.yamltext import json_texts
 from loomgraph.session import cut_lineage
 
 EXTRACTOR = "glue"
@@ -102,13 +102,14 @@ def cloudformation_jobs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Job resources of templates with their trigger's schedule, and unreadable templates."""
     rows = _files(files, (".yaml", ".yml", ".json")).where(_has_any(F.col("content"), CLOUDFORMATION_MARKS))
     keep = ["repo", "path", "walk"]
-    as_text = rows.where("ext = '.json'").select(*keep, F.col("content").alias("json")).unionByName(
-        rows.where("ext <> '.json'").select(*keep, yaml_to_json(F.col("content")).alias("json"))
-    )
-    parsed = as_text.select(*keep, F.from_json("json", "Resources map<string,string>, AWSTemplateFormatVersion string").alias("d"), "json")
-    resources = parsed.select(*keep, F.explode("d.Resources").alias("logical_id", "raw")).withColumn(
-        "r", F.from_json("raw", _RESOURCE)
-    )
+    document = F.from_json("json", "Resources map<string,string>, AWSTemplateFormatVersion string")
+    texts = json_texts(rows, keep).select(*keep, document.alias("d"), "json")
+    # Parsed once: a field taken from an uncut from_json parses the text again.
+    parsed = cut_lineage(texts.select(
+        *keep, F.transform_values("d.Resources", lambda _, raw: F.from_json(raw, _RESOURCE)).alias("resources"),
+        (F.col("json").isNull() | F.col("d").isNull()).alias("unread"),
+    ))
+    resources = parsed.select(*keep, F.explode("resources").alias("logical_id", "r"))
     props = "r.Properties."
     given = or_empty(F.col(props + "Name"))
     jobs = resources.where("r.Type = 'AWS::Glue::Job'").select(
@@ -127,8 +128,7 @@ def cloudformation_jobs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "repo", "path", "walk", F.lit(0).alias("pos"), "name", "script",
         or_empty(F.col("schedule")).alias("schedule"), F.lit(0).alias("line"),
     )
-    unread = parsed.where(F.col("json").isNull() | F.col("d").isNull())
-    return found, warn(unread, EXTRACTOR, F.concat("path", F.lit(": template cannot be read")))
+    return found, warn(parsed.where("unread"), EXTRACTOR, F.concat("path", F.lit(": template cannot be read")))
 
 
 def script_jobs(files: DataFrame) -> DataFrame:
