@@ -20,7 +20,7 @@ from loomgraph.operators.extract.common import (
     warn,
 )
 from loomgraph.operators.extract.http import EXTRACTOR, code_routes, join_prefix
-from loomgraph.operators.extract.yamltext import yaml_to_json
+from loomgraph.operators.extract.yamltext import json_texts
 from loomgraph.session import cut_lineage
 
 # --- Fixed values: specification files and operation keys ---
@@ -61,11 +61,8 @@ def spec_routes(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFra
     found = spec_files(files, max_bytes)
     usable = found.where("NOT oversize")
     keep = ["repo", "path", "walk"]
-    # YAML takes the Python step, JSON does not pass through it.
-    as_text = usable.where("ext = '.json'").select(*keep, F.col("content").alias("json")).unionByName(
-        usable.where("ext <> '.json'").select(*keep, yaml_to_json(F.col("content")).alias("json"))
-    )
-    parsed = as_text.select(*keep, F.from_json("json", _SPEC).alias("d"))
+    # Parsed once: a field taken from an uncut from_json parses the text again.
+    parsed = cut_lineage(json_texts(usable, keep).select(*keep, F.from_json("json", _SPEC).alias("d")))
     versioned = (or_empty(F.col("d.swagger")) != "") | (or_empty(F.col("d.openapi")) != "")
     paths = F.transform(F.coalesce("d.servers", F.array().cast("array<struct<url:string>>")), lambda s: _server_path(or_empty(s["url"])))
     first_server = F.coalesce(F.get(F.filter(paths, lambda p: p != ""), F.lit(0)), F.lit(""))
