@@ -210,23 +210,34 @@ def residue(graph: Graph, runs: DataFrame) -> DataFrame:
     )
 
 
+def _without_ends(rows: DataFrame, end: str, keys: DataFrame, own: bool) -> DataFrame:
+    """Rows whose ``end`` is not among ``keys``; with ``own``, no key is a shared node's.
+
+    Shared ends then pass by: hubs have most of the edges, and a shuffle would bring all of a hub to one task.
+    """
+    meets = keys.withColumnRenamed("node_key", end)
+    if not own:
+        return rows.join(meets, end, "left_anti")
+    shared = F.coalesce(shared_key(F.col(end)), F.lit(False))
+    return rows.where(shared).unionByName(rows.where(~shared).join(meets, end, "left_anti"))
+
+
 def _detach(graph: Graph, removed: DataFrame) -> Graph:
-    """Remove nodes with all their edges; ``removed(node_key)`` is counted and broadcast."""
+    """Remove nodes with all their edges; ``removed(node_key)`` is counted and broadcast where few."""
     keys = removed.select("node_key")
+    own = keys.where(shared_key(F.col("node_key"))).isEmpty()
+    edges = _without_ends(_without_ends(graph.edges, "src", keys, own), "dst", keys, own)
     return Graph(
-        graph.entities.join(keys, "node_key", "left_anti").select(*schemas.ENTITY_FIELDS),
-        graph.edges.join(keys.withColumnRenamed("node_key", "src"), "src", "left_anti")
-        .join(keys.withColumnRenamed("node_key", "dst"), "dst", "left_anti")
-        .select(*schemas.EDGE_FIELDS),
-        graph.ownership.join(keys, "node_key", "left_anti").select(*schemas.OWNERSHIP_FIELDS),
+        _without_ends(graph.entities, "node_key", keys, own).select(*schemas.ENTITY_FIELDS),
+        edges.select(*schemas.EDGE_FIELDS),
+        _without_ends(graph.ownership, "node_key", keys, own).select(*schemas.OWNERSHIP_FIELDS),
     )
 
 
 def touched_shared(edges: DataFrame, shared: DataFrame) -> DataFrame:
-    """Shared nodes (node_key) that are an end of some edge; edges meet the counted keys, not the other way round."""
-    keys = shared.select("node_key")
-    ends = [edges.select(F.col(end).alias("node_key")).join(keys, "node_key", "left_semi") for end in ("src", "dst")]
-    return ends[0].unionByName(ends[1]).distinct()
+    """Shared nodes (node_key) that are an end of some edge; each end is taken once, so a hub's edges meet in no task."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_key")).distinct()
+    return ends.join(shared.select("node_key"), "node_key", "left_semi")
 
 
 def orphans(graph: Graph) -> DataFrame:
