@@ -43,7 +43,8 @@ def _stamped(rows: DataFrame, runs: DataFrame, repo: str) -> DataFrame:
     stamps = runs.select(
         F.col("repo").alias(repo), F.col("commit").alias("last_commit"), F.col("run").alias("last_run")
     )
-    return rows.drop(*_STAMPS).join(stamps, repo)
+    # Counted: a shuffle would deal all rows by the few names of their repositories.
+    return rows.drop(*_STAMPS).join(_counted(stamps), repo)
 
 
 def _counted(keys: DataFrame) -> DataFrame:
@@ -63,7 +64,8 @@ def _parted(rows: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     payload = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(
+    # Few rows of a key share a task before the shuffle, so nothing is sorted and combined there.
+    picked = rows.repartition(*keys).groupBy(*keys).agg(
         F.max_by(F.struct(*payload), F.struct(*order)).alias("row")
     )
     return picked.select(*keys, "row.*")
@@ -112,22 +114,18 @@ def upsert_ownership(current: DataFrame, incoming: DataFrame, runs: DataFrame) -
     rows = incoming.select(F.col("import_repo").alias("repo"), "node_key").distinct()
     rows = _stamped(rows, runs, "repo")
     mine, others = _parted(current, runs)
-    kept = mine.join(rows.select("repo", "node_key"), ["repo", "node_key"], "left_anti").unionByName(others)
-    unstamped = blank(F.col("last_commit"))
-    old = mine.select(
-        "repo", "node_key", F.col("last_commit").alias("o_commit"), F.col("last_run").alias("o_run")
+    new = rows.select("repo", "node_key", *[F.col(c).alias(f"n_{c}") for c in _STAMPS])
+    stamped = ~blank(F.col("n_last_commit"))
+    merged = mine.join(new, ["repo", "node_key"], "full_outer").select(
+        "repo", "node_key", *[F.when(stamped, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in _STAMPS]
     )
-    fresh = rows.join(old, ["repo", "node_key"], "left").select(
-        "repo", "node_key",
-        F.when(unstamped, F.col("o_commit")).otherwise(F.col("last_commit")).alias("last_commit"),
-        F.when(unstamped, F.col("o_run")).otherwise(F.col("last_run")).alias("last_run"),
-    )
-    return schemas.conform(kept, schemas.OWNERSHIP_FIELDS).unionByName(fresh)
+    return merged.unionByName(schemas.conform(others, schemas.OWNERSHIP_FIELDS))
 
 
 def _edge_scope(src: Column, dst: Column, repo: Column) -> Column:
-    """Part of the key that keeps shared-to-shared edges apart per repository."""
-    return F.when(shared_key(src) & shared_key(dst), repo)
+    """Part of the key that keeps shared-to-shared edges apart per repository; never null, so that one shuffle serves fold and join."""
+    name = F.when(shared_key(src) & shared_key(dst) & repo.isNotNull(), F.concat(F.lit("/"), repo))
+    return F.coalesce(name, F.lit(""))
 
 
 def upsert_edges(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewrite_all: bool = False) -> DataFrame:
@@ -143,7 +141,7 @@ def upsert_edges(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewri
     def same(a, b):
         return (
             (a["src"] == b["n_src"]) & (a["dst"] == b["n_dst"]) & (a["type"] == b["n_type"])
-            & a["scope"].eqNullSafe(b["n_scope"])
+            & (a["scope"] == b["n_scope"])
         )
 
     merged = _merge(
