@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from loomgraph import schemas
 from loomgraph.functions import columns as C
 from loomgraph.functions import rules
+from loomgraph.session import cut_lineage
 
 _TOP_FIELDS = [f for f in schemas.NODE_FIELDS if f not in ("id", "metadata")]
 _META_FIELDS = [f.name for f in schemas.METADATA.fields]
@@ -210,26 +211,43 @@ def to_entities(nodes: DataFrame) -> DataFrame:
 # --- links to edges --------------------------------------------------------
 
 
+#: Links that share an end from which on they meet it by broadcast.
+HOT_ROWS = 100_000
+
+
+def _ended(rows: DataFrame, links: DataFrame, keys: DataFrame, end: str, name: str) -> DataFrame:
+    """Rows with the key of one end as ``name``, null where unknown.
+
+    A shuffle would bring all links of an end to one task, and a repository's own
+    node is an end of most of its links.  Ends that ``HOT_ROWS`` links share are
+    few, so their keys are broadcast.
+    """
+    known = keys.select("repo", F.col("id").alias(end), F.col("node_key").alias(name))
+    hot = links.groupBy("repo", end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
+    hot = cut_lineage(hot.where(F.col("repo").isNotNull() & F.col(end).isNotNull()).select("repo", end))
+    if hot.isEmpty():
+        return rows.join(known, ["repo", end], "left")
+    hot = cut_lineage(hot.join(known, ["repo", end], "left").withColumn("_hot", F.lit(True)))
+    met = rows.join(F.broadcast(hot), ["repo", end], "left")
+    others = met.where(F.col("_hot").isNull()).drop("_hot", name)
+    return met.where("_hot").drop("_hot").unionByName(others.join(known, ["repo", end], "left"))
+
+
 def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every link with its edge type and endpoint keys, null where unknown.
 
     ``status`` is ``unknown``, ``dangling`` or ``ok``; the relation is judged first.
     """
     # The last node of an id gives the key, as ids are looked up in a map.
-    keys = keyed_nodes(nodes).groupBy("repo", "id").agg(F.max_by("node_key", "ord").alias("node_key"))
-    source = keys.select("repo", F.col("id").alias("source"), F.col("node_key").alias("src"))
-    target = keys.select("repo", F.col("id").alias("target"), F.col("node_key").alias("dst"))
+    last = keyed_nodes(nodes).select("repo", "id", "node_key", "ord").repartition("repo", "id")
+    keys = last.groupBy("repo", "id").agg(F.max_by("node_key", "ord").alias("node_key"))
     typed = links.withColumn("edge_type", C.map_relation(F.col("relation")))
     status = (
         F.when(F.col("edge_type").isNull(), "unknown")
         .when(F.col("src").isNull() | F.col("dst").isNull(), "dangling")
         .otherwise("ok")
     )
-    return (
-        typed.join(source, ["repo", "source"], "left")
-        .join(target, ["repo", "target"], "left")
-        .withColumn("status", status)
-    )
+    return _ended(_ended(typed, links, keys, "source", "src"), links, keys, "target", "dst").withColumn("status", status)
 
 
 def to_edges(resolved: DataFrame) -> DataFrame:
