@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas, session
 from loomgraph.operators import build, upkeep
+from loomgraph.operators.search_index import SearchIndex
 from loomgraph.plans import graph_queries
 from loomgraph.plans.projections import GraphTables
 
@@ -87,3 +88,20 @@ def test_stored_rows_are_read_by_column(spark):
     rows = session.stored(spark.range(3).select("id", F.array(F.lit("x")).alias("tags"), F.lit(None).cast("string").alias("none")))
     assert rows.inputFiles() and sorted(r.id for r in rows.collect()) == [0, 1, 2]
     assert "ReadSchema: struct<id:bigint>" in _physical(rows.select("id"))
+
+
+def test_a_relevance_search_makes_no_trigrams(spark, monkeypatch):
+    made = []
+    real = SearchIndex.add_lists
+    monkeypatch.setattr(SearchIndex, "add_lists", lambda self, entities, kind: made.append(kind) or real(self, entities, kind))
+    t = GraphTables(spark, "/root/testdata/sf0.001")
+    written = {}
+    monkeypatch.setattr(t, "_once", lambda name, make: written.get(name) or written.setdefault(name, _made(spark, make)))
+    assert t.search_index().relevance_search("widget").count() > 0 and made == ["token"]
+    assert t.search_index().substring_search("runserver1").count() > 0 and made == ["token", "gram"]
+
+
+def _made(spark, make) -> str:
+    path = f"{session.work_folder(spark)}/made"
+    make(path)
+    return path
