@@ -124,6 +124,18 @@ def test_a_hub_on_one_side_is_not_opened(spark, monkeypatch):
     assert traverse.shortest_path(entities(spark, names), edges(spark, pairs), "s", "t", max_hops=5).count() == 6
 
 
+def test_the_side_of_fewer_steps_grows(spark, monkeypatch):
+    """One hub near the target has more steps than many leaves near the source."""
+    levels = []
+    real = traverse.cut_lineage
+    monkeypatch.setattr(traverse, "cut_lineage", lambda df: levels.append(real(df)) or levels[-1])
+    pairs = [("s", f"a{i}") for i in range(6)] + [("a3", "b"), ("b", "c"), ("c", "hub"), ("hub", "t")] + [("hub", f"n{i}") for i in range(300)]
+    names = {k: k for p in pairs for k in p}
+    rows = traverse.shortest_path(entities(spark, names), edges(spark, pairs), "s", "t").collect()
+    assert [r.name for r in rows] == ["s", "a3", "b", "c", "hub", "t"]
+    assert max(level.count() for level in levels) < 10
+
+
 def test_start_on_a_cycle_is_listed_with_its_length(spark):
     ents = entities(spark, {"a": "a", "b": "b", "c": "c"})
     got = {r.name: r.distance for r in traverse.blast_radius(ents, edges(spark, [("a", "b"), ("b", "c"), ("c", "a")]), "a").collect()}
