@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.functions.columns import entity_labels, in_scope
+from loomgraph.operators.upkeep import shared_key
 
 
 def fan_in(edges: DataFrame) -> DataFrame:
@@ -34,6 +35,9 @@ def hotspots(
     targets = entities.where(in_scope(F.col("repo"), repos)).select(
         "node_key", "name", "repo", "path", "line", "label"
     )
+    # Shared nodes have no repository, so a scope leaves them out: their edges, most of all, need not be counted.
+    if repos and targets.where(shared_key(F.col("node_key"))).isEmpty():
+        edges = edges.where(~F.coalesce(shared_key(F.col("dst")), F.lit(False)))
     counts = fan_in(edges)
     return (
         counts.join(targets, counts.dst == targets.node_key)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import schemas, session
-from loomgraph.operators import build, upkeep
+from loomgraph.operators import build, hotspots, upkeep
 from loomgraph.operators.search_index import SearchIndex
 from loomgraph.plans import graph_queries
 from loomgraph.plans.projections import GraphTables
@@ -105,3 +105,23 @@ def _made(spark, make) -> str:
     path = f"{session.work_folder(spark)}/made"
     make(path)
     return path
+
+
+def test_a_scope_leaves_out_edges_to_shared_nodes(spark):
+    shared = "platform::pkg::p"
+    ends = [("a", "b", "CALLS"), ("c", "b", "CALLS"), ("a", shared, "DEPENDS_ON")]
+    edges = schemas.conform(spark.createDataFrame([(*e, "r") for e in ends], "src string, dst string, type string, repo string"), schemas.EDGE_FIELDS)
+
+    def found(owner):
+        nodes = spark.createDataFrame([("b", "b", "r"), (shared, "p", owner)], "node_key string, name string, repo string")
+        rows = hotspots.hotspots(schemas.conform(nodes, schemas.ENTITY_FIELDS), edges, ["r"])
+        return rows._jdf.queryExecution().optimizedPlan().toString(), [(r.name, r.fan_in) for r in rows.collect()]
+
+    plan, rows = found(None)
+    assert "RLIKE" in plan and rows == [("b", 2)]
+    # A node that looks shared but has a repository is still counted.
+    assert found("r")[1] == [("b", 2), ("p", 1)]
+
+
+def test_calls_are_folded_by_hash(spark):
+    assert "SortAggregate" not in _physical(GraphTables(spark, "/root/testdata/sf0.001")._calls())
