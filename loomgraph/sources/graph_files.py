@@ -18,17 +18,20 @@ def write_graph_documents(nodes: DataFrame, links: DataFrame, path: str) -> None
     A document is one file and so one task's work; records (below) have no such bound.
     """
 
-    def lines(rows: DataFrame, place: int, fields: dict, head: str) -> DataFrame:
+    def lines(rows: DataFrame, place: int, fields: dict) -> DataFrame:
         value = F.to_json(F.struct(*[F.col(f).alias("_origin" if f == "origin" else f) for f in fields]))
-        first = F.row_number().over(Window.partitionBy("repo").orderBy("ord")) == 1
-        return rows.select("repo", F.lit(place).alias("place"), "ord", F.concat(F.when(first, F.lit(head)).otherwise(F.lit(",")), value).alias("value"))
+        return rows.select("repo", F.lit(place).alias("place"), "ord", value.alias("value"))
 
     repos = nodes.select("repo").distinct()
     ends = [(0, '{"directed":false,"graph":{},"nodes":['), (2, '],"links":['), (4, '],"hyperedges":[]}')]
     parts = [repos.select("repo", F.lit(place).alias("place"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("value")) for place, text in ends]
-    parts += [lines(nodes, 1, schemas.NODE_FIELDS, ""), lines(links, 3, schemas.LINK_FIELDS, "")]
-    rows = reduce(DataFrame.unionByName, parts).repartition("repo").sortWithinPartitions("repo", "place", "ord")
-    rows.select("repo", "value").write.partitionBy("repo").mode("overwrite").text(path)
+    parts += [lines(nodes, 1, schemas.NODE_FIELDS), lines(links, 3, schemas.LINK_FIELDS)]
+    # One window deals and sorts the rows of all parts; a repartition of parts that are dealt by
+    # repository already is left out by Spark, and their rows then end in a file for each part.
+    document = Window.partitionBy("repo").orderBy("place", "ord")
+    rows = reduce(DataFrame.unionByName, parts).withColumn("follows", F.lag("place").over(document) == F.col("place"))
+    text = F.concat(F.when(F.col("follows"), ",").otherwise(""), F.col("value"))
+    rows.select("repo", text.alias("value")).write.partitionBy("repo").mode("overwrite").text(path)
 
 
 #: Rows of a file of graph records.
@@ -104,12 +107,12 @@ def _objects(rows: DataFrame) -> DataFrame:
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "value"))), lambda x: x["value"])
     whole = rows.groupBy("file", "g").agg(F.concat(F.array_join(pieces, "}"), F.lit("}")).alias("text"))
     text = F.when(F.col("g") == 0, F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
-    split = r'^((?:[^"{]++|"(?:[^"\\]++|\\[\s\S])*+")*+)(\{[\s\S]*)$'
-    held = whole.select("file", "g", text.alias("text")).select(
-        "file", "g", F.col("text").rlike(split).alias("some"), F.regexp_extract("text", split, 1).alias("before"),
-        F.regexp_extract("text", split, 2).alias("object"), "text",
-    )
-    held = held.select("file", "g", F.when(F.col("some"), F.col("object")).alias("object"), F.when(F.col("some"), F.col("before")).otherwise(F.col("text")).alias("outside"))
+    # Only the text before the object is matched; a pattern over whole objects costs many times the rest of the read.
+    before = r'^(?:[^"{]++|"(?:[^"\\]++|\\[\s\S])*+")*+'
+    held = whole.select("file", "g", text.alias("text")).withColumn("before", F.regexp_extract("text", before, 0))
+    held = held.withColumn("object", F.substr("text", F.length("before") + 1))
+    some = F.startswith("object", F.lit("{"))
+    held = held.select("file", "g", F.when(some, F.col("object")).alias("object"), F.when(some, F.col("before")).otherwise(F.col("text")).alias("outside"))
     held = cut_lineage(held)
     key = F.regexp_extract("outside", r'"((?:[^"\\]|\\.)*)"\s*:\s*\[?\s*$', 1)
     marks = held.where((key != "") & F.col("object").isNotNull()).select("file", F.struct("g", key.alias("key")).alias("m"))

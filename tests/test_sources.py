@@ -1,6 +1,7 @@
 import json
 import random
 
+from loomgraph import schemas
 from loomgraph.sources import graph_files
 from loomgraph.sources.files import load_files
 from loomgraph.sources.graph_files import load_graph_documents
@@ -68,3 +69,27 @@ def test_documents_are_read_in_ranges_of_bytes(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_a_written_document_is_one_file(spark, tmp_path):
+    nodes = spark.range(6000).selectExpr("concat('r', id % 7) AS repo", "id DIV 70 AS ord", "concat('n', id) AS id", "repeat(uuid(), 20) AS label")
+    links = nodes.where("ord > 0").selectExpr("repo", "ord", "id AS source", "'n0' AS target", "'calls' AS relation")
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "20k"}
+    old = {k: spark.conf.get(k) for k in sizes}
+    try:
+        # Parts of unlike sizes get unlike numbers of partitions.
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        graph_files.write_graph_documents(
+            schemas.conform(nodes, schemas.NODE_FIELDS, keep=("repo", "ord")), schemas.conform(links, schemas.LINK_FIELDS, keep=("repo", "ord")), str(tmp_path / "docs")
+        )
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = sorted(tmp_path.glob("docs/repo=*/part-*"))
+    assert [f.parent.name for f in files] == [f"repo=r{k}" for k in range(7)]
+    for k, file in enumerate(files):
+        doc = json.loads(file.read_text())
+        ids = [int(n["id"][1:]) for n in doc["nodes"]]
+        assert sorted(ids) == list(range(k, 6000, 7)) and [i // 70 for i in ids] == sorted(i // 70 for i in ids)
+        assert sorted(int(x["source"][1:]) for x in doc["links"]) == [i for i in range(k, 6000, 7) if i >= 70]
