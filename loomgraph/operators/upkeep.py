@@ -24,6 +24,10 @@ from loomgraph.session import cut_lineage, sized
 
 _STAMPS = ("last_commit", "last_run")
 
+#: What a sweep is marked by: keys, repository and stamps.
+MARK_ENTITY_FIELDS = {f: schemas.ENTITY_FIELDS[f] for f in ("node_key", "repo", "shared", *_STAMPS)}
+MARK_EDGE_FIELDS = {f: schemas.EDGE_FIELDS[f] for f in ("src", "dst", "type", "repo", *_STAMPS)}
+
 
 @dataclass
 class Graph:
@@ -79,9 +83,10 @@ def _merge(current: DataFrame, incoming: DataFrame, on, fields, always, rewrite_
     arrives = F.col(n + "node_key" if n + "node_key" in joined.columns else n + "src").isNotNull()
     exists = F.col("node_key" if "node_key" in current.columns else "src").isNotNull()
     unstamped = blank(F.col(n + "last_commit"))
-    changed = F.coalesce(F.col("content_hash"), F.lit("")) != F.coalesce(F.col(n + "content_hash"), F.lit(""))
-    rewrite = arrives & (~exists | F.lit(rewrite_all) | unstamped | changed)
-    out = []
+    rewrite, out = arrives, []
+    if not rewrite_all and not {*_STAMPS, *always}.issuperset(fields):
+        changed = F.coalesce(F.col("content_hash"), F.lit("")) != F.coalesce(F.col(n + "content_hash"), F.lit(""))
+        rewrite = arrives & (~exists | unstamped | changed)
     for c in fields:
         if c in _STAMPS:
             take = arrives & ~unstamped
@@ -93,24 +98,31 @@ def _merge(current: DataFrame, incoming: DataFrame, on, fields, always, rewrite_
     return joined.select(*out)
 
 
-def upsert_nodes(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewrite_all: bool = False) -> DataFrame:
+def _with(others: DataFrame, merged: DataFrame, fields: dict, met_only: bool) -> DataFrame:
+    return merged if met_only else merged.unionByName(schemas.conform(others, fields))
+
+
+def upsert_nodes(
+    current: DataFrame, incoming: DataFrame, runs: DataFrame, rewrite_all: bool = False, fields: dict = schemas.ENTITY_FIELDS, met_only: bool = False
+) -> DataFrame:
     """Merge entities by key: stamps always, properties when their hash differs.
 
     ``incoming`` comes from ``build.to_entities``; of several rows with one key
-    the one with the highest repository and order wins.
+    the one with the highest repository and order wins.  ``fields`` names the columns
+    to carry, among them the hash unless ``rewrite_all``; with ``met_only`` the rows that
+    the import cannot meet are left to the store they are in.
     """
     rows = _stamped(incoming, runs, "import_repo")
+    rows = rows.select("import_repo", "ord", *[c for c in rows.columns if c in fields])
     rows = _last(rows, ["node_key"], ["import_repo", "ord"]).drop("import_repo", "ord")
-    rows = schemas.conform(rows, schemas.ENTITY_FIELDS)
+    rows = schemas.conform(rows, fields)
     mine, others = _parted(current, runs)
-    merged = _merge(
-        mine, rows, lambda a, b: a.node_key == b.n_node_key, schemas.ENTITY_FIELDS, ("node_key",), rewrite_all
-    )
-    return merged.unionByName(schemas.conform(others, schemas.ENTITY_FIELDS))
+    merged = _merge(mine, rows, lambda a, b: a.node_key == b.n_node_key, fields, ("node_key",), rewrite_all)
+    return _with(others, merged, fields, met_only)
 
 
-def upsert_ownership(current: DataFrame, incoming: DataFrame, runs: DataFrame) -> DataFrame:
-    """Ownership of every imported node, stamps refreshed."""
+def upsert_ownership(current: DataFrame, incoming: DataFrame, runs: DataFrame, met_only: bool = False) -> DataFrame:
+    """Ownership of every imported node, stamps refreshed (D1); ``met_only`` as in ``upsert_nodes``."""
     rows = incoming.select(F.col("import_repo").alias("repo"), "node_key").distinct()
     rows = _stamped(rows, runs, "repo")
     mine, others = _parted(current, runs)
@@ -119,7 +131,7 @@ def upsert_ownership(current: DataFrame, incoming: DataFrame, runs: DataFrame) -
     merged = mine.join(new, ["repo", "node_key"], "full_outer").select(
         "repo", "node_key", *[F.when(stamped, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in _STAMPS]
     )
-    return merged.unionByName(schemas.conform(others, schemas.OWNERSHIP_FIELDS))
+    return _with(others, merged, schemas.OWNERSHIP_FIELDS, met_only)
 
 
 def _edge_scope(src: Column, dst: Column, repo: Column) -> Column:
@@ -128,13 +140,15 @@ def _edge_scope(src: Column, dst: Column, repo: Column) -> Column:
     return F.coalesce(name, F.lit(""))
 
 
-def upsert_edges(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewrite_all: bool = False) -> DataFrame:
-    """Merge edges by (source, type, target), per repository between shared ends."""
+def upsert_edges(
+    current: DataFrame, incoming: DataFrame, runs: DataFrame, rewrite_all: bool = False, fields: dict = schemas.EDGE_FIELDS, met_only: bool = False
+) -> DataFrame:
+    """Merge edges by (source, type, target), per repository between shared ends (D2); ``fields`` and ``met_only`` as in ``upsert_nodes``."""
     rows = _stamped(incoming, runs, "repo")
     rows = rows.withColumn("scope", _edge_scope(F.col("src"), F.col("dst"), F.col("repo")))
-    rows = rows.withColumn("import_repo", F.col("repo"))
+    rows = rows.select("scope", F.col("repo").alias("import_repo"), "ord", *[c for c in rows.columns if c in fields])
     rows = _last(rows, ["src", "dst", "type", "scope"], ["import_repo", "ord"]).drop("import_repo", "ord")
-    rows = schemas.conform(rows, schemas.EDGE_FIELDS, keep=("scope",))
+    rows = schemas.conform(rows, fields, keep=("scope",))
     mine, others = _parted(current, runs)
     have = mine.withColumn("scope", _edge_scope(F.col("src"), F.col("dst"), F.col("repo")))
 
@@ -144,10 +158,8 @@ def upsert_edges(current: DataFrame, incoming: DataFrame, runs: DataFrame, rewri
             & (a["scope"] == b["n_scope"])
         )
 
-    merged = _merge(
-        have, rows, same, schemas.EDGE_FIELDS, ("src", "dst", "type", "repo"), rewrite_all
-    )
-    return merged.unionByName(schemas.conform(others, schemas.EDGE_FIELDS))
+    merged = _merge(have, rows, same, fields, ("src", "dst", "type", "repo"), rewrite_all)
+    return _with(others, merged, fields, met_only)
 
 
 # --- sweep -----------------------------------------------------------------
