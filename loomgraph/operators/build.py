@@ -215,22 +215,31 @@ def to_entities(nodes: DataFrame) -> DataFrame:
 HOT_ROWS = 100_000
 
 
-def _ended(rows: DataFrame, links: DataFrame, keys: DataFrame, end: str, name: str) -> DataFrame:
+def _last_keys(named: DataFrame) -> DataFrame:
+    """The last node of an id gives the key, as ids are looked up in a map."""
+    return named.groupBy("repo", "id").agg(F.max_by("node_key", "ord").alias("node_key"))
+
+
+def _ended(rows: DataFrame, links: DataFrame, named: DataFrame, keys: DataFrame, end: str, name: str) -> DataFrame:
     """Rows with the key of one end as ``name``, null where unknown.
 
     A shuffle would bring all links of an end to one task, and a repository's own
     node is an end of most of its links.  Ends that ``HOT_ROWS`` links share are
     few, so their keys are broadcast.
     """
-    known = keys.select("repo", F.col("id").alias(end), F.col("node_key").alias(name))
+    def known(keys: DataFrame) -> DataFrame:
+        return keys.select("repo", F.col("id").alias(end), F.col("node_key").alias(name))
+
     hot = links.groupBy("repo", end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
     hot = cut_lineage(hot.where(F.col("repo").isNotNull() & F.col(end).isNotNull()).select("repo", end))
     if hot.isEmpty():
-        return rows.join(known, ["repo", end], "left")
-    hot = cut_lineage(hot.join(known, ["repo", end], "left").withColumn("_hot", F.lit(True)))
+        return rows.join(known(keys), ["repo", end], "left")
+    # The nodes of hot ends are picked before they are folded: the others are not shuffled for them.
+    few = named.join(F.broadcast(hot.withColumnRenamed(end, "id")), ["repo", "id"], "left_semi")
+    hot = cut_lineage(hot.join(known(_last_keys(few)), ["repo", end], "left").withColumn("_hot", F.lit(True)))
     met = rows.join(F.broadcast(hot), ["repo", end], "left")
     others = met.where(F.col("_hot").isNull()).drop("_hot", name)
-    return met.where("_hot").drop("_hot").unionByName(others.join(known, ["repo", end], "left"))
+    return met.where("_hot").drop("_hot").unionByName(others.join(known(keys), ["repo", end], "left"))
 
 
 def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,16 +247,16 @@ def resolve_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``status`` is ``unknown``, ``dangling`` or ``ok``; the relation is judged first.
     """
-    # The last node of an id gives the key, as ids are looked up in a map.
-    last = keyed_nodes(nodes).select("repo", "id", "node_key", "ord").repartition("repo", "id")
-    keys = last.groupBy("repo", "id").agg(F.max_by("node_key", "ord").alias("node_key"))
+    named = keyed_nodes(nodes).select("repo", "id", "node_key", "ord")
+    keys = _last_keys(named.repartition("repo", "id"))
     typed = links.withColumn("edge_type", C.map_relation(F.col("relation")))
     status = (
         F.when(F.col("edge_type").isNull(), "unknown")
         .when(F.col("src").isNull() | F.col("dst").isNull(), "dangling")
         .otherwise("ok")
     )
-    return _ended(_ended(typed, links, keys, "source", "src"), links, keys, "target", "dst").withColumn("status", status)
+    sources = _ended(typed, links, named, keys, "source", "src")
+    return _ended(sources, links, named, keys, "target", "dst").withColumn("status", status)
 
 
 def to_edges(resolved: DataFrame) -> DataFrame:

@@ -148,3 +148,14 @@ def test_marks_carry_keys_and_stamps_of_rows_an_import_can_meet(spark, monkeypat
     assert not {"name", "content_hash"} & set(written["run2_marks_entities"].columns)
     for part in ("entities", "edges", "ownership"):
         assert {r.repo for r in written[f"run2_marks_{part}"].select("repo").distinct().collect()} <= swept | {None}
+
+
+def test_nodes_of_much_shared_ends_are_picked_before_they_are_folded(spark, no_broadcast, monkeypatch):
+    nodes = spark.createDataFrame([("r", k, f"n{k}") for k in range(6)] + [("r", 9, "n0")], "repo string, ord long, id string")
+    links = spark.createDataFrame([("r", k, f"n{k}", "n0", "calls") for k in range(1, 6)], "repo string, ord long, source string, target string, relation string")
+    plans, cut = [], build.cut_lineage
+    monkeypatch.setattr(build, "HOT_ROWS", 3)
+    monkeypatch.setattr(build, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    found = build.resolve_links(schemas.conform(links, schemas.LINK_FIELDS, keep=("repo", "ord")), schemas.conform(nodes, schemas.NODE_FIELDS, keep=("repo", "ord")))
+    assert [p.index("max_by") < p.index("LeftSemi") for p in plans if "max_by" in p] == [True]
+    assert {(r.target, r.status) for r in found.collect()} == {("n0", "ok")} and found.select("dst").distinct().count() == 1
