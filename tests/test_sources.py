@@ -71,6 +71,29 @@ def test_documents_are_read_in_ranges_of_bytes(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_the_text_of_documents_is_stored_once(spark, tmp_path, monkeypatch):
+    """Cuts are neither written nor shuffled: only whole objects are, wherever batches and ranges end."""
+    rng, docs, kept, cut = random.Random(5), {}, [], graph_files.cut_lineage
+    monkeypatch.setattr(graph_files, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    for k in range(3):
+        docs[f"r{k}"] = graph_document(rng, 40)
+        (tmp_path / f"r{k}").mkdir()
+        (tmp_path / f"r{k}" / "graph.json").write_text(json.dumps(docs[f"r{k}"]))
+    settings = {"spark.sql.files.openCostInBytes": "1b", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    old = {k: spark.conf.get(k) for k in (*settings, "spark.sql.files.maxPartitionBytes")}
+    try:
+        for size in ("300b", "128m"):
+            for k, v in (settings | {"spark.sql.files.maxPartitionBytes": size}).items():
+                spark.conf.set(k, v)
+            nodes, links, _ = load_graph_documents(spark, f"{tmp_path}/*/graph.json")
+            assert {(r.repo, r.ord): (r.id, r.label) for r in nodes.collect()} == {(k, i): (n["id"], n["label"]) for k, d in docs.items() for i, n in enumerate(d["nodes"])}
+            assert {(r.repo, r.ord): r.relation for r in links.collect()} == {(k, i): x["relation"] for k, d in docs.items() for i, x in enumerate(d["links"])}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert kept and not any("value" in columns for columns in kept)
+
+
 def test_a_written_document_is_one_file(spark, tmp_path):
     nodes = spark.range(6000).selectExpr("concat('r', id % 7) AS repo", "id DIV 70 AS ord", "concat('n', id) AS id", "repeat(uuid(), 20) AS label")
     links = nodes.where("ord > 0").selectExpr("repo", "ord", "id AS source", "'n0' AS target", "'calls' AS relation")
