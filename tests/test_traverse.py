@@ -1,4 +1,5 @@
 import random
+import re
 from collections import deque
 
 import pytest
@@ -136,6 +137,16 @@ def test_the_side_of_fewer_steps_grows(spark, monkeypatch):
     assert max(level.count() for level in levels) < 10
 
 
+def test_a_level_meets_the_frontier_before_the_seen_nodes(spark):
+    """Seen nodes meet the few steps of a frontier, not all edges."""
+    steps = traverse._undirected(edges(spark, [("a", "b"), ("a", "c"), ("x", "y")]))
+    nodes = lambda *keys: spark.createDataFrame([(k,) for k in keys], "node_key string")
+    found = traverse._grown(steps, nodes("a"), 1, nodes("a", "b", "b"))
+    assert [(r.node_key, r.a) for r in found.collect()] == [("c", "a")]
+    joins = re.findall(r"Join (\w+)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert len(joins) == 2 and joins[-1] == "Inner"
+
+
 def test_start_on_a_cycle_is_listed_with_its_length(spark):
     ents = entities(spark, {"a": "a", "b": "b", "c": "c"})
     got = {r.name: r.distance for r in traverse.blast_radius(ents, edges(spark, [("a", "b"), ("b", "c"), ("c", "a")]), "a").collect()}
