@@ -227,10 +227,11 @@ def write_graph_records(nodes: DataFrame, links: DataFrame, path: str, file_rows
 
     Rows are gathered by repository, so a small one is one file; large ones are
     divided among tasks and files of ``file_rows`` rows, so none has to fit in one task.
+    Files are compressed, as field names repeat in each line; none is too large for the one task that reads it.
     """
     fields = ["repo", "ord"]
     for name, rows in (("nodes", nodes.select(*fields, *schemas.NODE_FIELDS)), ("links", links.select(*fields, *schemas.LINK_FIELDS))):
-        writer = rows.hint("rebalance", "repo").write.partitionBy("repo").option("maxRecordsPerFile", file_rows)
+        writer = rows.hint("rebalance", "repo").write.partitionBy("repo").option("maxRecordsPerFile", file_rows).option("compression", "gzip")
         writer.mode("overwrite").json(f"{path}/{name}")
 
 

@@ -116,3 +116,13 @@ def test_a_written_document_is_one_file(spark, tmp_path):
         ids = [int(n["id"][1:]) for n in doc["nodes"]]
         assert sorted(ids) == list(range(k, 6000, 7)) and [i // 70 for i in ids] == sorted(i // 70 for i in ids)
         assert sorted(int(x["source"][1:]) for x in doc["links"]) == [i for i in range(k, 6000, 7) if i >= 70]
+
+
+def test_records_are_written_compressed(spark, tmp_path):
+    nodes = schemas.conform(spark.range(50).selectExpr("concat('r', id % 2) AS repo", "id AS ord", "concat('n', id) AS id", "'é\\n\"' AS label"), schemas.NODE_FIELDS, keep=("repo", "ord"))
+    links = schemas.conform(spark.range(7).selectExpr("'r0' AS repo", "id AS ord", "'n0' AS source", "concat('n', id) AS target", "0.5D AS weight"), schemas.LINK_FIELDS, keep=("repo", "ord"))
+    graph_files.write_graph_records(nodes, links, str(tmp_path / "g"), file_rows=10)
+    written = [f for f in tmp_path.glob("g/*/repo=*/part-*")]
+    assert len(written) >= 7 and all(f.name.endswith(".json.gz") for f in written)
+    for rows, want in zip(graph_files.load_graph_records(spark, str(tmp_path / "g")), (nodes, links)):
+        assert sorted(map(str, rows.select(*want.columns).collect())) == sorted(map(str, want.collect()))
