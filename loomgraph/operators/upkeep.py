@@ -57,6 +57,11 @@ def _counted(keys: DataFrame) -> DataFrame:
     return sized(keys, keys.count())
 
 
+def _fields(rows: DataFrame, fields: dict) -> DataFrame:
+    """Rows with those of the fields that they have."""
+    return rows.select(*[c for c in fields if c in rows.columns])
+
+
 def _parted(rows: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows an import of these repositories can meet (theirs and those of no repository), and all others."""
     names = _counted(runs.select(F.col("repo").alias("_name")).distinct())
@@ -65,6 +70,11 @@ def _parted(rows: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.where(theirs).drop("_name"), flagged.where(~theirs).drop("_name")
 
 
+def unmet(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows that an import of these repositories cannot meet."""
+    return _parted(rows, runs)[1]
+
+
 def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     payload = [c for c in rows.columns if c not in keys]
@@ -238,9 +248,9 @@ def _detach(graph: Graph, removed: DataFrame) -> Graph:
     own = keys.where(shared_key(F.col("node_key"))).isEmpty()
     edges = _without_ends(_without_ends(graph.edges, "src", keys, own), "dst", keys, own)
     return Graph(
-        _without_ends(graph.entities, "node_key", keys, own).select(*schemas.ENTITY_FIELDS),
-        edges.select(*schemas.EDGE_FIELDS),
-        _without_ends(graph.ownership, "node_key", keys, own).select(*schemas.OWNERSHIP_FIELDS),
+        _fields(_without_ends(graph.entities, "node_key", keys, own), schemas.ENTITY_FIELDS),
+        _fields(edges, schemas.EDGE_FIELDS),
+        _fields(_without_ends(graph.ownership, "node_key", keys, own), schemas.OWNERSHIP_FIELDS),
     )
 
 
@@ -262,9 +272,9 @@ def reap_orphans(graph: Graph, held: DataFrame | None = None) -> Graph:
     gone = _counted(lone)
     # No edge has such an end.
     return Graph(
-        graph.entities.join(gone, "node_key", "left_anti").select(*schemas.ENTITY_FIELDS),
+        _fields(graph.entities.join(gone, "node_key", "left_anti"), schemas.ENTITY_FIELDS),
         graph.edges,
-        graph.ownership.join(gone, "node_key", "left_anti").select(*schemas.OWNERSHIP_FIELDS),
+        _fields(graph.ownership.join(gone, "node_key", "left_anti"), schemas.OWNERSHIP_FIELDS),
     )
 
 
@@ -273,13 +283,14 @@ def sweep(graph: Graph, runs: DataFrame, held: DataFrame | None = None) -> Graph
 
     ``graph`` may be a part of a store: the swept repositories' rows and all
     shared ones.  ``held`` names shared nodes that the edges of the other part touch.
+    Of its columns, those that tell what is stale are enough.
     """
     check_runs(runs)
     entities, edges, ownership = _marked(graph, runs)
     kept = Graph(
-        entities.select(*schemas.ENTITY_FIELDS),
-        edges.where("NOT stale").select(*schemas.EDGE_FIELDS),
-        ownership.where("NOT stale").select(*schemas.OWNERSHIP_FIELDS),
+        _fields(entities, schemas.ENTITY_FIELDS),
+        _fields(edges.where("NOT stale"), schemas.EDGE_FIELDS),
+        _fields(ownership.where("NOT stale"), schemas.OWNERSHIP_FIELDS),
     )
     # The removed keys are few next to the graph; written once, they feed every anti-join.
     gone = _counted(entities.where("stale").select("node_key"))

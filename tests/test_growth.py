@@ -8,6 +8,7 @@ from loomgraph.operators import build, hotspots, upkeep
 from loomgraph.operators.search_index import SearchIndex
 from loomgraph.plans import graph_queries
 from loomgraph.plans.projections import GraphTables
+from loomgraph.sources.store import shared_ends
 
 
 @pytest.fixture
@@ -159,3 +160,44 @@ def test_nodes_of_much_shared_ends_are_picked_before_they_are_folded(spark, no_b
     found = build.resolve_links(schemas.conform(links, schemas.LINK_FIELDS, keep=("repo", "ord")), schemas.conform(nodes, schemas.NODE_FIELDS, keep=("repo", "ord")))
     assert [p.index("max_by") < p.index("LeftSemi") for p in plans if "max_by" in p] == [True]
     assert {(r.target, r.status) for r in found.collect()} == {("n0", "ok")} and found.select("dst").distinct().count() == 1
+
+
+@pytest.mark.parametrize("name", ["d3_sweep_nodes", "d5_residue_after_sweep"])
+def test_a_sweep_carries_keys_and_stamps_of_rows_an_import_can_meet(spark, monkeypatch, name):
+    """Rows of repositories that are not swept stay where the first run wrote them; the result is that of the whole graph."""
+    written, stored = {}, GraphTables._stored
+
+    def recorded(self, table, build, fields, partition=None):
+        written[table] = stored(self, table, build, fields, partition)
+        return written[table]
+
+    monkeypatch.setattr(GraphTables, "_stored", recorded)
+    t = GraphTables(spark, "/root/testdata/sf0.001")
+    graph, runs = graph_queries._second_run(t)
+    whole = upkeep.sweep(graph, runs)
+    whole = whole.entities.select("node_key", "repo", "last_run") if name == "d3_sweep_nodes" else upkeep.residue(whole, runs)
+    want = sorted(map(str, whole.collect()))
+    written.clear()
+    assert sorted(map(str, getattr(graph_queries, name)(t).collect())) == want and want
+    assert not {"run1_entities", "run2_entities", "run1_edges", "run2_edges"} & set(written)
+    swept = {f"NATION_{i}" for i in range(10)}
+    for part in ("entities", "edges", "ownership"):
+        assert {r.repo for r in written[f"run2_marks_{part}"].select("repo").distinct().collect()} <= swept | {None}
+
+
+def test_a_swept_part_keeps_shared_nodes_that_the_other_part_holds(spark):
+    """A sweep of marked rows alone removes what a sweep of the whole graph removes."""
+    def rows(data, columns, fields):
+        return schemas.conform(spark.createDataFrame(data, columns), fields)
+
+    held, lone = "platform::pkg::held", "platform::pkg::lone"
+    entities = rows([("a", "A", None, "1"), ("b", "B", None, "1"), (held, None, True, "1"), (lone, None, True, "1")], "node_key string, repo string, shared boolean, last_run string", upkeep.MARK_ENTITY_FIELDS)
+    edges = rows([("a", held, "X", "A", "1"), ("a", lone, "X", "A", "1"), ("b", held, "X", "B", "1")], "src string, dst string, type string, repo string, last_run string", upkeep.MARK_EDGE_FIELDS)
+    own = rows([("A", "a", "1"), ("A", held, "1"), ("A", lone, "1"), ("B", "b", "1"), ("B", held, "1")], "repo string, node_key string, last_run string", schemas.OWNERSHIP_FIELDS)
+    runs = spark.createDataFrame([("A", "c2", "2")], "repo string, commit string, run string")
+    whole = upkeep.sweep(upkeep.Graph(entities, edges, own), runs)
+    mine = [df.where("repo IS NULL OR repo = 'A'") for df in (entities, edges, own)]
+    part = upkeep.sweep(upkeep.Graph(*mine), runs, shared_ends(upkeep.unmet(edges, runs)).select("node_key"))
+    assert part.entities.columns == list(upkeep.MARK_ENTITY_FIELDS) and part.edges.columns == list(upkeep.MARK_EDGE_FIELDS)
+    assert {r.node_key for r in whole.entities.collect()} == {"b", held}
+    assert {r.node_key for r in part.entities.collect()} == {held} and part.edges.count() == part.ownership.count() == 0
