@@ -162,6 +162,14 @@ def test_nodes_of_much_shared_ends_are_picked_before_they_are_folded(spark, no_b
     assert {(r.target, r.status) for r in found.collect()} == {("n0", "ok")} and found.select("dst").distinct().count() == 1
 
 
+def test_links_of_no_type_do_not_meet_the_keys(spark, no_broadcast):
+    nodes = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b")], "repo string, ord long, id string")
+    links = spark.createDataFrame([("r", 0, "a", "b", "calls"), ("r", 1, "a", "b", "bogus"), ("r", 2, "a", "gone", "calls")], "repo string, ord long, source string, target string, relation string")
+    found = build.to_edges(build.resolve_links(schemas.conform(links, schemas.LINK_FIELDS, keep=("repo", "ord")), schemas.conform(nodes, schemas.NODE_FIELDS, keep=("repo", "ord"))))
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.ord, r.type) for r in found.collect()] == [(0, "CALLS")]
+
+
 @pytest.mark.parametrize("name", ["d3_sweep_nodes", "d5_residue_after_sweep"])
 def test_a_sweep_carries_keys_and_stamps_of_rows_an_import_can_meet(spark, monkeypatch, name):
     """Rows of repositories that are not swept stay where the first run wrote them; the result is that of the whole graph."""

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas
 from loomgraph.operators import build, upkeep
+from loomgraph.plans import graph_queries, index_run
 from loomgraph.plans.index_run import import_run
 from loomgraph.plans.projections import _WRITTEN, GraphTables
 from loomgraph.session import drop_work_folders, file_names, publish_file, work_folder
-from loomgraph.sources.store import CommitConflict, GraphStore, changed_parts
+from loomgraph.sources import store as stores
+from loomgraph.sources.store import CommitConflict, GraphStore, changed_parts, shared_rows
 from tests.test_build_upkeep import graph_of, links, nodes, runs
 
 
@@ -80,6 +82,36 @@ def test_changed_rows_change_their_part(spark, graph):
     assert [r.part for r in changed_parts(graph, moved).collect()] == ["r1"]
 
 
+def test_an_import_compares_shared_parts_only(spark, tmp_path, monkeypatch):
+    """Parts of the imported repositories are written in any case, so their rows are not hashed to see whether they changed."""
+    table = ("sql::sql_table::dbo.a", "dbo.a", "platform", "sql_table")
+    ns = nodes(spark, ("r1", 0, "a", "A"), ("r1", 1, *table))
+    ls, store, compared = links(spark, ("r1", 0, "a", table[0], "reads_table")), GraphStore(spark, str(tmp_path / "graph")), []
+    monkeypatch.setattr(index_run, "changed_parts", lambda *graphs: compared.append(graphs) or changed_parts(*graphs))
+    for community in (1, 2):
+        import_run(store, ns.withColumn("community", F.lit(community)), ls, runs(spark, ("r1", "c", str(community))))
+    assert {r.community for r in store.read().entities.collect()} == {2} and store.read().entities.count() == 2
+    assert [sum(rows.count() for rows in (g.entities, g.edges, g.ownership)) for pair in compared for g in pair] == [0, 1, 1, 1]
+    moved = shared_rows(upkeep.Graph(*[df.where("repo IS NULL OR repo = 'r1'") for df in (store.read().entities, store.read().edges, store.read().ownership)]))
+    assert [r.node_id for r in moved.entities.collect()] == [table[0]] and moved.edges.count() == moved.ownership.count() == 0
+
+
+def test_a_commit_makes_each_table_once(spark, tmp_path, graph, monkeypatch):
+    """Shared ends are those of the edges as written; the edges given are not made again for them."""
+    store, read, ends = GraphStore(spark, str(tmp_path / "graph")), [], stores.shared_ends
+    monkeypatch.setattr(stores, "shared_ends", lambda edges: read.extend(edges.inputFiles()) or ends(edges))
+    store.commit(graph, parts(spark, "r1"))
+    assert read and all("/graph/edges/attempt=" in f for f in read)
+
+
+def test_the_first_graph_is_written_to_the_store_only(spark, monkeypatch):
+    written, stored = [], GraphTables._stored
+    monkeypatch.setattr(GraphTables, "_stored", lambda self, table, *rest: written.append(table) or stored(self, table, *rest))
+    found = graph_queries.a5_store_import(GraphTables(spark, "/root/testdata/sf0.001"))
+    assert found.where("last_run = 'r1'").count() and found.where("last_run = 'r2'").count()
+    assert "raw_nodes" in written and not any(table.startswith("run") for table in written)
+
+
 def test_an_import_reads_and_writes_its_parts_only(spark, tmp_path):
     table, view = ("sql::sql_table::dbo.a", "dbo.a", "platform", "sql_table"), ("sql::sql_table::dbo.zz", "dbo.zz", "platform", "sql_table")
     ns = nodes(spark, *[(f"r{i}", 0, "a", f"A{i}") for i in range(6)], ("r1", 1, *table), ("r2", 1, *table), ("r2", 2, *view))
